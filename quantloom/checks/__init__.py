@@ -1,0 +1,6 @@
+"""Queries of the engine with their SQL counterparts."""
+
+from quantloom.checks.base import QUERIES, SQL
+from quantloom.checks import catalogs, functions, joins  # noqa: F401
+
+__all__ = ["QUERIES", "SQL"]

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from quantloom.functions.feature import Feature, finite
 
 _INLINE_LIMIT = 24
+# from this many ranks at one stage on, they are computed in one pass over long rows
+_RANKS_TOGETHER = 6
+_RANK_OPS = ("cs_rank", "cs_rank0", "cs_rank_average")
 
 
 class Windows:
@@ -92,19 +95,61 @@ def with_features(df: DataFrame, features: Mapping[str, Feature], *,
 
     out = df
     for s in sorted(by_stage):
-        out = out.select("*", *[
-            _build(nodes[k], [column(i) for i in nodes[k].inputs], windows).alias(names[k])
-            for k in by_stage[s]])
+        ranks = [k for k in by_stage[s] if nodes[k].op in _RANK_OPS]
+        if len(ranks) < _RANKS_TOGETHER:
+            ranks = []
+        rest = [k for k in by_stage[s] if k not in set(ranks)]
+        if rest:
+            out = out.select("*", *[
+                _build(nodes[k], [column(i) for i in nodes[k].inputs], windows).alias(names[k])
+                for k in rest])
+        if ranks:
+            out = _rank_together(out, windows, [
+                (names[k], nodes[k].op, column(nodes[k].inputs[0])) for k in ranks])
     return out.select(*keep, *[finite(column(f)).alias(name) for name, f in features.items()])
 
 
+def _rank_together(df: DataFrame, windows: Windows,
+                   ranks: list[tuple[str, str, Column]]) -> DataFrame:
+    """Many cross-section ranks in one shuffle and one sort.
+
+    Each row becomes one narrow row per ranked value; the other columns travel with the first
+    of them only. A date with very many symbols is spread over as many tasks as there are ranks.
+    Needs (symbol, ts) to be unique.
+    """
+    keys = [*windows.symbol, windows.ts]
+    rest = [c for c in df.columns if c not in keys]
+    long = df.select(*keys, F.struct(*rest).alias("_row"),
+                     F.posexplode(F.array(*[x for _, _, x in ranks])).alias("_k", "_v"))
+    long = long.withColumn("_row", F.when(F.col("_k") == 0, F.col("_row")))
+    groups = W.partitionBy(*windows.symbol[1:], windows.ts, "_k")
+    order = groups.orderBy(F.col("_v").asc_nulls_last())
+    rank, count = F.rank().over(order), F.count("_v").over(groups)
+    value = rank / count
+    zero = [i for i, r in enumerate(ranks) if r[1] == "cs_rank0"]
+    average = [i for i, r in enumerate(ranks) if r[1] == "cs_rank_average"]
+    if zero:
+        value = F.when(F.col("_k").isin(zero), (rank - 1) / count).otherwise(value)
+    if average:
+        upto = F.count("_v").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+        value = F.when(F.col("_k").isin(average), (rank + upto) / 2.0 / count).otherwise(value)
+    ranked = long.select(*keys, "_row", "_k", F.when(F.col("_v").isNotNull(), value).alias("_r"))
+    # back to one row, already partitioned and sorted for the windows along time
+    back = ranked.repartition(*windows.symbol).groupBy(*keys).agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
+    return back.select(*keys, "_row.*", *[
+        F.col("_ranks")[i]["_r"].alias(name) for i, (name, _, _) in enumerate(ranks)])
+
+
 def _build(n: Feature, inputs: list[Column], windows: Windows) -> Column:
     return n.build(*inputs) if n.axis == "row" else n.build(windows, *inputs)
 
 
 def _named(nodes: Mapping[str, Feature], outputs) -> set[str]:
-    """Recipes that get their own column: windows, their computed inputs and big shared parts."""
-    named: set[str] = set()
+    """Recipes that get their own column: windows, their computed inputs, big shared parts, and
+    the outputs, so that what only they need is dropped early."""
+    named: set[str] = {f.key for f in outputs if f.op not in ("col", "lit")}
     size: dict[str, int] = {}
     for key, n in nodes.items():
         if n.axis != "row":
@@ -119,7 +164,7 @@ def _named(nodes: Mapping[str, Feature], outputs) -> set[str]:
                 named.add(i.key)
                 inner = 1
             total += n.uses * inner
-        size[key] = total
+        size[key] = 1 if key in named else total
     return named
 
 
