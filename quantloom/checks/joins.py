@@ -14,17 +14,17 @@ from quantloom.sources import bars as src
 W_ = f"WITH bars AS ({WEEK_SQL})"
 
 
-@check("bars_brand_week", f"{W_} SELECT symbol, ts, {rsql('open')} AS open, {rsql('high')} AS high, "
-       f"{rsql('low')} AS low, {rsql('close')} AS close, volume, {rsql('amount', 2)} AS amount FROM bars")
+@check("bars_brand_week", f"{W_} SELECT symbol, ts, {rsql('open', 9)} AS open, {rsql('high', 9)} AS high, "
+       f"{rsql('low', 9)} AS low, {rsql('close', 9)} AS close, volume, {rsql('amount', 2)} AS amount FROM bars")
 def _(spark, path):
-    return rounded(week_bars(spark, path), amount=2)
+    return rounded(week_bars(spark, path), 9, amount=2)
 
 
-@check("bars_supp_month", f"WITH bars AS ({MONTH_SQL}) SELECT symbol, ts, {rsql('open')} AS open, "
-       f"{rsql('close')} AS close, volume, {rsql('amount', 2)} AS amount FROM bars")
+@check("bars_supp_month", f"WITH bars AS ({MONTH_SQL}) SELECT symbol, ts, {rsql('open', 9)} AS open, "
+       f"{rsql('close', 9)} AS close, volume, {rsql('amount', 2)} AS amount FROM bars")
 def _(spark, path):
     return rounded(month_bars(spark, path).select("symbol", "ts", "open", "close", "volume", "amount"),
-                   amount=2)
+                   9, amount=2)
 
 
 @check("bars_event_hour", f"WITH bars AS ({HOUR_SQL}) SELECT symbol, ts, {rsql('open')} AS open, "
@@ -75,11 +75,11 @@ def _(spark, path):
     return rounded(src.last_rows(week_bars(spark, path), 5, ["close"]))
 
 
-@check("bars_from_returns", f"""WITH {RETS_SQL} SELECT symbol, ts, {rsql('v')} AS open, {rsql('v')} AS high,
-  {rsql('v')} AS low, {rsql('v')} AS close, 1.0::DOUBLE AS volume FROM (SELECT symbol, ts, product(1 + coalesce(ret, 0))
+@check("bars_from_returns", f"""WITH {RETS_SQL} SELECT symbol, ts, {rsql('v', 0)} AS open, {rsql('v', 0)} AS high,
+  {rsql('v', 0)} AS low, {rsql('v', 0)} AS close, 1.0::DOUBLE AS volume FROM (SELECT symbol, ts, product(1 + coalesce(ret, 0))
   OVER (PARTITION BY symbol ORDER BY ts) AS v FROM rets)""")
 def _(spark, path):
-    return rounded(src.bars_from_returns(rets(spark, path)))
+    return rounded(src.bars_from_returns(rets(spark, path)), 0)
 
 
 @check("bars_fill_calendar", f"""{W_} SELECT s.symbol, t.ts, {rsql('close')} AS close
