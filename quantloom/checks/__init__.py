@@ -1,6 +1,6 @@
 """Queries of the engine with their SQL counterparts."""
 
 from quantloom.checks.base import QUERIES, SQL
-from quantloom.checks import catalogs, functions, joins, signals, validation  # noqa: F401
+from quantloom.checks import catalogs, functions, joins, portfolio, signals, validation  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -93,12 +93,12 @@ def panel(spark: SparkSession, path: str) -> DataFrame:
 # returns small enough for a net-asset value to stay near 1
 RETS_SQL = f"""bars AS ({WEEK_SQL}),
 rets AS (SELECT symbol, ts, close,
-  0.02 * (close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) AS ret FROM bars)"""
+  0.001 * (close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) AS ret FROM bars)"""
 
 
 def rets(spark: SparkSession, path: str) -> DataFrame:
     r = src.with_returns(week_bars(spark, path))
-    return r.select("symbol", "ts", "close", (0.02 * F.col("returns")).alias("ret"))
+    return r.select("symbol", "ts", "close", (0.001 * F.col("returns")).alias("ret"))
 
 
 def select_list(columns: Mapping[str, str], digits: int = 6) -> str:
