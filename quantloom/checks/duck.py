@@ -213,9 +213,11 @@ def feature_ctes(features: Mapping[str, Feature], source: str = "t0") -> tuple[s
 
 
 def feature_sql(features: Mapping[str, Feature], prelude: str, digits: int = 6,
-                special: Mapping[str, int] | None = None, keys: str = "symbol, ts") -> str:
+                special: Mapping[str, int] | None = None, keys: str = "symbol, ts",
+                offset: float = 0.0) -> str:
     ctes, out = feature_ctes(features)
     below = out.pop("__from__")
-    cols = ", ".join(f"{rsql(e, (special or {}).get(n, digits))} AS {n}" for n, e in out.items())
+    cols = ", ".join(f"{rsql(f'({e}) + {offset}' if offset else e, (special or {}).get(n, digits))} AS {n}"
+                     for n, e in out.items())
     parts = [prelude] + ([ctes] if ctes else [])
     return f"WITH {', '.join(parts)}\nSELECT {keys}, {cols} FROM {below}"

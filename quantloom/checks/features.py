@@ -153,7 +153,7 @@ check("walk_forward_summary", _wf_sql(True, f"""SELECT symbol, count(*) AS windo
   {rsql('min(sharpe)', 4)} AS min_sharpe, {rsql('max(sharpe)', 4)} AS max_sharpe FROM wf WHERE part = 'test' GROUP BY symbol"""))(
     lambda s, p: rounded(sw.walk_forward_summary(_wf(s, p, True)), 4))
 check("walk_forward_overfit", _wf_sql(False, f"""SELECT symbol, {rsql("avg(sharpe) FILTER (WHERE part = 'test')", 4)} AS mean_test, {rsql("avg(sharpe) FILTER (WHERE part = 'train')", 4)} AS mean_train,
-  {rsql("avg(sharpe) FILTER (WHERE part = 'test') / stddev_samp(sharpe) FILTER (WHERE part = 'test')", 4)} AS stability,
+  {rsql("coalesce(avg(sharpe) FILTER (WHERE part = 'test') / nullif(stddev_samp(sharpe) FILTER (WHERE part = 'test'), 0), 0)", 4)} AS stability,
   {rsql("avg(sharpe) FILTER (WHERE part = 'train') - avg(sharpe) FILTER (WHERE part = 'test')", 4)} AS overfit,
   {rsql("avg(sharpe) FILTER (WHERE part = 'train') / avg(sharpe) FILTER (WHERE part = 'test')", 4)} AS overfit_ratio FROM wf GROUP BY symbol"""))(
     lambda s, p: rounded(sw.overfit_summary(_wf(s, p, False)), 4))
