@@ -59,6 +59,7 @@ add("math_functions", {n: getattr(sc, f)(X - 8.0) for n, f in {
     "f_cos": "cos", "f_gauss": "gauss", "f_p4": "p4", "f_softsign": "softsign",
     "f_square_sigmoid": "square_sigmoid", "f_square": "square",
     "f_signed_power": "signed_power"}.items()})
+add("cleanup_missing_to_zero", sc.coalesce0(X / r.ts_delay(Y, 3)))
 add("logret", r.ts_logret(C))
 add("old_sugar", {"ret_5": r.ts_delta(C, 5), "adv_20": r.ts_mean(V, 20), "intra_ret": (C - O) / O}, digits=9)
 

@@ -232,6 +232,14 @@ def _(spark, path):
     return joins.keep_first([n.filter("key < 10"), r, n.select("key", F.lit("late").alias("value"))], "key")
 
 
+@check("join_fundamentals", f"""{W_}, f AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, max(p_retailprice) AS pe_ttm FROM lineitem
+  JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size > 25 GROUP BY 1, 2) SELECT b.symbol, b.ts, b.volume, f.pe_ttm FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.ts = b.ts""")
+def _(spark, path):
+    f = (table(spark, path, "lineitem").filter("l_returnflag = 'R'").join(table(spark, path, "part").filter("p_size > 25"), F.col("l_partkey") == F.col("p_partkey"))
+         .groupBy(F.col("p_brand").alias("symbol"), F.date_trunc("week", "l_shipdate").alias("ts")).agg(F.max("p_retailprice").alias("pe_ttm")))
+    return joins.with_fundamentals(week_bars(spark, path).select("symbol", "ts", "volume"), f, ["pe_ttm"])
+
+
 # -- breadth -------------------------------------------------------------------------------------------
 _COUNTS = f"""{W_}, m AS (SELECT *, sign(close - lag(close) OVER o) AS move,
   count(close) OVER h = 20 AND close > max(close) OVER h AS hi, count(close) OVER h = 20 AND close < min(close) OVER h AS lo

@@ -6,6 +6,8 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 from quantloom.functions.feature import Feature
 
 
@@ -91,3 +93,27 @@ def unregister_variable(name: str) -> bool:
 def is_variable(name: str) -> bool:
     up = name.upper()
     return up in VARIABLES or any(up.startswith(p) and len(up) > len(p) for p in PREFIXES)
+
+
+# -- whole-table factors ---------------------------------------------------------------------------------
+FACTORS: dict[str, Callable] = {}
+
+
+def factor(name: str):
+    """Decorator for a factor that needs a whole table: ``bars DataFrame -> (ts, symbol, value)``."""
+    def wrap(fn):
+        if name in FACTORS:
+            raise ValueError(f"factor {name} is already registered")
+        FACTORS[name] = fn
+        return fn
+    return wrap
+
+
+def evaluate_factors(bars, names: list[str] | None = None):
+    """Long ``(factor_id, ts, symbol, value)`` of registered factors."""
+    parts = [FACTORS[n](bars).select(F.lit(n).alias("factor_id"), "ts", "symbol", "value")
+             for n in (names or sorted(FACTORS))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

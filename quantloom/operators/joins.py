@@ -99,6 +99,11 @@ def carry_forward(df: DataFrame, value: str, *, by: Sequence[str], ts: str = "ts
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
+def with_fundamentals(bars: DataFrame, fundamentals: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fundamental columns (valuation, turnover ratio, capital) of the same symbol and date."""
+    return bars.join(fundamentals.select("symbol", "ts", *columns), ["symbol", "ts"], "left")
+
+
 def window_ids(ts: Column, start: Column, step_days: int, length_days: int,
                inclusive: bool = False) -> Column:
     """Numbers of the sliding day windows that contain a time, as an array (no range join)."""

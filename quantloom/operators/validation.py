@@ -6,7 +6,7 @@ All factors are evaluated in one job. The caller says which return goes with whi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +18,28 @@ from quantloom.operators.stats import corr_agg, kurt_pandas, quotient, skew_pand
 BY = ("factor_id",)
 
 
+# name -> (order, function of pairs returning one row per factor)
+VALIDATIONS: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]] = {}
+
+
+def validation(name: str, order: int = 99):
+    """Decorator for a custom validation: ``pairs -> one row per factor_id``."""
+    def wrap(fn):
+        VALIDATIONS[name] = (order, fn)
+        return fn
+    return wrap
+
+
+def run_validations(pairs: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """One row per factor with the columns of all chosen validations, prefixed by their names."""
+    chosen = sorted(names or VALIDATIONS, key=lambda n: (VALIDATIONS[n][0], n))
+    out = pairs.select(*BY).distinct()
+    for n in chosen:
+        part = VALIDATIONS[n][1](pairs)
+        out = out.join(part.select(*BY, *[F.col(c).alias(f"{n}_{c}") for c in part.columns if c not in BY]), list(BY), "left")
+    return out
+
+
 def data_checks(factors: DataFrame, by: Sequence[str] = BY, minimum: float = 0.7) -> DataFrame:
     n, present = F.count(F.lit(1)), F.count("value")
     return factors.groupBy(*by).agg(
@@ -288,3 +310,11 @@ def prediction_gate(rows: DataFrame, by: Sequence[str] = ("model_id",)) -> DataF
     good = (F.col("n") >= 10) & (F.col("_sp") > 1e-8) & (F.col("_vp") >= 1e-3 * F.col("_vy"))
     return out.select(*by, "n", F.when(F.col("n") >= 10, F.col("mse")).otherwise(float("inf")).alias("mse"),
                       F.when(good, -F.col("mse")).otherwise(float("-inf")).alias("score"))
+
+
+VALIDATIONS |= {
+    "ic": (10, lambda pairs: ic_summary(daily_ic(pairs))),
+    "hit": (15, hit_rate),
+    "turnover": (20, lambda pairs: turnover(quantile_groups(pairs))),
+    "decay": (21, lambda pairs: half_life(ic_decay(pairs))),
+}

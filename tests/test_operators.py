@@ -99,6 +99,26 @@ def test_window_id_separates_panels(spark):
     assert out.filter("m IS NULL").count() == 4
 
 
+def test_one_exchange_per_change_of_direction(spark):
+    df = spark.createDataFrame([("A", DAY0, 1.0)], "symbol string, ts timestamp, x double")
+    f = {"a": r.ts_mean(cs_rank(r.ts_delay(col("x"), 1)), 3), "b": r.ts_max(cs_scale(r.ts_sum(col("x"), 2)), 4), "c": r.ts_std(col("x"), 9)}
+    plan = with_features(df, f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_factor_registry(spark):
+    from quantloom.functions import registry as reg
+
+    @reg.factor("twice")
+    def twice(bars):
+        return bars.select("ts", "symbol", (F.col("x") * 2).alias("value"))
+    df = spark.createDataFrame([("A", DAY0, 1.0)], "symbol string, ts timestamp, x double")
+    assert reg.evaluate_factors(df, ["twice"]).first().value == 2.0
+    with pytest.raises(ValueError):
+        reg.factor("twice")(twice)
+    reg.FACTORS.pop("twice")
+
+
 # -- signals ------------------------------------------------------------------------------------------
 def brute_machine(buy, sell, hold_max):
     held, out = 0, []
