@@ -14,6 +14,7 @@ from quantloom.functions import features as ft
 from quantloom.functions.presets import PRESETS, preset
 from quantloom.functions.rolling import ts_roc
 from quantloom.plans import sweep as sw
+from quantloom.sources.store import materialize
 
 F_ = ft.FEATURES
 _CH = f"CASE WHEN lag(close, {{n}}) OVER ({P}) > 0 THEN close / lag(close, {{n}}) OVER ({P}) - 1 END"
@@ -110,7 +111,7 @@ def _(spark, path):
 
 @check("sweep_factor_grid")
 def _(spark, path):
-    b = rets(spark, path)
+    b = materialize(rets(spark, path), "returns")
     return rounded(sw.factor_sweep(b, b, lambda d: ts_roc(col("close"), d), [2, 4], ["ME", "4D"], [2, 3]))
 
 

@@ -13,6 +13,7 @@ from quantloom.operators import nav as nv
 from quantloom.operators import portfolio as pf
 from quantloom.operators import trades as tr
 from quantloom.operators.joins import common_dates
+from quantloom.sources.store import materialize
 
 O = "PARTITION BY symbol ORDER BY ts"
 _S = f"""WITH {RETS_SQL}, sc0 AS (SELECT symbol, ts, close / lag(close, 4) OVER ({O}) - 1 AS mom, close, ret FROM rets),
@@ -35,19 +36,21 @@ _COST = "CASE WHEN k = 1 THEN 1.0 ELSE 1 - sold * 0.0013 - bought * 0.0003 END"
 NAV_SQL = _S + _REB + NAV_TAIL.format(cost=_COST)
 
 
-def scores(spark, path):
-    x = with_features(rets(spark, path), {"score": ts_roc(col("close"), 4)}, keep=["symbol", "ts"])
+def scores(spark, path, r=None):
+    x = with_features(rets(spark, path) if r is None else r, {"score": ts_roc(col("close"), 4)}, keep=["symbol", "ts"])
     return x.withColumn("strategy_id", F.lit("mom"))
 
 
-def monthly_weights(spark, path):
-    s = scores(spark, path)
-    dates = pf.rebalance_dates(rets(spark, path), "ME")
+def monthly_weights(spark, path, r=None):
+    r = rets(spark, path) if r is None else r
+    s = scores(spark, path, r)
+    dates = pf.rebalance_dates(r, "ME")
     return pf.equal_weights(pf.top_n(s.join(dates, "ts", "left_semi"), 3))
 
 
 def rotation(spark, path, **kw):
-    return pf.rotation_nav(monthly_weights(spark, path), rets(spark, path), commission=0.0003, stamp=0.001, **kw)
+    r = materialize(rets(spark, path), "returns")
+    return pf.rotation_nav(monthly_weights(spark, path, r), r, commission=0.0003, stamp=0.001, **kw)
 
 
 # -- calendars ---------------------------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.stats import corr_agg
 from quantloom.operators.validation import daily_ic
+from quantloom.sources.store import materialize
 
 SID = "strategy_id"
 
@@ -240,8 +241,11 @@ def rotation_nav(weights: DataFrame, returns: DataFrame, *, commission: float =
     Cost factor 1 - sold*(commission + stamp) - bought*commission, none for the first entry. With
     ``style_costs`` it is (1 - t*commission)*... on half the total change, the entry included:
     one commission and one stamp charge in sequence.
+
+    The weights (a few rows per rebalance date) are used several times and therefore written once.
     """
     by = list(by)
+    weights = materialize(weights, "weights")
     daily = portfolio_returns(weights, returns, by)
     moves = weight_changes(weights, by)
     if style_costs:

@@ -28,6 +28,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that is used several times once, and read it back.
+
+    Cuts the lineage with files in the shared folder, so lost executors do not recompute it.
+    """
+    path = f"{scratch(df.sparkSession, name)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # -- factor values ----------------------------------------------------------------------------------------
 def save_factors(values: DataFrame, path: str, *, mode: str = "append") -> None:
     """``(factor, lookback, symbol, ts, value)`` in folders per factor and lookback."""
