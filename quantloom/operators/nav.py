@@ -74,29 +74,35 @@ def with_drawdown(nav: DataFrame, by: Sequence[str] = SID) -> DataFrame:
     return x.withColumn("dd", F.when(F.col("peak") != 0, F.col("nav") / F.col("peak") - 1))
 
 
-def drawdowns(nav: DataFrame, by: Sequence[str] = SID) -> DataFrame:
-    """Deepest drawdown: value (NULL when there is none), first peak, first trough, durations in rows."""
-    by = list(by)
-    x = with_drawdown(nav, by)
-    low = x.groupBy(*by).agg(F.min(F.struct("dd", "rn", "ts", "peak")).alias("_t")).filter(F.col("_t.dd") < 0)
-    j = x.join(low, by)
+def _with_trough(nav: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row next to its series' first deepest drawdown: windows of one partitioning, no join."""
+    low = F.min(F.struct("dd", "rn", "ts", "peak")).over(W.partitionBy(*by))
+    return with_drawdown(nav, by).withColumn("_t", F.when(low["dd"] < 0, low))
+
+
+def _drawdown_aggregates() -> list[Column]:
     t = F.col("_t")
     at_peak = (F.col("nav") == t["peak"]) & (F.col("rn") <= t["rn"])
     back = (F.col("rn") > t["rn"]) & (F.col("nav") >= t["peak"])
-    d = j.groupBy(*by).agg(
-        F.first(t["dd"]).alias("max_drawdown"), F.first(t["ts"]).alias("trough_ts"), F.first(t["rn"]).alias("_tr"),
-        F.min(F.when(at_peak, F.struct("rn", "ts"))).alias("_p"), F.min(F.when(back, F.col("rn"))).alias("_b"))
-    return nav.select(*by).distinct().join(d.select(
-        *by, "max_drawdown", F.col("_p.ts").alias("peak_ts"), "trough_ts",
-        (F.col("_tr") - F.col("_p.rn")).alias("drawdown_rows"),
-        (F.col("_b") - F.col("_tr")).alias("recovery_rows")), by, "left")
+    return [F.max(t["dd"]).alias("max_drawdown"), F.max(t["ts"]).alias("trough_ts"), F.max(t["rn"]).alias("_tr"),
+            F.min(F.when(at_peak, F.struct("rn", "ts"))).alias("_p"), F.min(F.when(back, F.col("rn"))).alias("_b")]
+
+
+def _drawdown_columns() -> list[Column]:
+    return [F.col("max_drawdown"), F.col("_p.ts").alias("peak_ts"), F.col("trough_ts"),
+            (F.col("_tr") - F.col("_p.rn")).alias("drawdown_rows"), (F.col("_b") - F.col("_tr")).alias("recovery_rows")]
+
+
+def drawdowns(nav: DataFrame, by: Sequence[str] = SID) -> DataFrame:
+    """Deepest drawdown: value (NULL when there is none), first peak, first trough, durations in rows."""
+    return _with_trough(nav, by).groupBy(*by).agg(*_drawdown_aggregates()).select(*by, *_drawdown_columns())
 
 
 def metrics(nav: DataFrame, *, risk_free: float = 0.02, confidence: float = 0.95, year: int = 252,
             by: Sequence[str] = SID) -> DataFrame:
-    """All metrics, one row per strategy."""
+    """All metrics, one row per strategy: one shuffle on the strategy and one aggregate."""
     by = list(by)
-    x = with_drawdown(nav, by)
+    x = _with_trough(nav, by)
     r = F.col("r")
     rank = F.row_number().over(W.partitionBy(*by).orderBy(r.asc_nulls_last(), "ts"))
     n_r = F.count("r").over(W.partitionBy(*by))
@@ -108,16 +114,18 @@ def metrics(nav: DataFrame, *, risk_free: float = 0.02, confidence: float = 0.95
         (F.stddev_samp("r") * F.sqrt(F.lit(float(year)))).alias("volatility"),
         (-F.percentile("r", 1 - confidence)).alias("var"), (-F.avg("_low")).alias("cvar"),
         F.sqrt(F.avg(F.pow(F.col("dd") * 100, F.lit(2.0)))).alias("ulcer"),
-        (F.sqrt(F.avg(F.when(r < 0, r * r).when(r.isNotNull(), 0.0))) * F.sqrt(F.lit(float(year)))).alias("_down"))
+        (F.sqrt(F.avg(F.when(r < 0, r * r).when(r.isNotNull(), 0.0))) * F.sqrt(F.lit(float(year)))).alias("_down"),
+        *_drawdown_aggregates())
     total = F.col("total_return")
     a = a.withColumn("annual_return", F.when((total > -1) & (F.col("n") > 1), F.pow(
         1 + total, F.lit(float(year)) / F.when(F.col("n") > 1, F.col("n") - 1)) - 1))
     extra = F.col("annual_return") - risk_free
-    d = drawdowns(nav, by)
     out = a.withColumns({
         "sharpe": quotient(extra, F.col("volatility")),
         "sortino": F.when(F.col("_down") > 0, extra / F.col("_down")).otherwise(F.lit(float("inf"))),
-        "upi": quotient(extra, F.col("ulcer") / 100)}).drop("_down").join(d, by)
+        "upi": quotient(extra, F.col("ulcer") / 100)})
+    out = out.select(*[c for c in out.columns if c not in ("_down", "_tr", "_p", "_b", "max_drawdown", "trough_ts")],
+                     *_drawdown_columns())
     out = out.withColumn("calmar", F.when(F.col("max_drawdown") != 0, F.col("annual_return") / F.abs("max_drawdown")))
     custom = {m.name: m.value() for m in METRICS.values() if m.value is not None}
     return out.withColumns(custom) if custom else out
