@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import quality
-from quantloom.llm.common import table
+from quantloom.llm import packing, quality, tokens
+from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +27,22 @@ def op1_quality_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 SQL["op1_quality_rules"] = quality.oracle_sql()
+
+
+@query
+def op2_token_files(spark: SparkSession, path: str) -> DataFrame:
+    target = shared_folder(spark, "tokens")
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    tokens.write_tokens(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_packing(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    return packed_digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "tier", "step_group")
