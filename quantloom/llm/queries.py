@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import packing, quality, tokens
+from quantloom.llm import language, packing, quality, tokens, topk
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,23 @@ def op10_packing(spark: SparkSession, path: str) -> DataFrame:
 def packed_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "tier", "step_group")
+
+
+@query
+def op6_exact_topk(spark: SparkSession, path: str) -> DataFrame:
+    return topk.exact_topk(table(spark, path, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+SQL["op6_exact_topk"] = topk.ORACLE
+
+
+@query
+def op8_language(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+                        F.concat_ws(",", "languages").alias("languages"))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    return language.train(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
