@@ -88,14 +88,16 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, SLICE + 1)
-        one = np.ones(n, np.uint64)
-        up, down = one.copy(), one.copy()
-        up[1:], down[1:] = _P, _PINV
-        pair = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-        if n > 8 * SLICE:
-            return pair[0], pair[1]
+        size = max(n, SLICE + 1)
+        pair = []
+        for base in (_P, _PINV):
+            steps = np.full(size, base)
+            steps[0] = 1
+            pair.append(np.multiply.accumulate(steps))
+        if size > 8 * SLICE:  # a very long text's powers are not kept
+            return pair[0][:n], pair[1][:n]
         _POWERS[:] = pair
     return _POWERS[0][:n], _POWERS[1][:n]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, packing, quality, tokens, topk
+from quantloom.llm import language, licenses, packing, quality, tokens, topk, toxicity
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,22 @@ def op8_language(spark: SparkSession, path: str) -> DataFrame:
 
 def language_model(docs: DataFrame) -> language.Model:
     return language.train(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
+
+
+@query
+def op4_license_scan(spark: SparkSession, path: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, path, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                        F.size("spans").alias("n_spans"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_chain(docs, path)).drop("text")
+
+
+def toxicity_chain(docs: DataFrame, path: str) -> toxicity.Chain:
+    labels = table(docs.sparkSession, path, "labels")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, ["low_quality", "toxic"])
