@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, licenses, packing, quality, tokens, topk, toxicity
+from quantloom.llm import language, licenses, neardup, packing, quality, tokens, topk, toxicity
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def toxicity_chain(docs: DataFrame, path: str) -> toxicity.Chain:
     labels = table(docs.sparkSession, path, "labels")
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return toxicity.train(docs, labels, ["low_quality", "toxic"])
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
+    return neardup.jaccard_groups(table(spark, path, "documents").select("doc_id", "text"))
