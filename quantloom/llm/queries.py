@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, licenses, neardup, packing, quality, tokens, topk, toxicity
+from quantloom.llm import language, licenses, linededup, neardup, packing, quality, tokens, topk, toxicity
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,10 @@ def toxicity_chain(docs: DataFrame, path: str) -> toxicity.Chain:
 @query
 def op3_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
     return neardup.jaccard_groups(table(spark, path, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    cleaned = linededup.line_dedup(table(spark, path, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "removed_lines", "removed_words", F.length("text").cast("long").alias("kept_chars"),
+                          F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.to_json("removed").alias("removed"))
