@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quantloom.llm import language, linededup, neardup, packing, toxicity
 from quantloom.llm.common import store, table
+from quantloom.llm.queries import language_model, packed_digest, toxicity_chain
 
-STAGES: list = []
+#: A document stays whose largest language has so large a share of its words.
+LEAST_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those without letters or without a main language go.
+
+    The models learn from the documents' own ``lang``; where no row has one, nothing can be told and all stay.
+    """
+    model = language_model(docs)
+    if not model.langs:
+        return docs
+    found = language.identify(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, learned from ``labels`` and these documents, does not call toxic."""
+    return toxicity.score(docs, toxicity_chain(docs, sf_dir)).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeats of runs of lines; one of which nothing but blanks is left goes."""
+    cleaned = linededup.line_dedup(docs)
+    left = (F.col("removed_lines") == 0) | F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]"))
+    chars = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.filter(left).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return neardup.one_of_each(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 2048 tokens."""
+    return packed_digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("language", identify_language), ("toxicity", drop_toxic), ("line_dedup", dedup_lines),
+          ("near_duplicates", drop_near_duplicates), ("packing", pack_sequences)]
 
 #: Trained models, fuzzy similarity and tokenizers have no SQL form.
 ORACLE_SQL = None

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
@@ -213,11 +213,12 @@ def _in_blocks(df: DataFrame, group: str, size: str) -> DataFrame:
 
 
 def jaccard_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every row of ``df``, in no order.
+    """``doc_id, class_id, n_links, n_copies, h, stays, no_words`` of every row of ``df``, in no order.
 
     Texts are sets of five-word shingles of lower-cased words; two are linked at a Jaccard similarity of 0.8 or more.
     ``class_id`` is the smallest id of those that links connect, ``n_links`` the number of other rows linked to a row
-    (rows of the same shingles included), ``n_copies`` the rows with its very shingles, itself included.
+    (rows of the same shingles included), ``n_copies`` the rows with its very shingles, itself included. ``h`` is the
+    text's hash, and ``stays`` marks the one row of a class (smallest id, then hash) that stands for it.
 
     Rows of equal shingles are one text from the start. Bands of MinHash values find candidates; inside each bucket
     their values are compared step by step, and a pair is dropped when the posterior probability that it reaches the
@@ -234,7 +235,7 @@ def jaccard_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     signed = store(rows.select("doc_id", "h", "text").mapInArrow(
         _signatures, "doc_id long, h long, key binary, n int, bands array<long>, sketch binary"), "signatures")
     classes = store(signed.filter("n > 0").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "h")).alias("holder"),
+        F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("holder"),
         F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     buckets = classes.select("key", F.explode("bands").alias("bucket"))
@@ -246,7 +247,7 @@ def jaccard_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     parts = components(edges).withColumnRenamed("node", "key")
 
     parts = parts.join(parts.groupBy("component").agg(F.count("*").alias("texts")), "component")
-    parts = parts.join(classes.select("key", "copies", "holder.*", "n", "sketch"), "key")
+    parts = parts.join(classes.select("key", "copies", "holder.doc_id", "holder.h", "n", "sketch"), "key")
     same = rows["doc_id"].eqNullSafe(parts["doc_id"]) & (rows["h"] == parts["h"])
     held = rows.join(parts, same).select(rows["text"], "key", "component", "texts", "copies", "n", "sketch")
     held = held.mapInArrow(_text_shingles, "shingles binary, key binary, component binary, texts long, copies long, n int, sketch binary")
@@ -256,11 +257,26 @@ def jaccard_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     named = components(verified.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
-    named = named.join(links, "key", "left").join(classes.select("key", "least_id"), "key")
-    named = named.join(named.groupBy("component").agg(F.min("least_id").alias("class_id")), "component")
-    table = (classes.select("key", "copies", "least_id").join(named.select("key", "links", "class_id"), "key", "left")
-             .select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "least_id").alias("class_id")))
-    return (signed.select("doc_id", "key", "n").join(table, "key", "left")
-            .select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-                    F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-                    F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies")))
+    named = named.join(links, "key", "left").join(classes.select("key", "holder"), "key")
+    # the row that stands for a class: ids before null, then the text's hash
+    rank = F.struct(F.col("holder.doc_id").isNull().alias("none"), "holder.doc_id", "holder.h")
+    named = named.join(named.groupBy("component").agg(F.min(rank).alias("best")), "component")
+    table = (classes.select("key", "copies", rank.alias("own")).join(named.select("key", "links", "best"), "key", "left")
+             .select("key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("best", "own").alias("best")))
+    alone = F.col("n") == 0
+    return signed.select("doc_id", "h", "key", "n").join(table, "key", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        F.when(alone, 0).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"), "h",
+        (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))).alias("stays"), alone.alias("no_words"))
+
+
+def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their class in :func:`jaccard_groups`: one of each, and all without words."""
+    groups = jaccard_groups(df, doc_id=doc_id, text=text)
+    same = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), text_id(F.col(f"`{text}`")))
+    chosen = groups.filter("stays").groupBy(F.xxhash64("doc_id", "h").alias("_same")).agg(F.min("no_words").alias("_no_words"))
+    # of rows with equal id and text one stays; the join has dealt them out by the same key
+    number = F.row_number().over(Window.partitionBy("_same").orderBy("_same"))
+    kept = df.withColumn("_same", same).join(chosen, "_same").withColumn("_number", number)
+    return kept.filter(F.col("_no_words") | (F.col("_number") == 1)).select(*[F.col(f"`{c}`") for c in df.columns])

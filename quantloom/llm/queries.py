@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, licenses, linededup, neardup, packing, quality, tokens, topk, toxicity
+from quantloom.llm import language, licenses, linededup, neardup, packing, pieces, quality, tokens, topk, toxicity
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +89,8 @@ def toxicity_chain(docs: DataFrame, path: str) -> toxicity.Chain:
 
 @query
 def op3_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
-    return neardup.jaccard_groups(table(spark, path, "documents").select("doc_id", "text"))
+    groups = neardup.jaccard_groups(table(spark, path, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "class_id", "n_links", "n_copies")
 
 
 @query
@@ -97,3 +98,12 @@ def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     cleaned = linededup.line_dedup(table(spark, path, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "removed_lines", "removed_words", F.length("text").cast("long").alias("kept_chars"),
                           F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.to_json("removed").alias("removed"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, path: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, path, "documents").select("doc_id", "text"), model), model)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+                        F.length("decoded").cast("long").alias("decoded_chars"), same.alias("round_trip"))
