@@ -43,7 +43,7 @@ def test_empty_and_odd(spark, docs_of, sf):
     assert cp.run(spark, sf(documents=docs_of([]), labels=labels)).count() == 0
     rows = [(1, None), (2, ""), (3, "the same text of some words"), (3, "the same text of some words"), (4, "the same text of some words"), (None, "x y")]
     got = cp.run(spark, sf(documents=docs_of(rows), labels=labels)).collect()
-    assert sorted((r.doc_id is None, r.doc_id) for r in got) == [(False, 1), (False, 2), (False, 3), (True, None)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.start == 0) == [(False, 1), (False, 2), (False, 3), (True, None)]
 
 
 def test_chain_learns(spark, docs_of):
