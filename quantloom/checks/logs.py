@@ -81,8 +81,8 @@ check("log_lineage", f"""WITH RECURSIVE {REC}, e AS (SELECT template, arg_max(co
 c(template, ancestor, distance) AS (SELECT template, template, 0 FROM e UNION ALL SELECT c.template, e.parent, c.distance + 1 FROM c JOIN e ON e.template = c.ancestor WHERE e.parent <> '')
 SELECT * FROM c""")(lambda s, p: ex.lineage(records(s, p)))
 check("log_full_ancestry", f"""WITH RECURSIVE e AS (SELECT 'P' || p_partkey AS template, unnest(['P' || (p_partkey // 3), 'P' || (p_partkey // 4)]) AS parent FROM part WHERE p_partkey >= 3),
-c(template, ancestor, distance) AS (SELECT 'P' || p_partkey, 'P' || p_partkey, 0 FROM part UNION ALL SELECT c.template, e.parent, c.distance + 1 FROM c JOIN e ON e.template = c.ancestor)
-SELECT * FROM c""")(lambda s, p: ex.lineage(table(s, p, "part").select(
+c(template, ancestor, distance) AS (SELECT 'P' || p_partkey, 'P' || p_partkey, 0 FROM part UNION SELECT c.template, e.parent, c.distance + 1 FROM c JOIN e ON e.template = c.ancestor)
+SELECT template, ancestor, min(distance) AS distance FROM c GROUP BY 1, 2""")(lambda s, p: ex.lineage(table(s, p, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey")).alias("template"), F.lit(1).alias("seq"), F.when(F.col("p_partkey") >= 3, F.array(
             F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 3)), F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 4)))).alias("parent_templates")), full=True))
 
@@ -134,8 +134,9 @@ check("registry_duplicates", """WITH f AS (SELECT s_name AS name, md5('thr_mean(
 SELECT fingerprint, count(*) AS n, min(name) AS first_name FROM f GROUP BY 1 HAVING count(*) > 1""")(lambda s, p: ex.duplicates(registry(s, p)))
 
 # -- formula texts --------------------------------------------------------------------------------------------
-FORM = """fm AS (SELECT p_partkey AS k, p_retailprice / 2000 AS fitness, CASE p_partkey % 5 WHEN 0 THEN 'ts_mean(CLOSE, ' || p_size || ')' WHEN 1 THEN 'log(VOLUME / ts_std(HIGH, ' || p_size || '))'
-  WHEN 2 THEN 'ts_rank(CLOSE, 1)' WHEN 3 THEN 'ts_max(3.5, 10) + OPEN' ELSE 'abs(CLOSE - OPEN) * ' || p_size END AS f FROM part)"""
+_LONG = "log(abs(VOLUME - HIGH) + ts_corr(LOW, VOLUME, 9) * ts_sum(AMOUNT / OPEN_INTEREST, 12.5) - ts_delta(LOW, 4) / ts_max(CLOSE, 30))"
+FORM = f"""fm AS (SELECT p_partkey AS k, p_retailprice / 2000 AS fitness, CASE WHEN p_partkey % 7 = 3 THEN '{_LONG}' ELSE CASE p_partkey % 5 WHEN 0 THEN 'ts_mean(CLOSE, ' || p_size || ')' WHEN 1 THEN 'log(VOLUME / ts_std(HIGH, ' || p_size || '))'
+  WHEN 2 THEN 'ts_rank(CLOSE, 1)' WHEN 3 THEN 'ts_max(3.5, 10) + OPEN' ELSE 'abs(CLOSE - OPEN) * ' || p_size END END AS f FROM part)"""
 
 
 def formulas(s, p):
@@ -143,6 +144,7 @@ def formulas(s, p):
     k = F.col("p_partkey") % 5
     f = (F.when(k == 0, F.concat(F.lit("ts_mean(CLOSE, "), n, F.lit(")"))).when(k == 1, F.concat(F.lit("log(VOLUME / ts_std(HIGH, "), n, F.lit("))")))
          .when(k == 2, F.lit("ts_rank(CLOSE, 1)")).when(k == 3, F.lit("ts_max(3.5, 10) + OPEN")).otherwise(F.concat(F.lit("abs(CLOSE - OPEN) * "), n)))
+    f = F.when(F.col("p_partkey") % 7 == 3, F.lit(_LONG)).otherwise(f)
     return table(s, p, "part").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") / 2000).alias("fitness"), f.alias("f"))
 
 
@@ -150,8 +152,13 @@ _SK = r"regexp_replace(regexp_replace(f, '\b[A-Z][A-Z_0-9]+\b', 'X', 'g'), '\b\d
 check("formula_skeleton", f"WITH {FORM} SELECT k, {_SK} AS skeleton FROM fm")(lambda s, p: formulas(s, p).select("k", ex.skeleton(F.col("f")).alias("skeleton")))
 check("formula_filter", f"""WITH {FORM} SELECT k, NOT regexp_matches(f, 'ts_\\w+\\([^,]+, 1\\)') AND regexp_matches(f, '\\b[A-Z][A-Z_0-9]+\\b') AND NOT regexp_matches(f, 'ts_\\w+\\(-?\\d+\\.?\\d*,') AS usable FROM fm""")(
     lambda s, p: formulas(s, p).select("k", ex.usable_formula(F.col("f")).alias("usable")))
-_SG = f"""sg AS (SELECT k, fitness, f, 'm:' || CASE k % 5 WHEN 1 THEN 'log' WHEN 4 THEN 'abs' ELSE 'none' END || '|t:' || CASE k % 5 WHEN 0 THEN 'ts_mean' WHEN 1 THEN 'ts_std' WHEN 2 THEN 'ts_rank' WHEN 3 THEN 'ts_max' ELSE 'none' END
-  || '|v:' || CASE k % 5 WHEN 1 THEN 'HIGH+VOLUME' WHEN 3 THEN 'OPEN' WHEN 4 THEN 'CLOSE+OPEN' ELSE 'CLOSE' END || '|s:' || {_SK} AS signature FROM fm)"""
+_SG = f"""fn AS (SELECT k, x, x IN ('abs', 'exp', 'log', 'sign', 'sqrt') AS math FROM (SELECT DISTINCT k, unnest(regexp_extract_all(f, '([a-z_]+)\\(', 1)) AS x FROM fm)),
+fs AS (SELECT k, string_agg(x, '+' ORDER BY x) FILTER (math) AS m, string_agg(x, '+' ORDER BY x) FILTER (NOT math) AS t FROM fn GROUP BY 1),
+vo AS (SELECT k, unnest(v) AS v, unnest(range(len(v))) AS i FROM (SELECT k, regexp_extract_all(f, '\\b([A-Z][A-Z_0-9]+)\\b', 1) AS v FROM fm)),
+vc AS (SELECT k, v, count(*) AS c, min(i) AS i, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(i)) AS r FROM vo GROUP BY 1, 2),
+vs AS (SELECT k, string_agg(v || ':' || c, '+' ORDER BY r) AS v FROM vc WHERE r <= 4 GROUP BY 1), sk AS (SELECT k, {_SK} AS s FROM fm),
+sg AS (SELECT fm.k, fitness, f, 'm:' || coalesce(m, 'none') || '|t:' || coalesce(t, 'none') || '|v:' || coalesce(v, 'none') || '|s:'
+  || CASE WHEN length(s) > 80 THEN s[1:40] || '..' || md5(s)[1:8] ELSE s END AS signature FROM fm JOIN sk USING (k) LEFT JOIN fs USING (k) LEFT JOIN vs USING (k))"""
 _MATH = ["abs", "exp", "log", "sign", "sqrt"]
 check("formula_signature", f"WITH {FORM}, {_SG} SELECT k, signature FROM sg")(lambda s, p: formulas(s, p).select("k", ex.signature(F.col("f"), _MATH).alias("signature")))
 check("formula_best_per_signature", f"""WITH {FORM}, {_SG} SELECT signature, {rsql('max(fitness)')} AS best, count(*) AS n, {rsql('arg_max(fitness, k)')} AS latest, arg_max(f, row(fitness, -k)) AS formula FROM sg GROUP BY 1 HAVING max(fitness) >= 0.3""")(

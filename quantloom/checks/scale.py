@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quantloom import col
 from quantloom.checks.base import check, rounded, rsql, table
-from quantloom.functions.rolling import ts_delay, ts_max, ts_mean, ts_zscore
+from quantloom.functions.cross_section import cs_rank, cs_rank0, cs_rank_average
+from quantloom.functions.rolling import rolling_apply, ts_delay, ts_max, ts_mean, ts_zscore
+from quantloom.plans.panel import with_features
 from quantloom.plans.split import cs_rank_split, numbered, with_features_split
 
 _O = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -40,3 +42,30 @@ def _(spark, path):
 def _(spark, path):
     out = cs_rank_split(lines(spark, path), "l_extendedprice", ts="l_returnflag")
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "rank"))
+
+
+# several lines share supplier and day, so (symbol, ts) repeats
+_RANKED = {"r1": ("l_extendedprice", ""), "r2": ("l_quantity", ""), "r3": ("l_discount", "0"), "r4": ("l_tax", "average"), "r5": ("l_partkey", ""),
+           "r6": ("l_orderkey", "0"), "r7": ("l_linenumber", "average"), "r8": ("l_discount", "")}
+
+
+def _rank_sql(name, column, kind):
+    day, at = "PARTITION BY l_shipdate", f"PARTITION BY l_shipdate ORDER BY {column}"
+    upto = f"count(*) OVER ({at} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    top = {"": f"rank() OVER ({at})", "0": f"(rank() OVER ({at}) - 1)", "average": f"(rank() OVER ({at}) + {upto}) / 2.0"}[kind]
+    return f"{rsql(f'{top} * 1.0 / count(*) OVER ({day})')} AS {name}"
+
+
+for _n in (1, 5, 6, 8):
+    _some = dict(list(_RANKED.items())[:_n])
+    check(f"ranks_repeated_keys_{_n}", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {', '.join(_rank_sql(k, *v) for k, v in _some.items())} FROM lineitem""")(
+        lambda s, p, some=_some: rounded(with_features(
+            table(s, p, "lineitem"), {k: {"": cs_rank, "0": cs_rank0, "average": cs_rank_average}[kind](col(c)) for k, (c, kind) in some.items()},
+            symbol="l_suppkey", ts="l_shipdate", keep=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])))
+
+_R = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 4 PRECEDING)"
+check("rolling_apply_one_name", f"""SELECT event_id, {rsql(f'CASE WHEN count(*) {_R} = 5 THEN max(value) {_R} END')} AS top, {rsql(f'CASE WHEN count(*) {_R} = 5 THEN min(value) {_R} END')} AS low FROM events""")(
+    lambda s, p: rounded(with_features(
+        numbered(table(s, p, "events"), symbol="event_type", ts="ts", order=["event_id"], bucket="day", output="n"),
+        {"top": rolling_apply("f", col("value"), 5, F.array_max), "low": rolling_apply("f", col("value"), 5, F.array_min)},
+        symbol="event_type", ts="n", keep=["event_id"])))

@@ -129,7 +129,21 @@ check("factor_run_validations", f"""{IC_SQL}, a AS (SELECT factor_id, avg(ic) AS
 h AS (SELECT factor_id, avg(((value > mv) = (ret > mr))::INT) AS h FROM ok JOIN md USING (factor_id, ts) GROUP BY 1)
 SELECT factor_id, {rsql('m')} AS ic_mean, {rsql('h')} AS hit_hit_rate FROM a JOIN h USING (factor_id)""")(
     lambda s, p: rounded(va.run_validations(pairs(s, p), ["ic", "hit"]).select("factor_id", "ic_mean", "hit_hit_rate")))
-check("factor_profile")(lambda s, p: rounded(va.factor_profile(pairs(s, p))))
+check("factor_profile", f"""WITH {PAIRS_SQL}, x AS (SELECT factor_id, ts, symbol, coalesce(value, 0.0) AS x FROM pairs), v AS (SELECT *, least(greatest(x, -100.0), 100.0) AS v FROM x),
+b AS (SELECT factor_id, avg(v) AS mean, stddev_pop(v) AS std, avg((v > 0)::INT) AS hit, quantile_cont(v, 0.8) AS q FROM v GROUP BY 1),
+s AS (SELECT factor_id, avg((v - mean) ** 3) / any_value(std) ** 3 AS skew, avg((v - mean) ** 4) / any_value(std) ** 4 AS kurtosis,
+  avg(v) FILTER (v >= q) / (abs(any_value(mean)) + 1e-10) AS top_ratio FROM v JOIN b USING (factor_id) GROUP BY 1),
+m AS (SELECT factor_id, ts, avg(x) AS m, row_number() OVER (PARTITION BY factor_id ORDER BY ts) AS i FROM x GROUP BY 1, 2),
+c AS (SELECT factor_id, i, m - avg(m) OVER (PARTITION BY factor_id) AS c FROM m),
+a AS (SELECT l.factor_id, sum(l.c * r.c) AS u FROM c l JOIN c r ON l.factor_id = r.factor_id AND l.i + 1 = r.i GROUP BY 1),
+z AS (SELECT factor_id, sum(c * c) AS s FROM c GROUP BY 1),
+r AS (SELECT x.factor_id, symbol, i, row_number() OVER (PARTITION BY x.factor_id, x.ts ORDER BY x, symbol) AS r, count(*) OVER (PARTITION BY x.factor_id, x.ts) AS n
+  FROM x JOIN m ON x.factor_id = m.factor_id AND x.ts = m.ts WHERE i <= 252),
+t AS (SELECT n.factor_id, n.i, avg(abs(n.r - o.r)) / max(n.n) AS t FROM r n JOIN r o ON n.factor_id = o.factor_id AND n.symbol = o.symbol AND n.i = o.i + 1 GROUP BY 1, 2),
+k AS (SELECT factor_id, avg(t) AS rank_turnover FROM (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY i DESC) AS j FROM t) WHERE j <= 20 GROUP BY 1)
+SELECT factor_id, {rsql('mean')} AS mean, {rsql('std')} AS std, {rsql('hit')} AS hit, {rsql('least(greatest(skew, -5), 5)')} AS skew, {rsql('least(greatest(kurtosis, 1), 15)')} AS kurtosis,
+  {rsql('top_ratio')} AS top_ratio, {rsql('u / s')} AS autocorr, {rsql('rank_turnover')} AS rank_turnover
+FROM b JOIN s USING (factor_id) JOIN a USING (factor_id) JOIN z USING (factor_id) JOIN k USING (factor_id)""")(lambda s, p: rounded(va.factor_profile(pairs(s, p))))
 
 
 @check("bootstrap_sharpe")

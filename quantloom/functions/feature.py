@@ -15,8 +15,10 @@ for small divisors and missing inputs:
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import types
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
@@ -25,6 +27,36 @@ from pyspark.sql import functions as F
 TINY = 1e-10
 
 
+def _identity(x) -> str:
+    """What a function does, as text: its code and the values it holds. Others are told apart by their ``repr``."""
+    if isinstance(x, Feature):
+        return x.key
+    if isinstance(x, functools.partial):
+        return f"{_identity(x.func)}{[_identity(a) for a in x.args]}{ {k: _identity(v) for k, v in x.keywords.items()} }"
+    code = getattr(x, "__code__", None)
+    if code is None:
+        owner = getattr(x, "__self__", None)
+        return repr(x) if owner is None or isinstance(owner, types.ModuleType) else f"{_identity(x.__func__)}{owner!r}"
+    held = [_identity(c.cell_contents) for c in x.__closure__ or () if not _empty(c)]
+    known = [_identity(d) for d in x.__defaults__ or ()]
+    named = {k: _identity(v) for k, v in (x.__kwdefaults__ or {}).items()}
+    return f"{x.__module__}.{x.__qualname__}:{_code(code)}{held}{known}{named}"
+
+
+def _empty(cell) -> bool:
+    try:
+        cell.cell_contents
+    except ValueError:
+        return True
+    return False
+
+
+@functools.lru_cache(maxsize=None)
+def _code(code: types.CodeType) -> str:
+    inner = [_code(c) if isinstance(c, types.CodeType) else repr(c) for c in code.co_consts]
+    return hashlib.md5(repr((code.co_code, code.co_names, inner)).encode()).hexdigest()
+
+
 class Feature:
     """Recipe for one panel column.
 
@@ -39,7 +71,7 @@ class Feature:
                  params: tuple = (), axis: str = "row", lookback: int | None = 0, uses: int = 1):
         self.op, self.inputs, self.build = op, inputs, build
         self.params, self.axis, self.lookback, self.uses = params, axis, lookback, uses
-        text = "|".join([op, repr(params), axis, *(i.key for i in inputs)])
+        text = "|".join([op, repr(params), axis, _identity(build), *(i.key for i in inputs)])
         self.key = hashlib.md5(text.encode()).hexdigest()[:16]
 
     # -- description ---------------------------------------------------------------------

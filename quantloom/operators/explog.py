@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.sources.store import materialize
+
 NODE = ("category", "template")
 MISSING = -999.0
 
@@ -131,23 +133,31 @@ def tree_state(records: DataFrame, tree: DataFrame) -> DataFrame:
 def lineage(records: DataFrame, wanted: DataFrame | None = None, *, full: bool = False) -> DataFrame:
     """Ancestors of templates with their distance, through the first parent (or all with ``full``).
 
-    A template is described by its latest record; a template already on the path ends it.
+    A template is described by its latest record. Each ancestor is listed once, at its smallest distance, itself
+    at 0, so cycles end. Every round doubles the known distance and is written once, so the number of rounds is
+    the logarithm of the longest chain.
     """
-    spark = records.sparkSession
     latest = records.groupBy("template").agg(F.max_by("parent_templates", "seq").alias("_p"))
     parent = F.explode("_p") if full else F.get("_p", F.lit(0))
-    edges = latest.select("template", parent.alias("parent")).filter(F.col("parent").isNotNull())
-    start = (wanted if wanted is not None else latest).select("template")
-    limit = "spark.sql.cteRecursionRowLimit"
-    spark.conf.set(limit, "-1")
-    return spark.sql("""
-        WITH RECURSIVE chain(template, ancestor, distance, path) AS (
-          SELECT template, template, 0, array(template) FROM {start}
-          UNION ALL
-          SELECT c.template, e.parent, c.distance + 1, array_append(c.path, e.parent)
-          FROM chain c JOIN {edges} e ON e.template = c.ancestor
-          WHERE NOT array_contains(c.path, e.parent))
-        SELECT template, ancestor, distance FROM chain""", start=start, edges=edges)
+    edges = latest.select("template", parent.alias("ancestor")).filter(F.col("ancestor").isNotNull())
+    own = latest.select("template", F.col("template").alias("ancestor"), F.lit(0).alias("distance"))
+    known, state = materialize(_nearest(own.union(edges.withColumn("distance", F.lit(1)))), "lineage"), None
+    while True:
+        now = known.agg(F.count(F.lit(1)), F.sum("distance")).first()
+        if now == state:
+            break
+        far = known.select(F.col("template").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("distance").alias("_d"))
+        on = known.join(far.filter("_d > 0"), "ancestor").select("template", F.col("_a").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        known, state = materialize(_nearest(known.union(on)), "lineage"), now
+    if wanted is None:
+        return known
+    asked = wanted.select("template")
+    return known.join(asked, "template", "left_semi").union(
+        asked.join(known, "template", "left_anti").select("template", "template", F.lit(0)))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("template", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 # -- library ----------------------------------------------------------------------------------------------
@@ -213,15 +223,26 @@ def used_variables(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z_0-9]+)\b"), 1)))
 
 
-def signature(text: Column, math: Sequence[str]) -> Column:
-    """Scalar functions, other functions, variables and skeleton in one text."""
+def signature(text: Column, math: Sequence[str], *, variables: int | None = 4, length: int = 80) -> Column:
+    """Scalar functions, other functions, variables with their counts and skeleton in one text.
+
+    The ``variables`` most frequent ones are named (None: all), the earlier one first where counts are equal.
+    A skeleton of more than ``length`` characters is its first half and a hash.
+    """
     known = F.array(*[F.lit(m) for m in math])
     fs = used_functions(text)
+    every = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z_0-9]+)\b"), 1)
+    counted = F.array_sort(F.transform(F.array_distinct(every), lambda v, i: F.struct(
+        (-F.size(F.filter(every, lambda x: x == v))).alias("n"), i.alias("i"), v.alias("v"))))
+    named = F.transform(counted, lambda c: F.concat(c["v"], F.lit(":"), (-c["n"]).cast("string")))
+    shape = skeleton(text)
+    short = F.when(F.length(shape) > length, F.concat(
+        F.substring(shape, 1, length // 2), F.lit(".."), F.substring(F.md5(shape.cast("binary")), 1, 8))).otherwise(shape)
 
     def part(a):
         return F.when(F.size(a) > 0, F.array_join(a, "+")).otherwise("none")
     return F.concat(F.lit("m:"), part(F.array_intersect(fs, known)), F.lit("|t:"), part(F.array_except(fs, known)),
-                    F.lit("|v:"), part(F.slice(used_variables(text), 1, 4)), F.lit("|s:"), skeleton(text))
+                    F.lit("|v:"), part(named if variables is None else F.slice(named, 1, variables)), F.lit("|s:"), short)
 
 
 def usable_formula(text: Column) -> Column:

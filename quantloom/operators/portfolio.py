@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.stats import corr_agg
 from quantloom.operators.validation import daily_ic
-from quantloom.sources.store import materialize
 
 SID = "strategy_id"
 
@@ -200,38 +199,44 @@ def combine_by_ic(factors: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 # -- net asset value ---------------------------------------------------------------------------------------
-def _numbered(weights: DataFrame, by) -> DataFrame:
-    """Weights with the ordinal of their rebalance date (one row per date decides the order)."""
-    order = weights.select(*by, "ts").distinct().withColumn(
-        "_k", F.row_number().over(W.partitionBy(*by).orderBy("ts")))
-    return weights.join(order, [*by, "ts"])
+def _marks(weights: DataFrame, by) -> DataFrame:
+    """Each rebalance date of a strategy with its ordinal and the next one (NULL for the last)."""
+    o = W.partitionBy(*by).orderBy("ts")
+    return weights.select(*by, "ts").distinct().select(*by, "ts", F.row_number().over(o).alias("_k"),
+                                                       F.lead("ts").over(o).alias("_next"))
 
 
 def weight_changes(weights: DataFrame, by: Sequence[str] = (SID,)) -> DataFrame:
     """Sold and bought weight at each rebalance against the previous one (first: all bought)."""
-    k = _numbered(weights, by)
-    new = k.select(*by, "_k", "symbol", F.col("weight").alias("_n"), F.lit(0.0).alias("_o"))
-    old = k.select(*by, (F.col("_k") + 1).alias("_k"), "symbol", F.lit(0.0).alias("_n"), F.col("weight").alias("_o"))
-    d = new.unionByName(old).groupBy(*by, "_k", "symbol").agg((F.sum("_n") - F.sum("_o")).alias("_d"))
+    marks = _marks(weights, by)
+    k = weights.join(marks, [*by, "ts"])
+    new = k.select(*by, "_k", "symbol", F.col("weight").alias("_w"))
+    old = k.select(*by, (F.col("_k") + 1).alias("_k"), "symbol", (-F.col("weight")).alias("_w"))
+    d = new.unionByName(old).groupBy(*by, "_k", "symbol").agg(F.sum("_w").alias("_d"))
     sums = d.groupBy(*by, "_k").agg(F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("sold"),
                                     F.sum(F.greatest(F.col("_d"), F.lit(0.0))).alias("bought"))
-    return k.select(*by, "_k", "ts").distinct().join(sums, [*by, "_k"])
+    return marks.select(*by, "_k", "ts").join(sums, [*by, "_k"])
 
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, by: Sequence[str] = (SID,)) -> DataFrame:
-    """Return of each date under the weights of the last rebalance before it; missing returns are 0."""
+    """Return of each date under the weights of the last rebalance before it; missing returns are 0.
+
+    A weight holds from its date (not included) to the next one of its strategy. It meets the returns of its symbol
+    month by month, so the join has equal keys and reads each return once per strategy that holds the symbol. Every
+    date of the returns is in the result, for every strategy: that is as many rows as the result has.
+    """
     by = list(by)
-    dates = returns.select("ts").distinct()
-    marks = weights.select(*by, "ts").distinct().withColumn("_rb", F.col("ts"))
-    grid = weights.select(*by).distinct().join(F.broadcast(dates.agg(F.collect_set("ts").alias("_d"))))
-    grid = grid.select(*by, F.explode("_d").alias("ts")).join(marks, [*by, "ts"], "left")
-    before = F.last("_rb", ignorenulls=True).over(
-        W.partitionBy(*by).orderBy("ts").rowsBetween(W.unboundedPreceding, -1))
-    asof = grid.select(*by, "ts", before.alias("_rb"))
-    held = asof.join(weights.withColumnRenamed("ts", "_rb"), [*by, "_rb"], "left")
-    r = held.join(returns.select("symbol", "ts", "ret"), ["symbol", "ts"], "left")
-    return r.groupBy(*by, "ts").agg(
-        F.sum(F.coalesce(F.col("weight"), F.lit(0.0)) * F.coalesce(F.col("ret"), F.lit(0.0))).alias("ret"))
+    end = returns.agg(F.max("ts").alias("_end"))  # one row
+    held = weights.join(_marks(weights, by), [*by, "ts"]).join(F.broadcast(end))
+    held = held.select(*by, "symbol", "weight", F.col("ts").alias("_from"), F.coalesce("_next", "_end").alias("_to"))
+    month = F.trunc("_from", "month")
+    held = held.filter(F.col("_from") < F.col("_to")).withColumn("_month", F.explode(F.sequence(
+        month, F.trunc("_to", "month"), F.expr("interval 1 month"))))
+    r = returns.select("symbol", "ts", "ret", F.trunc("ts", "month").alias("_month"))
+    got = (held.join(r, ["symbol", "_month"]).filter((F.col("ts") > F.col("_from")) & (F.col("ts") <= F.col("_to")))
+           .groupBy(*by, "ts").agg(F.sum(F.col("weight") * F.coalesce(F.col("ret"), F.lit(0.0))).alias("ret")))
+    dates = returns.select("ts").distinct().crossJoin(weights.select(*by).distinct()).select(*by, "ts", F.lit(0.0).alias("ret"))
+    return dates.unionByName(got).groupBy(*by, "ts").agg(F.sum("ret").alias("ret"))
 
 
 def rotation_nav(weights: DataFrame, returns: DataFrame, *, commission: float = 0.0, stamp: float = 0.0,
@@ -241,11 +246,8 @@ def rotation_nav(weights: DataFrame, returns: DataFrame, *, commission: float =
     Cost factor 1 - sold*(commission + stamp) - bought*commission, none for the first entry. With
     ``style_costs`` it is (1 - t*commission)*... on half the total change, the entry included:
     one commission and one stamp charge in sequence.
-
-    The weights (a few rows per rebalance date) are used several times and therefore written once.
     """
     by = list(by)
-    weights = materialize(weights, "weights")
     daily = portfolio_returns(weights, returns, by)
     moves = weight_changes(weights, by)
     if style_costs:

@@ -267,31 +267,45 @@ def funnel(table: DataFrame, sharpe: DataFrame, *, hit_min=0.5, stable_min=0.5,
         *by, F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("passed"))
 
 
-def factor_profile(pairs: DataFrame, *, last_changes: int = 20, rows: int = 252,
+def factor_profile(pairs: DataFrame, *, clip: float = 100.0, last_changes: int = 20, rows: int = 252,
                    by: Sequence[str] = BY) -> DataFrame:
-    """Eight statistics per factor: mean, std, skew, kurtosis, hit rate, lag-1 autocorrelation of
-    the date means, share of dates whose top value is in the top 20 %, and rank turnover."""
-    v = pairs.filter(F.col("value").isNotNull())
-    moments = v.groupBy(*by).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), skew_pandas("value").alias("skew"),
-        kurt_pandas("value").alias("kurtosis"), F.percentile("value", 0.8).alias("_q"),
-        F.avg(F.when(F.col("ret").isNotNull(), flag(F.signum("value") == F.signum("ret")))).alias("hit"))
-    top = v.join(moments.select(*by, "_q"), list(by)).groupBy(*by).agg(
-        F.avg(flag(F.col("value") >= F.col("_q"))).alias("top_ratio"))
-    means = v.groupBy(*by, "ts").agg(F.avg("value").alias("_m"))
+    """Eight statistics per factor; missing and infinite values count as 0.
+
+    Mean, std, skew (within +-5), kurtosis (1 to 15; not excess) and share of positive values, all of values within
+    +-``clip``; lag-1 autocorrelation of the date means; mean of the top fifth over the size of the mean; and rank
+    turnover: the mean change of a symbol's place over the number of symbols, on the last ``last_changes`` of the
+    first ``rows`` dates. Equal values are placed by symbol.
+    """
+    by = list(by)
+    x = F.col("value")
+    v = pairs.select(*by, "ts", "symbol", F.when(F.abs(x) < float("inf"), x).otherwise(0.0).alias("_x"))
+    v = v.withColumn("_v", F.least(F.greatest("_x", F.lit(-clip)), F.lit(clip)))
+    base = v.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.avg(flag(F.col("_v") > 0)).alias("hit"),
+                              F.percentile("_v", 0.8).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    d = F.col("_v") - F.col("mean")
+    cube = F.avg(d * d * d) / F.pow(F.first("std"), F.lit(3.0))
+    fourth = F.avg(d * d * d * d) / F.pow(F.first("std"), F.lit(4.0))
+    top = F.avg(F.when(F.col("_v") >= F.when(F.col("_n") >= 5, F.col("_q")).otherwise(F.col("mean")), F.col("_v")))
+    shape = v.join(base, by).groupBy(*by).agg(
+        F.when(F.first("std") > 1e-10, F.least(F.greatest(cube, F.lit(-5.0)), F.lit(5.0))).otherwise(0.0).alias("skew"),
+        F.when(F.first("std") > 1e-10, F.least(F.greatest(fourth, F.lit(1.0)), F.lit(15.0))).otherwise(0.0).alias("kurtosis"),
+        (top / (F.abs(F.first("mean")) + 1e-10)).alias("top_ratio"))
     w = W.partitionBy(*by).orderBy("ts")
-    means = means.withColumns({"_p": F.lag("_m").over(w), "_i": F.row_number().over(w)})
-    auto = means.filter(F.col("_p").isNotNull()).groupBy(*by).agg(corr_agg("_m", "_p").alias("autocorr"))
-    ranks = v.join(means.filter(F.col("_i") <= rows).select(*by, "ts", "_i"), [*by, "ts"])
-    part = [*by, "ts"]
-    n = F.count(F.lit(1)).over(W.partitionBy(*part))
-    ranks = ranks.withColumn("_r", average_rank("value", part) / n)
+    means = v.groupBy(*by, "ts").agg(F.avg("_x").alias("_m")).withColumn("_i", F.row_number().over(w))
+    m = F.col("_m") - F.avg("_m").over(W.partitionBy(*by))
+    auto = means.withColumn("_c", m).withColumn("_b", F.lag("_c").over(w)).groupBy(*by).agg(
+        F.sum(F.col("_c") * F.col("_b")).alias("_u"), F.sum(F.col("_c") * F.col("_c")).alias("_s"))
+    auto = auto.select(*by, F.when(F.col("_s") > 1e-10, F.col("_u") / F.col("_s")).otherwise(0.0).alias("autocorr"))
+    kept = v.join(means.filter(F.col("_i") <= rows).select(*by, "ts", "_i"), [*by, "ts"])
+    day = W.partitionBy(*by, "ts")
+    kept = kept.select(*by, "symbol", "_i", F.row_number().over(day.orderBy("_x", "symbol")).alias("_r"), F.count(F.lit(1)).over(day).alias("_d"))
     before = F.first("_r").over(W.partitionBy(*by, "symbol").orderBy("_i").rangeBetween(-1, -1))
-    last = F.max("_i").over(W.partitionBy(*by))
-    change = (ranks.withColumns({"_b": before, "_last": last}).filter(
-        F.col("_b").isNotNull() & (F.col("_i") > F.col("_last") - last_changes))
-        .groupBy(*by).agg(F.avg(F.abs(F.col("_r") - F.col("_b"))).alias("rank_turnover")))
-    return (moments.drop("_q").join(top, list(by)).join(auto, list(by), "left").join(change, list(by), "left"))
+    days = kept.withColumn("_b", before).filter(F.col("_b").isNotNull()).groupBy(*by, "_i").agg(
+        (F.avg(F.abs(F.col("_r") - F.col("_b"))) / F.max("_d")).alias("_t"))
+    last = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_i")))
+    change = days.withColumn("_k", last).filter(F.col("_k") <= last_changes).groupBy(*by).agg(F.avg("_t").alias("rank_turnover"))
+    return (base.drop("_q", "_n").join(shape, by).join(auto, by, "left").join(change, by, "left")
+            .fillna(0.0, ["autocorr", "rank_turnover"]))
 
 
 def prediction_gate(rows: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.feature import Feature, finite
 
+# repeats of a shared part up to which it is written out again instead of named; changes the plan only
 _INLINE_LIMIT = 24
-# from this many ranks at one stage on, they are computed in one pass over long rows
+# from this many ranks at one stage on, they are computed in one pass over long rows; results are the same
 _RANKS_TOGETHER = 6
 _RANK_OPS = ("cs_rank", "cs_rank0", "cs_rank_average")
 
@@ -115,10 +116,13 @@ def _rank_together(df: DataFrame, windows: Windows,
 
     Each row becomes one narrow row per ranked value; the other columns travel with the first
     of them only. A date with very many symbols is spread over as many tasks as there are ranks.
-    Needs (symbol, ts) to be unique.
+    Rows with one (symbol, ts) are told apart by a number; equal rows get equal ranks whichever is which.
     """
-    keys = [*windows.symbol, windows.ts]
-    rest = [c for c in df.columns if c not in keys]
+    rest = [f.name for f in df.schema.fields if f.name not in (*windows.symbol, windows.ts)]
+    apart = [F.hash(f.name) for f in df.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
+    df = df.withColumn("_twin", F.row_number().over(
+        W.partitionBy(*windows.symbol, windows.ts).orderBy(*(apart or [F.lit(0)]))))
+    keys = [*windows.symbol, windows.ts, "_twin"]
     long = df.select(*keys, F.struct(*rest).alias("_row"),
                      F.posexplode(F.array(*[x for _, _, x in ranks])).alias("_k", "_v"))
     long = long.withColumn("_row", F.when(F.col("_k") == 0, F.col("_row")))
@@ -138,7 +142,7 @@ def _rank_together(df: DataFrame, windows: Windows,
     back = ranked.repartition(*windows.symbol).groupBy(*keys).agg(
         F.first("_row", ignorenulls=True).alias("_row"),
         F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
-    return back.select(*keys, "_row.*", *[
+    return back.select(*keys[:-1], "_row.*", *[
         F.col("_ranks")[i]["_r"].alias(name) for i, (name, _, _) in enumerate(ranks)])
 
 

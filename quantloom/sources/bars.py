@@ -150,10 +150,7 @@ def bars_from_returns(returns: DataFrame, *, ret: str = "ret") -> DataFrame:
 def fill_calendar(bars: DataFrame) -> DataFrame:
     """Optional: a row for every symbol at every time of the table (NULL values where absent).
 
-    Each symbol carries the list of times, which is one short array (its length is the number
-    of distinct bar times), exploded per symbol.
+    The grid of symbols and times is as large as the result, and is joined with the bars on both.
     """
-    times = bars.select("ts").distinct().agg(F.array_sort(F.collect_list("ts")).alias("_times"))
-    grid = (bars.select("symbol").distinct().join(F.broadcast(times))
-            .select("symbol", F.explode("_times").alias("ts")))
+    grid = bars.select("symbol").distinct().crossJoin(bars.select("ts").distinct())
     return grid.join(bars, ["symbol", "ts"], "left")

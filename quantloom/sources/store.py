@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,17 @@ RECORD_SCHEMA = T.StructType([
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one where none is set."""
+    """A new folder under the cluster's shared checkpoint folder.
+
+    Only a local session, whose tasks run in the driver's own process, may do without that setting.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-        return f"{base.rstrip('/')}/{name}-{unique}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quantloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
