@@ -22,9 +22,12 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset in a local session (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="llm-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
