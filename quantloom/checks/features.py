@@ -102,11 +102,19 @@ def _(spark, path):
     return rounded(sw.signal_sweep(b, b, lambda d: ts_roc(col("close"), d), sw.grid(d=[2, 4, 8])), sharpe=4)
 
 
-@check("sweep_random_search")
+_DRAWN = [v["d"] for v in sw.draws(5, 11, d=(2, 20))]
+_DS = ", ".join(f"close / lag(close, {d}) OVER ({O}) - 1 AS s{i}" for i, d in enumerate(_DRAWN))
+_DU = " UNION ALL ".join(f"SELECT {i} AS variant_id, 'd={d}' AS params, symbol, ts, ret, s{i} AS sig FROM s0" for i, d in enumerate(_DRAWN))
+
+
+@check("sweep_random_search", f"""WITH {RETS_SQL}, s0 AS (SELECT *, {_DS} FROM rets), s AS ({_DU}),
+h AS (SELECT *, CASE WHEN lag(sig) OVER (PARTITION BY variant_id, symbol ORDER BY ts) > 0 THEN coalesce(ret, 0) ELSE 0 END AS hr FROM s),
+nv AS (SELECT variant_id, params, symbol, ts, product(1 + hr) OVER (PARTITION BY variant_id, symbol ORDER BY ts) AS nav FROM h), {_MET.format(by='variant_id, params, symbol')}
+SELECT variant_id, params, symbol, {_OUT} FROM m""")
 def _(spark, path):
     b = rets(spark, path)
     variants = sw.draws(5, 11, d=(2, 20))
-    return rounded(sw.signal_sweep(b, b, lambda d: ts_roc(col("close"), d), variants))
+    return rounded(sw.signal_sweep(b, b, lambda d: ts_roc(col("close"), d), variants), sharpe=4)
 
 
 @check("sweep_factor_grid")

@@ -75,11 +75,11 @@ def _(spark, path):
     return rounded(src.last_rows(week_bars(spark, path), 5, ["close"]))
 
 
-@check("bars_from_returns", f"""WITH {RETS_SQL} SELECT symbol, ts, {rsql('v', 0)} AS open, {rsql('v', 0)} AS high,
-  {rsql('v', 0)} AS low, {rsql('v', 0)} AS close, 1.0::DOUBLE AS volume FROM (SELECT symbol, ts, product(1 + coalesce(ret, 0))
+@check("bars_from_returns", f"""WITH {RETS_SQL} SELECT symbol, ts, {rsql('v')} AS open, {rsql('v')} AS high,
+  {rsql('v')} AS low, {rsql('v')} AS close, 1.0::DOUBLE AS volume FROM (SELECT symbol, ts, product(1 + coalesce(ret, 0))
   OVER (PARTITION BY symbol ORDER BY ts) AS v FROM rets)""")
 def _(spark, path):
-    return rounded(src.bars_from_returns(rets(spark, path)), 0)
+    return rounded(src.bars_from_returns(rets(spark, path)))
 
 
 @check("bars_fill_calendar", f"""{W_} SELECT s.symbol, t.ts, {rsql('close')} AS close
@@ -192,11 +192,10 @@ def _(spark, path):
     return rounded(b.join(top, "symbol", "left_semi"))
 
 
-@check("anti_exits", """SELECT DISTINCT c_custkey AS symbol FROM customer
-  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@check("anti_exits", """SELECT DISTINCT p_partkey AS symbol FROM part WHERE p_partkey NOT IN (SELECT l_partkey + 100 FROM lineitem)""")
 def _(spark, path):
-    held = table(spark, path, "customer").select(F.col("c_custkey").alias("symbol"))
-    target = table(spark, path, "orders").select(F.col("o_custkey").alias("symbol"))
+    held = table(spark, path, "part").select(F.col("p_partkey").alias("symbol"))
+    target = table(spark, path, "lineitem").select((F.col("l_partkey") + 100).alias("symbol"))
     return joins.only_in(held, target, ["symbol"]).distinct()
 
 

@@ -33,7 +33,8 @@ add("thr_zscore", sg.thr_zscore(X, 30, 0.5), hand(b(
     f"rn >= 30 AND stddev_samp(x) {last(30)} > 1e-10 AND x > avg(x) {last(30)} + 0.5 * stddev_samp(x) {last(30)}")))
 add("thr_pct", sg.thr_pct(X, 0.8), hand(b(f"rn > 20 AND x > quantile_cont(x, 0.8) {SOFAR}")))
 add("thr_range", sg.thr_range(X, 7.0, 8.0), hand(b("x > 7.0 AND x < 8.0")))
-add("switch_signal", sg.all_of(X > 7.0, X < 8.0), hand(b("x > 7.0 AND x < 8.0")))
+add("switch_signal", sg.regime_switch(X > 7.5, col("y"), -col("y")), hand("CASE WHEN x > 7.5 THEN y ELSE -y END"))
+add("band_signal", sg.all_of(X > 7.0, X < 8.0), hand(b("x > 7.0 AND x < 8.0")))
 add("pipe_and_or", {"low": sg.pipe_and(X, col("y")), "high": sg.pipe_or(X, col("y"))},
     f"WITH {PANEL_SQL} SELECT symbol, ts, {rsql('CASE WHEN x + y IS NOT NULL THEN least(x, y) END')} AS low, "
     f"{rsql('CASE WHEN x + y IS NOT NULL THEN greatest(x, y) END')} AS high FROM t0")

@@ -197,7 +197,7 @@ def ts_scale(x, d):
     return rolling("ts_scale", d, value, x)
 
 
-@function("ts", "corr")
+@function("ts", "corr", "correlation")
 def ts_corr(x, y, d):
     def value(f, a, b):
         spread = F.stddev_samp(a).over(f), F.stddev_samp(b).over(f)
@@ -206,7 +206,7 @@ def ts_corr(x, y, d):
     return rolling("ts_corr", d, value, *paired(x, y))
 
 
-@function("ts")
+@function("ts", "covariance")
 def ts_cov(x, y, d):
     def value(f, a, b):
         return F.when(F.count(a).over(f) >= 3, F.covar_samp(a, b).over(f))

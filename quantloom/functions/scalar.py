@@ -170,9 +170,6 @@ def or_(x, y) -> Feature:
 
 
 register("ifelse", where, "math")
-register("switch", where, "signal")
-register("if_then", where, "signal")
-register("regime_switch", where, "signal")
 
 
 def guarded_ratio(x, y) -> Feature:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.feature import TINY, Feature, all_of, any_of, as_feature, flag, row
+from quantloom.functions.feature import TINY, Feature, all_of, any_of, as_feature, flag, row, where
 from quantloom.functions.registry import function
 from quantloom.functions.rolling import (ROW_NUMBER, along, expanding_max, expanding_mean_after,
                                          expanding_median_after, expanding_percentile_linear,
@@ -16,6 +16,12 @@ from quantloom.functions.rolling import (ROW_NUMBER, along, expanding_max, expan
 from quantloom.functions.scalar import coalesce0
 
 
+@function("signal", "switch", "if_then")
+def regime_switch(condition, a, b):
+    """``a`` while the condition holds, else (a missing condition included) ``b``."""
+    return where(condition, a, b)
+
+
 @function("signal")
 def persist(x, n=3):
     """1 when the last ``n`` values are all positive; missing values break the run."""

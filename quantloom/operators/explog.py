@@ -90,9 +90,9 @@ def fusion_candidates(records: DataFrame) -> DataFrame:
     return g.filter(F.col("count") >= 2).orderBy(F.desc("count"), "category")
 
 
-def suggest(records: DataFrame, tree: DataFrame, categories: DataFrame, top_k: int = 5) -> DataFrame:
-    """What to try next: thin categories first, then partial templates, strong templates that are
-    weak in falling markets, and categories with roots to combine."""
+def suggest(records: DataFrame, tree: DataFrame, categories: DataFrame, top_k: int = 5, strongest: int = 3) -> DataFrame:
+    """What to try next: thin categories first, then partial templates, the ``strongest`` templates
+    if weak in falling markets, and categories with roots to combine."""
     counts = tree.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("string")
 
@@ -101,7 +101,7 @@ def suggest(records: DataFrame, tree: DataFrame, categories: DataFrame, top_k: i
                          F.lit(rule).alias("rule"), F.lit(reason).alias("reason"), F.lit(0 if rule == 1 else 1).alias("priority"))
     thin = categories.join(counts, "category", "left").filter(F.coalesce("n", F.lit(0)) < 3)
     partial = tree.filter(F.col("status") == "PARTIAL")
-    strong = tree.filter(F.col("status") != "REDUNDANT").orderBy(metric("sharpe_ratio_d").desc(), *NODE).limit(3)
+    strong = tree.filter(F.col("status") != "REDUNDANT").orderBy(metric("sharpe_ratio_d").desc(), *NODE).limit(strongest)
     weak = strong.filter(metric("bear_sharpe", 0.0) < 0.1)
     out = rows(thin, 1, "fewer than three templates")
     for df, rule, reason, t in ((partial, 2, "best parameters may lie at the edge", "template"),

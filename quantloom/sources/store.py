@@ -47,7 +47,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 # -- factor values ----------------------------------------------------------------------------------------
 def save_factors(values: DataFrame, path: str, *, mode: str = "append") -> None:
     """``(factor, lookback, symbol, ts, value)`` in folders per factor and lookback."""
-    (values.repartition("factor", "lookback", F.year("ts")).sortWithinPartitions("symbol", "ts")
+    # symbols are spread, so that a large year of one factor is several tasks and files
+    (values.repartition("factor", "lookback", F.year("ts"), F.pmod(F.hash("symbol"), F.lit(16))).sortWithinPartitions("symbol", "ts")
      .write.mode(mode).partitionBy("factor", "lookback").parquet(path))
 
 
@@ -61,6 +62,22 @@ def load_factors(spark: SparkSession, path: str, factor: str, lookback: int, sta
     return x
 
 
+def has_factor(spark: SparkSession, path: str, factor: str, lookback: int) -> bool:
+    """Whether values of the factor and lookback are stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/factor={factor}/lookback={lookback}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def clear_factors(spark: SparkSession, path: str, factor: str | None = None, lookback: int | None = None) -> None:
+    """Delete all stored values, those of a factor, or those of a factor and lookback."""
+    folder = "/".join([path.rstrip("/"), *([f"factor={factor}"] if factor else ["factor=*"]),
+                       *([f"lookback={lookback}"] if lookback is not None else [])])
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(pattern) or []:
+        fs.delete(found.getPath(), True)
+
+
 def list_factors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("factor", "lookback").distinct()
 
