@@ -1,7 +1,12 @@
-"""Line dedup by winnowing: repeated runs of lines, found by fingerprints and extended both ways."""
+"""Line dedup by winnowing: repeated runs of lines, found by fingerprints and extended both ways.
+
+A line of running prose holds many sentences, so lines are cut further at the space after a sentence's end: a passage
+pasted into a paragraph is then a run of whole lines but for its first sentence.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +17,21 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
 
 #: Words of a window of lines: every repeated run of lines with so many words holds a common fingerprint.
-WINDOW_WORDS = 50
+WINDOW_WORDS = 30
+_CUT = {True: re.compile(r"\n|(?<=[.!?]) "), False: re.compile(r"\n")}
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lines(raw: np.ndarray, offsets: np.ndarray, sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and number of words of each line with a word, and rows + 1 places where each row's lines begin."""
     w = words(raw, offsets)
-    newline = np.flatnonzero(raw == 10)
+    cut = raw == 10
+    if sentences:
+        ended = np.zeros(len(raw), bool)
+        ended[1:] = np.isin(raw[:-1], (33, 46, 63))
+        ended[offsets[:-1][offsets[:-1] < len(raw)]] = False
+        cut |= ended & (raw == 32)
+    newline = np.flatnonzero(cut)
     line = np.searchsorted(newline, w.start) + w.doc
     first = np.flatnonzero(np.diff(line, prepend=-1))
     start, doc = w.start[first], w.doc[first]
@@ -54,12 +66,12 @@ def windows(line: np.ndarray, count: np.ndarray, first: np.ndarray, least: int)
     return start, end, minimum, mix(mix(whole + (end - start).astype(np.uint64)) ^ value)
 
 
-def _fingerprints(least: int):
+def _fingerprints(least: int, sentences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                line, count, first = lines(*utf8(part.column(2)))
+                line, count, first = lines(*utf8(part.column(2)), sentences)
                 start, end, _, key = windows(line, count, first, least)
                 own = np.searchsorted(start, first)
                 base = np.repeat(first[:-1], np.diff(own))
@@ -97,46 +109,61 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["doc_id", "h", "start", "end"])
 
 
-def remove(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int, list[tuple[int, int]]]:
+def remove(text: str, runs: list[tuple[int, int]], sentences: bool = True) -> tuple[str, int, int, list[tuple[int, int]]]:
     """The text without the lines of ``runs`` (numbers among lines with words) and what is blank inside a run.
 
-    Also the lines and words removed, and the removed ranges among all lines.
+    Also the lines and words removed, and the removed character ranges. Kept neighbours of a removed run are joined
+    by a newline if there was one between them, else by a space.
     """
-    parts = text.split("\n")
-    full = [i for i, line in enumerate(parts) if line.strip(_SPACE)]
+    cuts = [(m.start(), m.group()) for m in _CUT[sentences].finditer(text)]
+    bounds = [-1, *(at for at, _ in cuts), len(text)]
+    parts = [(a + 1, b) for a, b in zip(bounds, bounds[1:])]
+    full = [i for i, (a, b) in enumerate(parts) if text[a:b].strip(_SPACE)]
     merged: list[list[int]] = []
     for a, b in sorted((full[a], full[b]) for a, b in runs):
         if merged and a <= merged[-1][1] + 1:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    gone = {i for a, b in merged for i in range(a, b + 1)}
-    n_words = sum(len(parts[i].translate(_BLANKS).split(" ")) - parts[i].translate(_BLANKS).split(" ").count("") for i in gone)
-    return "\n".join(p for i, p in enumerate(parts) if i not in gone), len(gone), n_words, [tuple(m) for m in merged]
+    pieces, n_words, lines_gone, at = [], 0, 0, 0
+    for a, b in [*merged, [len(parts), len(parts)]]:
+        if at < a:
+            if pieces:
+                pieces.append("\n" if any(c == "\n" for _, c in cuts[gap:at]) else " ")
+            pieces.append(text[parts[at][0]:parts[a - 1][1]])
+        if a < len(parts):
+            n_words += sum(len([x for x in text[p:q].translate(_BLANKS).split(" ") if x]) for p, q in parts[a:b + 1])
+            lines_gone += sum(a <= i <= b for i in full)
+            gap = a - 1 if at < a or not pieces else gap
+        at = b + 1
+    return "".join(pieces), lines_gone, n_words, [(parts[a][0], parts[b][1]) for a, b in merged]
 
 
 _BLANKS = str.maketrans(dict.fromkeys(_SPACE, " "))
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in text_slices(batch.column(0)):
-            part = batch.slice(lo, hi - lo)
-            rows = []
-            for text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if runs:
-                    rows.append(remove(text, [(r["start"], r["end"]) for r in runs]))
-                else:
-                    rows.append((text, 0, 0, []))
-            text, gone, n_words, spans = zip(*rows)
-            found = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[2:], pa.array(text, pa.string()), pa.array(gone, pa.int64()), pa.array(n_words, pa.int64()), found],
-                names=[*part.schema.names[2:], "text", "removed_lines", "removed_words", "removed"])
-
-
-def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
+def _remove(sentences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_slices(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                rows = []
+                for text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if runs:
+                        rows.append(remove(text, [(r["start"], r["end"]) for r in runs], sentences))
+                    else:
+                        rows.append((text, 0, 0, []))
+                text, gone, n_words, spans = zip(*rows)
+                found = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[2:], pa.array(text, pa.string()), pa.array(gone, pa.int64()), pa.array(n_words, pa.int64()), found],
+                    names=[*part.schema.names[2:], "text", "removed_lines", "removed_words", "removed"])
+    return run
+
+
+def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window_words: int = WINDOW_WORDS,
+               sentences: bool = True) -> DataFrame:
     """All rows and columns of ``df``; ``text`` without later repeats, and ``removed_lines, removed_words, removed``.
 
     A run of whole lines with ``window_words`` words or more that stands earlier in the corpus - in a row of smaller
@@ -145,7 +172,8 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     shares one wherever it stands. Fingerprints are joined to their first position, matches of two texts at one
     shift are extended both ways as far as their lines agree, and the later text loses the run. Every deleted line
     has an equal line at an earlier place, so no content is lost. Lines are equal byte for byte; lines without words
-    count for nothing and go only inside a run. ``removed`` holds line ranges of the old text (from 0).
+    count for nothing and go only inside a run. With ``sentences`` a line also ends at the space after ``.``, ``!`` or
+    ``?``. ``removed`` holds character ranges of the old text.
 
     Null texts stay null. Rows of equal id and text are one document: they keep and lose the same lines. An empty
     table gives an empty result; columns of ``df`` with an output's name (but the text) are replaced.
@@ -155,7 +183,7 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("_doc"), text_id(F.col(f"`{text}`")).alias("_h"),
                      F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     table = store(rows.select("_doc", "_h", "_text").mapInArrow(
-        _fingerprints(window_words),
+        _fingerprints(window_words, sentences),
         "doc_id long, h long, lines binary, windows array<struct<key: long, start: int, end: int>>"), "lines")
     place = F.struct("doc_id", "h", F.col("w.start").alias("start"))
     found = table.select("doc_id", "h", F.explode("windows").alias("w")).select(
@@ -178,6 +206,6 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     own = [rows[c] for c in rows.columns if c not in ("_doc", "_h", "_text")]
     ready = joined.select(rows["_text"], runs["runs"].alias("_runs"), *own)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields[2:])
-    out = ready.mapInArrow(_remove, fields + "text string, removed_lines long, removed_words long, removed array<struct<start: int, end: int>>")
+    out = ready.mapInArrow(_remove(sentences), fields + "text string, removed_lines long, removed_words long, removed array<struct<start: int, end: int>>")
     order = [F.col("text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c not in made]
     return out.select(*order, *made)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,9 +10,20 @@ from quantloom.llm import linededup, queries
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def brute(docs, least):
+def cut(text, sentences):
+    parts, seps = [], []
+    at = 0
+    for m in re.finditer(r"\n|(?<=[.!?]) " if sentences else r"\n", text):
+        parts.append(text[at:m.start()])
+        seps.append(m.group())
+        at = m.end()
+    return [*parts, text[at:]], seps
+
+
+def brute(docs, least, sentences):
     """Kept text by (doc_id, text): windows in order of place, each matched with the first equal one."""
-    full = {k: [(i, line) for i, line in enumerate((k[1] or "").split("\n")) if WORD.search(line)] for k in docs}
+    split = {k: cut(k[1] or "", sentences) for k in docs}
+    full = {k: [(i, line) for i, line in enumerate(split[k][0]) if WORD.search(line)] for k in docs}
     first, gone = {}, {k: set() for k in docs}
     for k in docs:
         lines = [line for _, line in full[k]]
@@ -29,7 +41,17 @@ def brute(docs, least):
             while b + 1 < len(lines) and b + 1 - shift < len(other) and lines[b + 1] == other[b + 1 - shift]:
                 b += 1
             gone[k] |= set(range(full[k][a][0], full[k][b][0] + 1))
-    return {k: None if k[1] is None else "\n".join(p for i, p in enumerate(k[1].split("\n")) if i not in gone[k]) for k in docs}
+    out = {}
+    for k in docs:
+        parts, seps = split[k]
+        kept, text = [i for i in range(len(parts)) if i not in gone[k]], ""
+        for n, i in enumerate(kept):
+            if n:
+                between = seps[kept[n - 1]:i]
+                text += between[0] if len(between) == 1 else "\n" if "\n" in between else " "
+            text += parts[i]
+        out[k] = None if k[1] is None else text
+    return out
 
 
 def corpus():
@@ -45,19 +67,22 @@ def corpus():
         if rng.random() < 0.3:
             t[1:1] = ["", "  "]
         texts.append("\n".join(t))
+    prose = ". ".join(" ".join(f"v{rng.randrange(900)}" for _ in range(rng.choice([2, 7, 12]))) for _ in range(9)) + "."
+    texts += [f"some words before {prose} And after. More", f"{prose}\nother lines here", f"An end. {prose} Tail! {prose}", ". . .", "a. \n b. c"]
     texts += [texts[0], texts[0] + "\nmore", "\n".join(line[7:20] * 3), None, "", "\n\n", " ".join(["long"] * 60), " ".join(["long"] * 60) + "\nx",
               "\n".join(["same line of words"] * 50), "x\r\n" + " ".join(["é"] * 55)]
     return [(i * 5 % 53, t) for i, t in enumerate(texts)] + [(None, texts[1]), (None, None), (4, texts[3]), (4, texts[3])]
 
 
-def test_against_brute_force(spark, docs_of, sf):
+@pytest.mark.parametrize("sentences", [True, False])
+def test_against_brute_force(spark, docs_of, sentences):
     from quantloom.llm.common import text_id
     rows = corpus()
     df = docs_of(rows).repartition(3).withColumnRenamed("lang", "removed").withColumnRenamed("source", "h")
     hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", text_id("text").alias("h")).collect()}
     order = sorted(set(rows), key=lambda k: (k[0] is not None, k[0] or 0, hashes[k]))
-    want = brute(order, 20)
-    got = linededup.line_dedup(df, window_words=20)
+    want = brute(order, 20, sentences)
+    got = linededup.line_dedup(df, window_words=20, sentences=sentences)
     assert got.columns == ["doc_id", "text", "h", "n_chars", "removed_lines", "removed_words", "removed"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((d, want[d, t]) for d, t in rows), key=str)
     assert got.filter("removed_lines > 0").count() > 10
