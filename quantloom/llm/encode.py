@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, word by word with a bounded memory of what each word gave.
 
 Splitting at white space is exact for these tokenizers: a token never spans from a visible character to a following
-space, so a text's ids are those of its words (each with the space before it) in a row. Texts with separators on
+space, so a text's ids are those of its words (each with the space before it) in a row; nor does one span a letter and a
+full stop or comma. Texts with separators on
 which Python and the tokenizer disagree, or with a special token's string, are encoded whole by the tokenizer.
 """
 
@@ -13,10 +14,14 @@ from collections.abc import Callable, Iterable
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker keeps; beyond it the memory starts anew (results do not depend on it).
-KEPT_WORDS = 500_000
+#: Words whose ids a worker keeps in each of two generations (results do not depend on it).
+KEPT_WORDS = 600_000
+#: Texts given to the tokenizer at once.
+_TOGETHER = 20_000
 #: Control characters that Python alone takes for white space.
-_CONTROL = re.compile("[\x1c-\x1f\x85]")
+_CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+#: A full stop or comma that does not follow a letter or digit; after one of those it is a token's first character.
+_LOOSE_MARK = re.compile(r"[.,](?<=[\W_].)")
 _PIECES = re.compile(r"\s*\S+|\s+$")
 
 
@@ -28,9 +33,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.keeps_spaces = keeps_spaces
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-                                  or r"(?!)")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.line = len(self._raw(["\n"])[0]) if keeps_spaces else 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -38,42 +44,59 @@ class Encoder:
 
     def _split(self, text: str) -> list[str] | None:
         """Words as keys; None where the tokenizer must see the whole text."""
-        if self.special.search(text) or (not text.isascii() or not text.isprintable()) and _CONTROL.search(text):
+        if any(c in text for c in _CONTROL) or any(s in text for s in self.special):
             return None
-        parts = text.split()
+        plain = not _LOOSE_MARK.search(text)
+        if plain:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:  # other alphabets' letters are left to the tokenizer
+                plain = False
         if not self.keeps_spaces:
-            return parts
+            return (text.lower().replace(".", " .").replace(",", " ,") if plain else text).split()
+        parts = text.split()
         gaps = len(parts) - 1
         if parts and text.count(" ") + text.count("\n") == gaps and sum(map(len, parts)) + gaps == len(text):
             # single separators between visible characters: one key per word, "\n" marks a line's first word
-            return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            text = ("\n" + text).replace("\n", " \n")
+            return (text.replace(".", " \0.").replace(",", " \0,") if plain else text).split(" ")[1:]
         return [p if p[0].isspace() else "\0" + p for p in _PIECES.findall(text)]
 
     def _source(self, key: str) -> str:
-        if not self.keeps_spaces or key[0].isspace():
-            return key
-        return " " + key
+        if key[0] == "\0":
+            return key[1:]
+        return key if not self.keeps_spaces or key[0].isspace() else " " + key
+
+    def _learn(self, keys: Iterable[str]) -> None:
+        """Ids of new keys, from the older memory or the tokenizer."""
+        new = []
+        for key in keys:
+            found = self.older.get(key)
+            if found is None:
+                new.append(key)
+            else:
+                self.known[key] = found
+        for at in range(0, len(new), _TOGETHER):
+            part = new[at:at + _TOGETHER]
+            self.known.update(zip(part, self._raw([self._source(k) for k in part])))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
-        split = [self._split(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({k for keys in split if keys is not None for k in keys if k not in known})
-        plain = [k for k in new if k[0] != "\0"]
-        known.update(zip(plain, self._raw([self._source(k) for k in plain])))
-        first = [k for k in new if k[0] == "\0"]  # a text's first piece, without a space before it
-        known.update(zip(first, self._raw([k[1:] for k in first])))
-        out = []
-        line = len(self._raw(["\n"])[0]) if self.keeps_spaces else 0
+            self.known, self.older = {}, self.known
+        split = [self._split(t) for t in texts]
+        words = set()
+        for keys in split:
+            if keys is not None:
+                words.update(keys)
+        self._learn(words.difference(self.known))
+        known, out = self.known, []
         for text, keys in zip(texts, split):
             if keys is None:
                 out.append(self._raw([text])[0])
-            elif keys and self.keeps_spaces and keys[0][0] == "\n" and text[0] != "\n":
-                out.append(b"".join([known[k] for k in keys])[line:])
-            else:
-                out.append(b"".join([known[k] for k in keys]))
+                continue
+            ids = b"".join([known[k] for k in keys])
+            out.append(ids[self.line:] if keys and keys[0][0] == "\n" and text[0] != "\n" else ids)
         return out
 
 
