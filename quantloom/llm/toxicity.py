@@ -173,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, doc_
         return pd.DataFrame({"threshold": chain.threshold, "buckets": [x.buckets for x in chain.links],
                              "weights": [x.weights for x in chain.links]}).reset_index(names="link")
 
-    found = (rows.mapInArrow(vectors, "_h long, y array<double>, x array<int>").groupBy((F.col("_h") * 0).alias("all"))
+    found = sorted(rows.mapInArrow(vectors, "_h long, y array<double>, x array<int>").groupBy((F.col("_h") * 0).alias("all"))
              .applyInPandas(fitted, "link long, threshold double, buckets array<long>, weights array<double>")
-             .orderBy("link").collect())  # one row for each category
+             .collect())  # one row for each category
     if not found:
         return Chain(tuple(categories), [Linear(np.zeros(0, np.int64), np.zeros(i + 1) - 5.0 * (np.arange(i + 1) == i))
                                          for i in range(len(categories))], 0.5)
