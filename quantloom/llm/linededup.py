@@ -19,6 +19,7 @@ from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id,
 #: Words of a window of lines: every repeated run of lines with so many words holds a common fingerprint.
 WINDOW_WORDS = 30
 _CUT = {True: re.compile(r"\n|(?<=[.!?]) "), False: re.compile(r"\n")}
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -67,42 +68,62 @@ def windows(line: np.ndarray, count: np.ndarray, first: np.ndarray, least: int)
 
 
 def _fingerprints(least: int, sentences: bool):
+    """Each row's lines, the first window of every fingerprint, and the runs that repeat inside the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
                 line, count, first = lines(*utf8(part.column(2)), sentences)
-                start, end, _, key = windows(line, count, first, least)
-                own = np.searchsorted(start, first)
-                base = np.repeat(first[:-1], np.diff(own))
-                spans = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(start - base, pa.int32()),
-                                                    pa.array(end - base, pa.int32())], ["key", "start", "end"])
-                held = [line[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                start, _, _, key = windows(line, count, first, least)
+                doc = np.searchsorted(first, start, side="right") - 1
+                order = np.lexsort((start, key, doc))
+                same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
+                new = np.ones(len(start), bool)
+                new[order[1:][same]] = False
+                own = np.searchsorted(doc[new], np.arange(len(part) + 1))
+                at = pa.array(start[new] - first[doc[new]], pa.int32())
+                found = pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), at], ["key", "start"])
+                again: dict[int, list[tuple[int, int]]] = {}
+                for d, i, before in zip(doc[order[1:][same]].tolist(), start[order[1:][same]].tolist(), start[order[:-1][same]].tolist()):
+                    again.setdefault(d, []).append((i - int(first[d]), i - before))
+                held = [line[x:y] for x, y in zip(first[:-1], first[1:])]
+                inside = [_inside(held[d].tolist(), again[d]) if d in again else [] for d in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(held, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(own, pa.int32()), spans)], names=["doc_id", "h", "lines", "windows"])
+                    [part.column(0), part.column(1), pa.array([x.tobytes() for x in held], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(own, pa.int32()), found),
+                     pa.array([[{"start": x, "end": y} for x, y in spans] for spans in inside], _SPAN)],
+                    names=["doc_id", "h", "lines", "windows", "inside"])
     return run
 
 
-def extend(mine: np.ndarray, other: np.ndarray, shift: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of ``mine`` equal to ``other`` at ``shift``, each grown from a span as far as the lines agree."""
+def _inside(line: list[int], again: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of a text that repeat its own earlier lines, from (window, distance to its previous place)."""
+    by_shift: dict[int, list[int]] = {}
+    for start, shift in again:
+        by_shift.setdefault(shift, []).append(start)
+    return [run for shift, starts in by_shift.items() for run in extend(line, line, shift, starts)]
+
+
+def extend(mine: list[int], other: list[int], shift: int, starts: list[int]) -> list[tuple[int, int]]:
+    """Runs of ``mine`` equal to ``other`` at ``shift``, grown both ways from each start as far as the lines agree."""
     out: list[tuple[int, int]] = []
-    lo = max(0, shift)
-    hi = max(lo, min(len(mine), len(other) + shift))
-    differs = np.flatnonzero(mine[lo:hi] != other[lo - shift:hi - shift]) + lo
-    for start, _ in sorted(spans):
+    for start in sorted(starts):
         if out and start <= out[-1][1]:
             continue
-        i = np.searchsorted(differs, start)
-        out.append((int(differs[i - 1]) + 1 if i else lo, int(differs[i]) - 1 if i < len(differs) else hi - 1))
+        a, b = start, start
+        while a > 0 and a > shift and mine[a - 1] == other[a - 1 - shift]:
+            a -= 1
+        while b + 1 < len(mine) and b + 1 - shift < len(other) and mine[b + 1] == other[b + 1 - shift]:
+            b += 1
+        out.append((a, b))
     return out
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, h, mine, other, shift, spans in zip(*[c.to_pylist() for c in batch.columns]):
-            for a, b in extend(np.frombuffer(mine, np.uint64), np.frombuffer(other, np.uint64), shift, [(s["start"], s["end"]) for s in spans]):
+        for doc, h, mine, other, shift, starts in zip(*[c.to_pylist() for c in batch.columns]):
+            for a, b in extend(np.frombuffer(mine, np.uint64).tolist(), np.frombuffer(other, np.uint64).tolist(), shift, starts):
                 out.append((doc, h, a, b))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
@@ -140,7 +161,6 @@ def remove(text: str, runs: list[tuple[int, int]], sentences: bool = True) -> tu
 
 
 _BLANKS = str.maketrans(dict.fromkeys(_SPACE, " "))
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _remove(sentences: bool):
@@ -169,8 +189,9 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     A run of whole lines with ``window_words`` words or more that stands earlier in the corpus - in a row of smaller
     id (null ids first, then by the text's hash) or further up in the same text - is deleted; its first place stays.
     Every shortest window of lines with so many words gives a fingerprint at its minimal line hash, so any such run
-    shares one wherever it stands. Fingerprints are joined to their first position, matches of two texts at one
-    shift are extended both ways as far as their lines agree, and the later text loses the run. Every deleted line
+    shares one wherever it stands. A fingerprint met before in the same text is matched with its previous place there,
+    a text's first one with the first place in the corpus. Matches of two texts at one shift are extended both
+    ways as far as their lines agree, and the later text loses the run. Every deleted line
     has an equal line at an earlier place, so no content is lost. Lines are equal byte for byte; lines without words
     count for nothing and go only inside a run. With ``sentences`` a line also ends at the space after ``.``, ``!`` or
     ``?``. ``removed`` holds character ranges of the old text.
@@ -184,22 +205,22 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
                      F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     table = store(rows.select("_doc", "_h", "_text").mapInArrow(
         _fingerprints(window_words, sentences),
-        "doc_id long, h long, lines binary, windows array<struct<key: long, start: int, end: int>>"), "lines")
+        "doc_id long, h long, lines binary, windows array<struct<key: long, start: int>>, inside array<struct<start: int, end: int>>"), "lines")
     place = F.struct("doc_id", "h", F.col("w.start").alias("start"))
-    found = table.select("doc_id", "h", F.explode("windows").alias("w")).select(
-        F.col("w.key").alias("key"), place.alias("at"), F.col("w.end").alias("end"))
+    found = table.select("doc_id", "h", F.explode("windows").alias("w")).select(F.col("w.key").alias("key"), place.alias("at"))
     first = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(first, "key").filter(F.col("at") != F.col("first"))
     matches = later.groupBy(
         F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"), F.col("first.doc_id").alias("o_doc_id"),
         F.col("first.h").alias("o_h"), (F.col("at.start") - F.col("first.start")).alias("shift")).agg(
-        F.collect_set(F.struct(F.col("at.start").alias("start"), F.col("end"))).alias("spans"))  # at most a text's lines
+        F.collect_set("at.start").alias("starts"))  # at most a text's lines
     held = table.groupBy("doc_id", "h").agg(F.first("lines").alias("lines"))
     other = held.select(F.col("doc_id").alias("_od"), F.col("h").alias("_oh"), F.col("lines").alias("other"))
     matches = matches.join(other, matches["o_doc_id"].eqNullSafe(other["_od"]) & (matches["o_h"] == other["_oh"]))
     mine = held.select(F.col("doc_id").alias("_md"), F.col("h").alias("_mh"), F.col("lines").alias("mine"))
     matches = matches.join(mine, matches["doc_id"].eqNullSafe(mine["_md"]) & (matches["h"] == mine["_mh"]))
-    runs = matches.select("doc_id", "h", "mine", "other", "shift", "spans").mapInArrow(_extend, "doc_id long, h long, start int, end int")
+    runs = matches.select("doc_id", "h", "mine", "other", "shift", "starts").mapInArrow(_extend, "doc_id long, h long, start int, end int")
+    runs = runs.union(table.select("doc_id", "h", F.inline("inside")))
     runs = runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     joined = rows.join(runs, rows["_doc"].eqNullSafe(runs["doc_id"]) & (rows["_h"] == runs["h"]), "left")
     # the joined columns beside the row's own

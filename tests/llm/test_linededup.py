@@ -26,13 +26,16 @@ def brute(docs, least, sentences):
     full = {k: [(i, line) for i, line in enumerate(split[k][0]) if WORD.search(line)] for k in docs}
     first, gone = {}, {k: set() for k in docs}
     for k in docs:
-        lines = [line for _, line in full[k]]
+        lines, here = [line for _, line in full[k]], {}
         counts = [len(WORD.findall(line)) for line in lines]
         for i in range(len(lines)):
             j = next((j for j in range(i, len(lines)) if sum(counts[i:j + 1]) >= least), None)
             if j is None:
                 continue
-            if (at := first.setdefault(tuple(lines[i:j + 1]), (k, i))) == (k, i):
+            window = tuple(lines[i:j + 1])
+            at = here.get(window) or first.setdefault(window, (k, i))
+            here[window] = (k, i)
+            if at == (k, i):
                 continue
             other, shift = [line for _, line in full[at[0]]], i - at[1]
             a, b = i, j
@@ -91,11 +94,9 @@ def test_against_brute_force(spark, docs_of, sentences):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12), st.integers(-6, 6))
 def test_extend(a, b, shift):
-    import numpy as np
-    mine, other = np.array(a, np.uint64), np.array(b, np.uint64)
-    spans = [(i, i) for i in range(len(a)) if 0 <= i - shift < len(b) and a[i] == b[i - shift]]
-    covered = {i for s, e in linededup.extend(mine, other, shift, spans) for i in range(s, e + 1)}
-    assert covered == {i for i, _ in spans}
+    starts = [i for i in range(len(a)) if 0 <= i - shift < len(b) and a[i] == b[i - shift]]
+    covered = {i for s, e in linededup.extend(a, b, shift, starts) for i in range(s, e + 1)}
+    assert covered == set(starts)
 
 
 def test_shared_passages_go_and_clean_texts_stay(spark, docs_of, sf):
