@@ -9,6 +9,7 @@ which Python and the tokenizer disagree, or with a special token's string, are e
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps in each of two generations (results do not depend on it).
 KEPT_WORDS = 600_000
-#: Texts given to the tokenizer at once.
-_TOGETHER = 20_000
+#: New words put into one text for the tokenizer.
+_TOGETHER = 500
 #: Control characters that Python alone takes for white space.
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: A full stop or comma that does not follow a letter or digit; after one of those it is a token's first character.
@@ -33,6 +34,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.keeps_spaces = keeps_spaces
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -40,7 +42,22 @@ class Encoder:
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _raw_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without special tokens: many to a text, with a special token between them."""
+        if not self.special:
+            return self._raw(words)
+        mark, out = self.tokenizer.token_to_id(self.special[0]), []
+        texts = [self.special[0].join(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array(self.code, e.ids)
+            start = 0
+            for end in np.flatnonzero(np.frombuffer(ids, self.dtype) == mark).tolist():
+                out.append(ids[start:end].tobytes())
+                start = end + 1
+            out.append(ids[start:].tobytes())
+        return out
 
     def _split(self, text: str) -> list[str] | None:
         """Words as keys; None where the tokenizer must see the whole text."""
@@ -76,9 +93,7 @@ class Encoder:
                 new.append(key)
             else:
                 self.known[key] = found
-        for at in range(0, len(new), _TOGETHER):
-            part = new[at:at + _TOGETHER]
-            self.known.update(zip(part, self._raw([self._source(k) for k in part])))
+        self.known.update(zip(new, self._raw_words([self._source(k) for k in new])))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)

@@ -17,9 +17,9 @@ from quantloom.llm.encode import encoder
 #: A block ends with the document that takes it past so many ids.
 BLOCK_TOKENS = 1 << 20
 
-_BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("width", pa.int32()),
+_BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
                     ("doc_ids", pa.list_(pa.int64())), ("ends", pa.binary()), ("ids", pa.binary())])
-_BLOCK_DDL = "shard int, block int, n_tokens long, width int, doc_ids array<bigint>, ends binary, ids binary"
+_BLOCK_DDL = "shard int, block int, before long, n_tokens long, width int, doc_ids array<bigint>, ends binary, ids binary"
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
@@ -28,11 +28,11 @@ def _write_blocks(tokenizer: str, keeps_spaces: bool, end_id: int):
         enc = encoder(tokenizer, keeps_spaces)
         end = np.array([end_id], enc.dtype).tobytes()
         shard = TaskContext.get().partitionId()
-        number, docs, parts, total = 0, [], [], 0
+        number, before, docs, parts, total = 0, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             ends = np.cumsum([len(p) for p in parts]) // enc.dtype.itemsize
-            row = [shard, number, int(ends[-1]), enc.dtype.itemsize, docs, EliasFano.encode(ends).tobytes(), b"".join(parts)]
+            row = [shard, number, before, int(ends[-1]), enc.dtype.itemsize, docs, EliasFano.encode(ends).tobytes(), b"".join(parts)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
@@ -45,7 +45,7 @@ def _write_blocks(tokenizer: str, keeps_spaces: bool, end_id: int):
                     total += len(parts[-1])
                     if total >= BLOCK_TOKENS * enc.dtype.itemsize:
                         yield block()
-                        number, docs, parts, total = number + 1, [], [], 0
+                        number, before, docs, parts, total = number + 1, before + total // enc.dtype.itemsize, [], [], 0
         if docs:
             yield block()
     return run
@@ -55,7 +55,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, *, keeps_spaces: bool
                  doc_id: str = "doc_id", text: str = "text") -> None:
     """Write every document's ids and ``end_id``, in ascending ``doc_id`` order, as a folder of blocks.
 
-    One row is a block of a shard: its ids as little-endian 2- or 4-byte numbers (``width``), the documents' ids,
+    One row is a block of a shard: the number of the shard's ids before it, its ids as little-endian 2- or 4-byte numbers (``width``), the documents' ids,
     and the documents' end offsets inside the block in Elias-Fano form. Shards are ranges of ``doc_id`` and blocks
     follow each other inside a shard, so ``(shard, block)`` is the corpus order. Null texts are empty documents
     (the end id alone), null ids come last, rows of one id stand in the order of their text's hash and text.
@@ -70,14 +70,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, *, keeps_spaces: bool
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``first``, the ids before each block: shard totals first, then blocks inside a shard."""
-    head = blocks.select("shard", "block", "n_tokens")
-    shards = head.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))  # as many rows as shards
-    before = F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = head.join(shards, "shard").select("shard", "block", (F.col("_before") + F.coalesce(inside, F.lit(0))).alias("first"))
-    return blocks.join(starts, ["shard", "block"])
+    """``blocks`` with ``first``, the ids before each block. Only a row for each shard is summed and sent to all."""
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))  # as many rows as tasks wrote
+    earlier = F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    shards = shards.select("shard", F.coalesce(earlier, F.lit(0)).alias("_shard"))
+    return blocks.join(F.broadcast(shards), "shard").withColumn("first", F.col("_shard") + F.col("before"))
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
