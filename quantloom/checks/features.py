@@ -134,13 +134,17 @@ _WINS = sw.windows(datetime(1995, 1, 2), datetime(2001, 10, 1), "2Y", "1Y", "6M"
 _WV = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}', TIMESTAMP '{c}')" for i, (a, b, c) in enumerate(_WINS))
 
 
-def _wf_sql(recompute: bool, tail: str) -> str:
+_ANCHORED = sw.windows(datetime(1995, 1, 2), datetime(2001, 10, 1), "2Y", "1Y", "6M", anchored=True)
+_AV = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}', TIMESTAMP '{c}')" for i, (a, b, c) in enumerate(_ANCHORED))
+
+
+def _wf_sql(recompute: bool, tail: str, wins: str = _WV, end: str = "<=") -> str:
     key = "symbol, window_id" if recompute else "symbol"
     sig = f"close / lag(close, 4) OVER (PARTITION BY {key} ORDER BY ts) - 1"
-    first = f"s AS (SELECT r.*, window_id, b, c FROM rets r JOIN wins ON r.ts >= a AND r.ts <= c), x AS (SELECT *, {sig} AS sig FROM s)"
+    first = f"s AS (SELECT r.*, window_id, b, c FROM rets r JOIN wins ON r.ts >= a AND r.ts {end} c), x AS (SELECT *, {sig} AS sig FROM s)"
     if not recompute:
-        first = f"s AS (SELECT *, {sig} AS sig FROM rets), x AS (SELECT s.*, window_id, b, c FROM s JOIN wins ON s.ts >= a AND s.ts <= c)"
-    return f"""WITH {RETS_SQL}, wins(window_id, a, b, c) AS (VALUES {_WV}), {first},
+        first = f"s AS (SELECT *, {sig} AS sig FROM rets), x AS (SELECT s.*, window_id, b, c FROM s JOIN wins ON s.ts >= a AND s.ts {end} c)"
+    return f"""WITH {RETS_SQL}, wins(window_id, a, b, c) AS (VALUES {wins}), {first},
 q AS (SELECT *, CASE WHEN ts >= b THEN 'test' ELSE 'train' END AS part FROM x),
 h AS (SELECT *, CASE WHEN lag(sig) OVER w > 0 THEN coalesce(ret, 0) ELSE 0 END AS hr FROM q WINDOW w AS (PARTITION BY symbol, window_id, part ORDER BY ts)),
 nv AS (SELECT symbol, window_id, part, ts, product(1 + hr) OVER (PARTITION BY symbol, window_id, part ORDER BY ts) AS nav FROM h), {_MET.format(by='symbol, window_id, part')},
@@ -157,6 +161,10 @@ def _wf(spark, path, recompute):
 
 check("walk_forward_recomputed", _wf_sql(True, _WF))(lambda s, p: rounded(_wf(s, p, True), sharpe=4))
 check("walk_forward_precomputed", _wf_sql(False, _WF))(lambda s, p: rounded(_wf(s, p, False), sharpe=4))
+check("walk_forward_half_open", _wf_sql(True, _WF, end="<"))(lambda s, p: rounded((lambda b: sw.walk_forward(
+    b, b, ts_roc(col("close"), 4), _WINS, inclusive=False))(rets(s, p)), sharpe=4))
+check("walk_forward_anchored", _wf_sql(True, _WF, _AV, "<"))(lambda s, p: rounded((lambda b: sw.walk_forward(
+    b, b, ts_roc(col("close"), 4), _ANCHORED, inclusive=False))(rets(s, p)), sharpe=4))
 check("walk_forward_summary", _wf_sql(True, f"""SELECT symbol, count(*) AS windows, {rsql('avg(sharpe)', 4)} AS mean_sharpe, {rsql('stddev_pop(sharpe)', 4)} AS sharpe_std,
   {rsql('greatest(0.0, 1 - stddev_pop(sharpe))', 4)} AS stability, count(*) FILTER (WHERE sharpe < 0) AS negative_count, {rsql('avg((sharpe > 0)::INT)', 4)} AS win_rate,
   {rsql('min(sharpe)', 4)} AS min_sharpe, {rsql('max(sharpe)', 4)} AS max_sharpe FROM wf WHERE part = 'test' GROUP BY symbol"""))(

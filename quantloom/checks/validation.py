@@ -56,7 +56,17 @@ check("ic_summary", f"""{IC_SQL} SELECT factor_id, count(*) AS days, {rsql('avg(
   {rsql('avg(ic) / stddev_pop(ic)')} AS ir, {rsql('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_ratio,
   {rsql('avg(ic) / (stddev_samp(ic) / sqrt(count(*)))')} AS t_stat FROM ic GROUP BY 1""")(
     lambda s, p: rounded(va.ic_summary(va.daily_ic(pairs(s, p)))))
-check("ic_p_value")(lambda s, p: rounded(va.ic_summary(va.daily_ic(pairs(s, p)), p_value=True)))
+def t_two_sided(t: str, df: str) -> str:
+    """Two-sided p-value by Simpson's rule over the density of Student's t."""
+    density = f"pow(1 + pow(abs({t}) * i / 4000.0, 2) / ({df}), -(({df}) + 1) / 2.0) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    scale = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi())"
+    return f"greatest(0.0, 1 - 2 * {scale} * abs({t}) / 12000.0 * list_sum(list_transform(range(0, 4001), lambda i: {density})))"
+
+
+check("ic_p_value", f"""{IC_SQL}, t AS (SELECT factor_id, count(*) AS days, avg(ic) AS mean, stddev_pop(ic) AS std, avg((ic > 0)::INT) AS positive_ratio,
+  avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t_stat FROM ic GROUP BY 1)
+SELECT factor_id, days, {rsql('mean')} AS mean, {rsql('std')} AS std, {rsql('mean / std')} AS ir, {rsql('positive_ratio')} AS positive_ratio, {rsql('t_stat')} AS t_stat,
+  {rsql(t_two_sided('t_stat', '(days - 1)'))} AS p_value FROM t""")(lambda s, p: rounded(va.ic_summary(va.daily_ic(pairs(s, p)), p_value=True)))
 check("ic_aligned_one_period", f"""{IC_SQL} SELECT factor_id, ts, {rsql('ic')} AS ic FROM ic WHERE ts > (SELECT min(ts) FROM pairs)
   AND ts < (SELECT max(ts) FROM pairs)""")(
     lambda s, p: rounded(va.daily_ic(va.without_end_dates(pairs(s, p))).select("factor_id", "ts", "ic")))
@@ -193,7 +203,11 @@ c AS (SELECT expr_id, symbol, CAST(horizon AS INTEGER) AS horizon, count(*) AS n
 SELECT expr_id, symbol, horizon, n, {rsql('ic')} AS ic, {rsql('rank_ic')} AS rank_ic, {rsql('ic * sqrt((n - 2) / (1 - ic * ic))')} AS t_stat,
   {rsql('rank_ic * sqrt((n - 2) / (1 - rank_ic * rank_ic))')} AS rank_t FROM c WHERE n >= 10""")(
     lambda s, p: rounded(mo.basic_ic(_pairs(s, p))))
-check("monitor_significance")(lambda s, p: rounded(mo.significance(mo.basic_ic(_pairs(s, p)))))
+check("monitor_significance", f"""{_M}, k AS (SELECT *, {_rank('value', 'symbol, horizon')} AS rv, {_rank('ret', 'symbol, horizon')} AS rr FROM pairs),
+c AS (SELECT expr_id, symbol, CAST(horizon AS INTEGER) AS horizon, count(*) AS n, corr(value, ret) AS ic, corr(rv, rr) AS rank_ic FROM k {_G} HAVING count(*) >= 10),
+t AS (SELECT *, ic * sqrt((n - 2) / (1 - ic * ic)) AS t1, rank_ic * sqrt((n - 2) / (1 - rank_ic * rank_ic)) AS t2 FROM c)
+SELECT expr_id, symbol, horizon, n, {rsql('ic')} AS ic, {rsql('rank_ic')} AS rank_ic, {rsql('t1')} AS t_stat, {rsql('t2')} AS rank_t,
+  {rsql(t_two_sided('t1', '(n - 2)'))} AS p_value, {rsql(t_two_sided('t2', '(n - 2)'))} AS rank_p FROM t""")(lambda s, p: rounded(mo.significance(mo.basic_ic(_pairs(s, p)))))
 check("monitor_rolling_ic", f"{_M} SELECT expr_id, symbol, CAST(horizon AS INTEGER) AS horizon, ts, {rsql('ic', 5)} AS ic FROM roll")(
     lambda s, p: rounded(mo.rolling_ic(_pairs(s, p)), 5))
 check("monitor_rolling_summary", f"""{_M} SELECT expr_id, symbol, CAST(horizon AS INTEGER) AS horizon, {rsql('avg(ic)')} AS mean, {rsql('stddev_samp(ic)')} AS std,
@@ -243,4 +257,21 @@ check("monitor_regime_performance", f"""{_R}, u AS (SELECT *, CASE WHEN count(si
 SELECT expr_id, symbol, regime, count(*) AS n, {rsql('corr(signal, ret)')} AS ic, {rsql('avg(ret) * 100', 5)} AS mean_return,
   {rsql('avg((up = CASE WHEN ret > 0 THEN 1 ELSE 0 END)::INT) * 100')} AS accuracy FROM u GROUP BY 1, 2, 3 HAVING count(*) >= 20""")(
     lambda s, p: rounded(mo.regime_performance(mo.regimes(series(s, p))), mean_return=5))
-check("monitor_explain")(lambda s, p: mo.explain(mo.regime_performance(mo.regimes(series(s, p)))))
+_TEXTS = ("no regime shows an effect: replace the signal", "works in few regimes: filter by regime", "weak at high volatility: raise the entry threshold there",
+          "weak at low volatility: reduce the position there", "weak in falling trends: add a trend filter", "works on high volume: confirm entries with volume")
+_WHEN = ("good = 0", "good > 0 AND good < n * 0.5", "vh > 0", "vl > 0", "td > 0", "vv > 0")
+check("monitor_explain", f"""{_R}, md AS (SELECT symbol, coalesce(quantile_cont(signal, 0.5), 0.0) AS md FROM x GROUP BY 1),
+gf AS (SELECT g.* REPLACE (coalesce(signal, md) AS signal) FROM g JOIN md USING (symbol) WHERE regime IS NOT NULL),
+pf AS (SELECT expr_id, symbol, regime, count(*) AS n, corr(signal, ret) AS ic FROM gf GROUP BY 1, 2, 3 HAVING count(*) >= 20),
+ag AS (SELECT expr_id, symbol, arg_max(regime, row(abs(ic), regime)) AS best, arg_min(regime, row(abs(ic), regime)) AS worst,
+  string_agg(regime, '; ' ORDER BY regime) FILTER (abs(ic) > 0.08) AS works_in, string_agg(regime, '; ' ORDER BY regime) FILTER (abs(ic) <= 0.05 AND n > 50) AS fails_in,
+  count(*) FILTER (abs(ic) > 0.05) AS good, count(*) AS n, count(*) FILTER (regime = 'vol_high' AND abs(ic) <= 0.05) AS vh, count(*) FILTER (regime = 'vol_low' AND abs(ic) <= 0.05) AS vl,
+  count(*) FILTER (regime = 'trend_down' AND abs(ic) <= 0.05) AS td, count(*) FILTER (regime LIKE 'volume_high%' AND abs(ic) > 0.05) AS vv FROM pf GROUP BY 1, 2),
+tx AS (SELECT *, concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(_WHEN, _TEXTS))}) AS t FROM ag)
+SELECT expr_id, symbol, best, worst, coalesce(works_in, '') AS works_in, coalesce(fails_in, '') AS fails_in, CASE WHEN t = '' THEN 'balanced across regimes: keep as it is' ELSE t END AS suggestions FROM tx""")(
+    lambda s, p: (lambda e: e.select("expr_id", "symbol", "best", "worst", *[F.array_join(c, "; ").alias(c) for c in ("works_in", "fails_in", "suggestions")]))(
+        mo.explain(mo.regime_performance(mo.regimes(mo.fill_signal(series(s, p)))))))
+check("monitor_rolling_icir", f"""{_M}, z AS (SELECT a.expr_id, a.symbol, a.ts, a.signal AS v, b.close / a.close - 1 AS r FROM l a LEFT JOIN l b ON b.symbol = a.symbol AND b.rn = a.rn + 5),
+c0 AS (SELECT expr_id, symbol, ts, CASE WHEN count(v + r) OVER w = 60 THEN corr(v, r) OVER w END AS ic FROM z WINDOW w AS ({O} ROWS 59 PRECEDING)), c AS (SELECT * FROM c0 WHERE ic IS NOT NULL)
+SELECT expr_id, symbol, ts, {rsql('ic')} AS ic, {rsql('CASE WHEN count(*) OVER w = 200 THEN avg(ic) OVER w / stddev_samp(ic) OVER w END')} AS icir FROM c WINDOW w AS ({O} ROWS 199 PRECEDING)""")(
+    lambda s, p: rounded(mo.rolling_icir(series(s, p), window=200)))

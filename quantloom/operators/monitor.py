@@ -105,11 +105,11 @@ def ic_distribution(rolled: DataFrame, by: Sequence[str] = BY) -> DataFrame:
                       jb.alias("jb"), F.exp(-jb / 2).alias("jb_p"))
 
 
-def decay_monitor(rows: DataFrame, horizon: int = 5, d: int = 60, by: Sequence[str] = BY) -> DataFrame:
-    """State of each signal: rolling IC means (all, last 180, last 90), trend, alert level."""
+def full_window_ic(rows: DataFrame, horizon: int = 5, d: int = 60, by: Sequence[str] = BY) -> DataFrame:
+    """Rolling coefficient of signal and forward return where all ``d`` pairs are present."""
     w = W.partitionBy(*by).orderBy("ts")
     ahead = F.when(F.col("close") != 0, F.lead("close", horizon).over(w) / F.col("close") - 1)
-    pairs = rows.select(*by, "ts", F.col("signal").alias("value"), ahead.alias("ret"), F.lit(horizon).alias("horizon"))
+    pairs = rows.select(*by, "ts", F.col("signal").alias("value"), ahead.alias("ret"))
     # positions keep gaps: a window with a missing pair has no coefficient
     f = w.rowsBetween(-(d - 1), 0)
     ok = F.col("value").isNotNull() & F.col("ret").isNotNull()
@@ -117,7 +117,24 @@ def decay_monitor(rows: DataFrame, horizon: int = 5, d: int = 60, by: Sequence[s
     a, b = F.stddev_samp("v").over(f), F.stddev_samp("r").over(f)
     ic = F.when((F.count("v").over(f) == d) & (a > 1e-10) & (b > 1e-10),
                 F.covar_samp("v", "r").over(f) / (a * b))
-    x = pairs.select(*by, "ts", ic.alias("ic")).filter(F.col("ic").isNotNull())
+    return pairs.select(*by, "ts", ic.alias("ic")).filter(F.col("ic").isNotNull())
+
+
+def rolling_icir(rows: DataFrame, horizon: int = 5, d: int = 60, window: int = 252, by: Sequence[str] = BY) -> DataFrame:
+    """Mean over deviation of the last ``window`` rolling coefficients (0 where they are all equal)."""
+    f = W.partitionBy(*by).orderBy("ts").rowsBetween(-(window - 1), 0)
+    s = F.stddev_samp("ic").over(f)
+    icir = F.when(F.count("ic").over(f) == window, F.when(s > 0, F.avg("ic").over(f) / s).otherwise(0.0))
+    return full_window_ic(rows, horizon, d, by).select(*by, "ts", "ic", icir.alias("icir"))
+
+
+def decay_monitor(rows: DataFrame, horizon: int = 5, d: int = 60, by: Sequence[str] = BY) -> DataFrame:
+    """State of each signal: rolling IC means (all, last 180, last 90), trend, alert level.
+
+    Fewer than 30 coefficients are too few: recent means and trend are then 0 and the level is NORMAL.
+    """
+    w = W.partitionBy(*by).orderBy("ts")
+    x = full_window_ic(rows, horizon, d, by)
     x = x.withColumns({"_i": (F.row_number().over(w) - 1).cast("double"),
                        "_back": F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts")))})
 
@@ -129,10 +146,10 @@ def decay_monitor(rows: DataFrame, horizon: int = 5, d: int = 60, by: Sequence[s
         F.regr_slope("ic", "_i").alias("_b"), F.regr_intercept("ic", "_i").alias("_a"),
         F.regr_r2("ic", "_i").alias("_r2"))
     n = F.col("n")
-    trend = n > 20
+    trend, some = n >= 30, n >= 30
     s = s.select(
-        *by, "n", "ic_full", F.when(n >= 90, F.col("_90")).otherwise(F.col("ic_full")).alias("ic_90"),
-        F.when(n >= 180, F.col("_180")).otherwise(F.col("ic_full")).alias("ic_180"),
+        *by, "n", "ic_full", F.when(n >= 90, F.col("_90")).when(some, F.col("ic_full")).otherwise(0.0).alias("ic_90"),
+        F.when(n >= 180, F.col("_180")).when(some, F.col("ic_full")).otherwise(0.0).alias("ic_180"),
         F.when(trend, F.coalesce("_b", F.lit(0.0))).otherwise(0.0).alias("slope"),
         F.when(trend, F.coalesce("_r2", F.lit(0.0))).otherwise(0.0).alias("trend_r2"),
         F.when(trend & (F.abs("_b") > 1e-10) & (F.col("_a") != 0), F.abs(F.col("_a") / F.col("_b"))).alias("days_to_zero"),
@@ -185,6 +202,12 @@ def regime_performance(tagged: DataFrame, min_rows: int = 20, by: Sequence[str]
     return out.filter(F.col("n") >= min_rows)
 
 
+def fill_signal(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Missing signals take the median of their series (0 without any), as explanations do before they start."""
+    median = rows.groupBy(*by).agg(F.coalesce(F.percentile("signal", 0.5), F.lit(0.0)).alias("_m"))
+    return rows.join(median, list(by)).withColumn("signal", F.coalesce("signal", "_m")).drop("_m")
+
+
 def explain(perf: DataFrame, effective: float = 0.05, by: Sequence[str] = BY) -> DataFrame:
     """Best and worst regime, lists of conditions, and suggestions from a fixed rule table."""
     good = F.abs("ic") > effective

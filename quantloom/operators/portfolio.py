@@ -107,8 +107,8 @@ def _equal_risk(cov: np.ndarray) -> np.ndarray:
             b = cov[i] @ x - cov[i, i] * x[i]
             x[i] = (-b + np.sqrt(b * b + 4.0 * cov[i, i] / m)) / (2.0 * cov[i, i])
         if np.abs(x - old).max() <= 1e-12 * np.abs(x).max():
-            break
-    return x / x.sum()
+            return x / x.sum()
+    raise ArithmeticError("risk parity weights did not settle in 500 rounds")
 
 
 def risk_parity_weights(selected: DataFrame, returns: DataFrame, lookback: int,

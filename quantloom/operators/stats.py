@@ -55,8 +55,8 @@ def _t_two_sided(t: float, df: float) -> float:
                 c = 1.0 + num / c or 1e-300
                 h *= d * c
             if abs(d * c - 1.0) < 1e-14:
-                break
-        return h
+                return h
+        return float("nan")
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1.0 - x))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * fraction(a, b, x) / a
