@@ -6,9 +6,9 @@ from datetime import datetime
 
 
 from quantloom import col
-from quantloom.checks.base import PANEL_SQL, RETS_SQL, check, panel, rets, rounded, rsql
+from quantloom.checks.base import PANEL_SQL, RETS_SQL, SQL, check, panel, rets, rounded, rsql
 from quantloom.checks.duck import P, last
-from quantloom.checks.functions import _wilder, add, hand, smoothed
+from quantloom.checks.functions import _DIF, _wilder, add, hand, smoothed
 from quantloom.checks.portfolio import symbol_nav
 from quantloom.functions import features as ft
 from quantloom.functions.presets import PRESETS, preset
@@ -62,9 +62,23 @@ add("feature_correl", F_["CORREL"](10), hand(f"CASE WHEN rn >= 10 THEN corr(clos
 add("feature_roc", F_["ROC"](5), hand(_CH.format(n=5)))
 add("feature_mom_ratio", F_["MOM_RATIO"](5, 20), stage(f"{_CH.format(n=5)} AS a, {_CH.format(n=20)} AS b", "CASE WHEN abs(b) > 1e-10 THEN a / abs(b) ELSE 0.0 END"))
 add("feature_atr_by_close", ft.normalized(F_["ATR"](14), "close"), smoothed([_wilder("e", "p", "tr", 14, 1)], ["e"], "e.v / close"))
-add("feature_other_indicators", {n.lower(): F_[n](*p) for n, p in {
-    "STDDEV": (10,), "BBWIDTH": (10,), "BBW": (10,), "NATR": (7,), "TRIMA": (10,), "EMA": (10,), "TSF": (7,), "ADX": (7,), "RSI": (7,), "CCI": (7,),
-    "MACD": (5, 10, 4), "VAR": (10,), "LINEARREG": (10,), "WMA": (10,), "DEMA": (5,), "KAMA": (10,)}.items()}, None)
+def _whole(d: int, expr: str) -> str:
+    return hand(f"CASE WHEN rn >= {d} THEN {expr.format(w=last(d))} END")
+
+
+_TRIMA = f"""WITH {PANEL_SQL}, p0 AS (SELECT *, row_number() OVER ({P}) AS rn FROM t0), p AS (SELECT *, CASE WHEN rn >= 3 THEN avg(close) {last(3)} END AS m FROM p0)
+SELECT symbol, ts, {rsql(f"CASE WHEN count(m) {last(4)} = 4 THEN avg(m) {last(4)} END")} AS value FROM p"""
+_OTHER = {
+    "stddev": ((8,), _whole(8, "stddev_pop(close) {w}")), "var": ((8,), _whole(8, "var_pop(close) {w}")),
+    "bbwidth": ((8,), _whole(8, "4 * stddev_pop(close) {w} / avg(close) {w}")), "bbw": ((8,), _whole(8, "4 * stddev_pop(close) {w} / avg(close) {w}")),
+    "tsf": ((7,), _whole(7, "regr_intercept(close, rn) {w} + regr_slope(close, rn) {w} * (rn + 1)")),
+    "linearreg": ((8,), _whole(8, "regr_intercept(close, rn) {w} + regr_slope(close, rn) {w} * rn")),
+    "wma": ((8,), _whole(8, "(sum(close * rn) {w} - (rn - 8) * sum(close) {w}) / 36.0")), "trima": ((6,), _TRIMA),
+    "ema": ((20,), SQL["ema"]), "natr": ((14,), SQL["natr"]), "adx": ((14,), SQL["adx"]), "rsi": ((14,), SQL["rsi"]), "cci": ((14,), SQL["cci"]),
+    "dema": ((10,), SQL["dema"]), "kama": ((10,), SQL["kama"]), "macd": ((12, 26, 9), smoothed(_DIF, ["dif", "sig"], "dif.d - sig.v"))}
+add("feature_other_indicators", {n: F_[n.upper()](*p) for n, (p, _) in _OTHER.items()},
+    "WITH " + ", ".join(f"q_{n} AS ({q})" for n, (_, q) in _OTHER.items()) + " SELECT symbol, ts, "
+    + ", ".join(f"q_{n}.value AS {n}" for n in _OTHER) + " FROM q_stddev " + " ".join(f"JOIN q_{n} USING (symbol, ts)" for n in _OTHER if n != "stddev"))
 
 
 @check("feature_matrix", f"""WITH {PANEL_SQL}, p AS (SELECT *, row_number() OVER ({P}) AS rn FROM t0),
