@@ -9,7 +9,7 @@ from quantloom import col
 from quantloom.checks.base import PANEL_SQL, RETS_SQL, SQL, check, panel, rets, rounded, rsql
 from quantloom.checks.duck import P, last
 from quantloom.checks.functions import _DIF, _wilder, add, hand, smoothed
-from quantloom.checks.portfolio import symbol_nav
+from quantloom.checks.portfolio import NAV_TAIL, symbol_nav
 from quantloom.functions import features as ft
 from quantloom.functions.presets import PRESETS, preset
 from quantloom.functions.rolling import ts_roc
@@ -131,10 +131,22 @@ def _(spark, path):
     return rounded(sw.signal_sweep(b, b, lambda d: ts_roc(col("close"), d), variants), sharpe=4)
 
 
-@check("sweep_factor_grid")
+@check("sweep_factor_grid", f"""WITH {RETS_SQL}, sc AS (SELECT lookback, symbol, ts, ret, CASE lookback WHEN 2 THEN close / lag(close, 2) OVER w - 1 ELSE close / lag(close, 4) OVER w - 1 END AS score
+  FROM rets, (SELECT unnest([2, 4]) AS lookback) WINDOW w AS (PARTITION BY lookback, symbol ORDER BY ts)), d AS (SELECT DISTINCT ts FROM rets),
+reb AS (SELECT 'ME' AS rule, max(ts) AS ts FROM d GROUP BY date_trunc('month', ts) UNION ALL SELECT '4D', ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM d) WHERE i % 4 = 0),
+rk AS (SELECT lookback, rule, symbol, ts, row_number() OVER (PARTITION BY lookback, rule, ts ORDER BY score DESC, symbol) AS rank FROM sc JOIN reb USING (ts) WHERE score IS NOT NULL),
+w AS (SELECT lookback || '|' || rule || '|' || top AS strategy_id, ts, symbol, 1.0 / count(*) OVER (PARTITION BY lookback, rule, top, ts) AS weight
+  FROM rk, (SELECT unnest([2, 3]) AS top) WHERE rank <= top){NAV_TAIL.format(cost='1.0')},
+nv AS (SELECT strategy_id, ts, nav FROM nav), {_MET.format(by='strategy_id')},
+xr AS (SELECT lookback, ts, rank() OVER v + (count(*) OVER (PARTITION BY lookback, ts, score) - 1) / 2.0 AS rv, rank() OVER r + (count(*) OVER (PARTITION BY lookback, ts, ret) - 1) / 2.0 AS rr
+  FROM sc WHERE score IS NOT NULL AND ret IS NOT NULL WINDOW v AS (PARTITION BY lookback, ts ORDER BY score), r AS (PARTITION BY lookback, ts ORDER BY ret)),
+xi AS (SELECT lookback, ts, corr(rv, rr) AS ic FROM xr GROUP BY 1, 2 HAVING count(*) >= 10),
+xq AS (SELECT lookback, avg(ic) AS ic, avg(ic) / stddev_pop(ic) AS ir, avg((ic > 0)::INT) AS hit FROM xi GROUP BY 1)
+SELECT CAST(lookback AS INTEGER) AS lookback, split_part(strategy_id, '|', 2) AS rule, CAST(split_part(strategy_id, '|', 3) AS INTEGER) AS top, {rsql('(ann - 0.02) / nullif(vol, 0)', 4)} AS sharpe,
+  {rsql('CASE WHEN md < 0 THEN md END')} AS max_drawdown, {rsql('ic')} AS ic, {rsql('ir')} AS ir, {rsql('hit')} AS hit FROM m JOIN xq ON split_part(strategy_id, '|', 1) = lookback::VARCHAR""")
 def _(spark, path):
     b = materialize(rets(spark, path), "returns")
-    return rounded(sw.factor_sweep(b, b, lambda d: ts_roc(col("close"), d), [2, 4], ["ME", "4D"], [2, 3]))
+    return rounded(sw.factor_sweep(b, b, lambda d: ts_roc(col("close"), d), [2, 4], ["ME", "4D"], [2, 3]), sharpe=4)
 
 
 @check("sweep_compare_signals", f"""WITH {RETS_SQL}, nv AS (SELECT symbol AS strategy_id, ts, product(1 + coalesce(ret, 0)) OVER ({O}) AS nav FROM rets), {_MET.format(by='strategy_id')}
