@@ -206,10 +206,12 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     table = store(rows.select("_doc", "_h", "_text").mapInArrow(
         _fingerprints(window_words, sentences),
         "doc_id long, h long, lines binary, windows array<struct<key: long, start: int>>, inside array<struct<start: int, end: int>>"), "lines")
-    place = F.struct("doc_id", "h", F.col("w.start").alias("start"))
-    found = table.select("doc_id", "h", F.explode("windows").alias("w")).select(F.col("w.key").alias("key"), place.alias("at"))
-    first = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, "key").filter(F.col("at") != F.col("first"))
+    found = table.select("doc_id", "h", F.inline("windows"))
+    # most windows stand in one place: their keys alone are counted, and only repeated ones move with their places
+    repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = store(found.join(repeated.select("key"), "key", "left_semi"), "repeats")
+    again = again.select("key", F.struct("doc_id", "h", "start").alias("at"))
+    later = again.join(again.groupBy("key").agg(F.min("at").alias("first")), "key").filter(F.col("at") != F.col("first"))
     matches = later.groupBy(
         F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"), F.col("first.doc_id").alias("o_doc_id"),
         F.col("first.h").alias("o_h"), (F.col("at.start") - F.col("first.start")).alias("shift")).agg(
