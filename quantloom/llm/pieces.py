@@ -17,9 +17,9 @@ from quantloom.llm.common import text_slices
 #: The character that stands for a space.
 MARK = "▁"
 #: Words whose ids a worker keeps in each of two generations (results do not depend on it).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Bytes of text whose new words are sorted together.
-SORTED_TOGETHER = 4 << 20
+SORTED_TOGETHER = 2 << 20
 #: Worse than the worst piece by so much is a character that goes in bytes.
 BYTE_PENALTY = 10.0
 
