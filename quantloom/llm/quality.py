@@ -42,6 +42,37 @@ RULES = (
 _SPACE = "[\\x20\\x09-\\x0D]"
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words",
+          "n_lines", "n_ellipsis_lines")
+
+
+def _same(a: str, b: str) -> str:
+    """Whether two keys' windows are equal word by word."""
+    place = "cast({} & (shiftleft(1L, _bits) - 1) as int)"
+    return "(" + " and ".join(f"_words[{place.format(a)} + {d}] = _words[{place.format(b)} + {d}]" for d in range(3)) + ")"
+
+
+#: Places of windows that have an equal window beside them in key order.
+_REPEATED = f"""transform(filter(_keys, (k, j) ->
+  (j > 0 and shiftright(k, _bits) = shiftright(_keys[j - 1], _bits) and {_same("k", "_keys[j - 1]")})
+  or (j < size(_keys) - 1 and shiftright(k, _bits) = shiftright(_keys[j + 1], _bits) and {_same("k", "_keys[j + 1]")})),
+  k -> cast(k & (shiftleft(1L, _bits) - 1) as int))"""
+#: Each place covers three words, less what the place before covers already.
+_COVERED = """if(size(_places) > 0, aggregate(_places, named_struct('n', 0L, 'last', -3),
+  (s, p) -> named_struct('n', s.n + if(p - s.last >= 3, 3L, cast(p - s.last as bigint)), 'last', p), s -> s.n), 0L)"""
+
+
+def _verdict(r: Rule) -> Column:
+    value = F.col(r.measure).cast("double")
+    by = F.col(r.per).cast("double") if r.per else F.lit(1.0)
+    ok = F.lit(True)
+    if r.low is not None:
+        ok = ok & (value >= F.lit(float(r.low)) * by)
+    if r.high is not None:
+        ok = ok & (value <= F.lit(float(r.high)) * by)
+    return ok
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Columns of counts; all are functions of the whole text and use native expressions only."""
     t = F.coalesce(text, F.lit(""))
@@ -101,37 +132,6 @@ def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     return a.withColumn("kept", passed)
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words",
-          "n_lines", "n_ellipsis_lines")
-
-#: Places of windows that have an equal window beside them in key order.
-_REPEATED = """transform(filter(_keys, (k, j) ->
-  (j > 0 and shiftright(k, _bits) = shiftright(_keys[j - 1], _bits) and {same_before})
-  or (j < size(_keys) - 1 and shiftright(k, _bits) = shiftright(_keys[j + 1], _bits) and {same_after})),
-  k -> cast(k & (shiftleft(1L, _bits) - 1) as int))"""
-
-
-def _same(a: str, b: str) -> str:
-    place = "cast({} & (shiftleft(1L, _bits) - 1) as int)"
-    return "(" + " and ".join(f"_words[{place.format(a)} + {d}] = _words[{place.format(b)} + {d}]" for d in range(3)) + ")"
-
-
-_REPEATED = _REPEATED.format(same_before=_same("k", "_keys[j - 1]"), same_after=_same("k", "_keys[j + 1]"))
-#: Each place covers three words, less what the next place covers too.
-_COVERED = """if(size(_places) > 0, aggregate(_places, named_struct('n', 0L, 'last', -3),
-  (s, p) -> named_struct('n', s.n + if(p - s.last >= 3, 3L, cast(p - s.last as bigint)), 'last', p), s -> s.n), 0L)"""
-
-
-def _verdict(r: Rule) -> Column:
-    value = F.col(r.measure).cast("double")
-    by = F.col(r.per).cast("double") if r.per else F.lit(1.0)
-    ok = F.lit(True)
-    if r.low is not None:
-        ok = ok & (value >= F.lit(float(r.low)) * by)
-    if r.high is not None:
-        ok = ok & (value <= F.lit(float(r.high)) * by)
-    return ok
-
 
 def oracle_sql(rules: Sequence[Rule] = RULES) -> str:
     """The query's result in DuckDB SQL over ``documents``."""
