@@ -1,6 +1,7 @@
-"""Line dedup by winnowing: repeated runs of lines, found by fingerprints and extended both ways.
+"""Line dedup: repeated passages word by word (:mod:`quantloom.llm.passages`), or, on request, runs of whole lines.
 
-A line of running prose holds many sentences, so lines are cut further at the space after a sentence's end: a passage
+The whole-line form joins every window of lines with its first place in the corpus and extends both ways; it selects no
+fingerprints, and a tail of under a window may stay where the first place does not hold it. A line of running prose holds many sentences, so lines are cut further at the space after a sentence's end: a passage
 pasted into a paragraph is then a run of whole lines but for its first sentence.
 """
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm import passages
 from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
 
 #: Words of a window of lines: every repeated run of lines with so many words holds a common fingerprint.
@@ -183,13 +185,19 @@ def _remove(sentences: bool):
 
 
 def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window_words: int = WINDOW_WORDS,
-               sentences: bool = True) -> DataFrame:
+               sentences: bool | None = None) -> DataFrame:
     """All rows and columns of ``df``; ``text`` without later repeats, and ``removed_lines, removed_words, removed``.
 
-    A run of whole lines with ``window_words`` words or more that stands earlier in the corpus - in a row of smaller
+    Every run of ``window_words`` words or more that stands earlier in the corpus - in a row of smaller id (null ids
+    first, then by the text's hash) or further up in the same text - is deleted wherever it begins and ends, and its
+    first place stays. Words are equal byte for byte; the blanks between them do not count. Each window of
+    ``window_words`` words is compared with all earlier places (by 64-bit hashes). Only one or two words that a run
+    holds of a line beyond a newline stay, as these agree by chance. ``removed_lines`` are the lines (up to a newline or
+    the space after ``.``, ``!`` or ``?``) that lost words; ``removed`` holds character ranges of the old text.
+
+    With ``sentences`` True or False only whole lines go. A run of whole lines with ``window_words`` words or more that stands earlier in the corpus - in a row of smaller
     id (null ids first, then by the text's hash) or further up in the same text - is deleted; its first place stays.
-    Every shortest window of lines with so many words gives a fingerprint at its minimal line hash, so any such run
-    shares one wherever it stands. A fingerprint met before in the same text is matched with its previous place there,
+    Every shortest window of lines with so many words is a fingerprint. A fingerprint met before in the same text is matched with its previous place there,
     a text's first one with the first place in the corpus. Matches of two texts at one shift are extended both
     ways as far as their lines agree, and the later text loses the run. Every deleted line
     has an equal line at an earlier place, so no content is lost. Lines are equal byte for byte; lines without words
@@ -199,6 +207,8 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     Null texts stay null. Rows of equal id and text are one document: they keep and lose the same lines. An empty
     table gives an empty result; columns of ``df`` with an output's name (but the text) are replaced.
     """
+    if sentences is None:
+        return passages.dedup(df, doc_id=doc_id, text=text, least=window_words)
     made = ("removed_lines", "removed_words", "removed")
     keep = [c for c in df.columns if c not in made and c != text]
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("_doc"), text_id(F.col(f"`{text}`")).alias("_h"),
