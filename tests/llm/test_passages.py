@@ -73,6 +73,19 @@ def test_passage_inside_a_sentence_goes_whole(spark, docs_of):
         assert got[i].text == rows[i][1].replace(f" {passage} ", " ") and got[i].removed_words == 55
 
 
+def test_winnowing_keeps_few_places_and_one_for_each_window():
+    rng = np.random.default_rng(3)
+    import pyarrow as pa
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (2000, 29, 30, 0, 700)]
+    sums, first = passages.word_hashes(*utf8(pa.array(texts)))
+    doc, place, key = passages.fingerprints(sums, first, 30)
+    assert len(set(place.tolist())) == len(place) < 0.12 * first[-1]
+    assert sorted(set(doc.tolist())) == [0, 2, 4]
+    for d in (0, 2, 4):
+        mine = place[doc == d]
+        assert all(((mine >= i) & (mine + 10 <= i + 30)).any() for i in range(first[d], first[d + 1] - 29))
+
+
 @pytest.mark.parametrize("text,runs,want", [
     ("a b c d e", [(1, 4)], "a e"), ("a\n\nb c d e", [(1, 3)], "a\n\nd e"), ("a b\nc d e f", [(1, 4)], "a b\ne f"),
     ("a b c d\ne f", [(1, 5)], "a\ne f"), (" a b ", [(0, 2)], ""), ("a b c d\ne f g h", [(1, 7)], "a\nh")])
