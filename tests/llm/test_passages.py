@@ -73,6 +73,14 @@ def test_passage_inside_a_sentence_goes_whole(spark, docs_of):
         assert got[i].text == rows[i][1].replace(f" {passage} ", " ") and got[i].removed_words == 55
 
 
+def test_run_that_stands_earlier_in_a_later_place(spark, docs_of):
+    rng = random.Random(4)
+    one, two = prose(rng, 35), prose(rng, 20)
+    rows = [(1, f"{prose(rng, 5)}\n{one}\n{prose(rng, 5)}"), (2, f"{one}\n{two}\nend of two"), (3, f"start three\n{one}\n{two}\nof three")]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(docs_of(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == f"{two}\nend of two" and got[3] == "start three\nof three"
+
+
 def test_winnowing_keeps_few_places_and_one_for_each_window():
     rng = np.random.default_rng(3)
     import pyarrow as pa
