@@ -18,7 +18,7 @@ from quantloom.llm.encode import encoder
 TIERS = (256, 512, 1024, 2048)
 #: Tokens packed together inside a task; what does not fill a window goes on to the next round.
 ROUND_TOKENS = 1 << 21
-#: Tokens of a step group: sequences of one tier, so many that each group has the same number of tokens.
+#: Tokens of a step group: sequences of one tier, and of all tiers in a task's last ones; one group a task may be short.
 STEP_TOKENS = 1 << 16
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -82,19 +82,38 @@ class Packer:
 
 
 class Steps:
-    """Group numbers: a tier's sequences share a group until it has its tokens; the last ones of all tiers mix."""
+    """Group numbers: a tier's sequences share a group as soon as they fill it; the last ones of all tiers mix.
+
+    :meth:`of` gives the sequences of a group that is full, :meth:`rest` those of the unfinished ones, largest first.
+    As window lengths are powers of two, each common group but the last is full if ``tokens`` is a multiple of them.
+    """
 
     def __init__(self, base: int, tokens: int) -> None:
         self.base, self.tokens, self.next = base, tokens, 1
-        self.at: dict[int, list[int]] = {}
-
-    def of(self, tier: int) -> int:
-        group = self.at.get(tier)
-        if group is None or group[1] + tier > self.tokens:
-            group = self.at[tier] = [self.base + self.next, 0]
-            self.next += 1
-        group[1] += tier
-        return group[0]
+        self.waiting: dict[int, list] = {}
+
+    def of(self, tier: int, sequence) -> list[tuple[int, object]]:
+        waiting = self.waiting.setdefault(tier, [])
+        waiting.append(sequence)
+        return self._close([(tier, s) for s in self.waiting.pop(tier)]) if (len(waiting) + 1) * tier > self.tokens else []
+
+    def rest(self) -> Iterator[list[tuple[int, object]]]:
+        left = [(tier, s) for tier in sorted(self.waiting, reverse=True) for s in self.waiting[tier]]
+        self.waiting = {}
+        group, size = [], 0
+        for tier, sequence in left:
+            if group and size + tier > self.tokens:
+                yield self._close(group)
+                group, size = [], 0
+            group.append((tier, sequence))
+            size += tier
+        if group:
+            yield self._close(group)
+
+    def _close(self, group: list[tuple[int, object]]) -> list[tuple[int, object]]:
+        number = self.base + self.next
+        self.next += 1
+        return [(number, s) for _, s in group]
 
 
 def _pack(tokenizer: str, keeps_spaces: bool, end_id: int, tiers: tuple[int, ...], round_tokens: int, step_tokens: int):
@@ -108,13 +127,17 @@ def _pack(tokenizer: str, keeps_spaces: bool, end_id: int, tiers: tuple[int, ...
         def put(windows) -> None:
             nonlocal sequence
             for tier, window in windows:
-                offset, group = 0, steps.of(tier)
+                offset, pieces = 0, []
                 for length, doc, start in window:
                     doc_id, ids = held[doc]
-                    rows.append((doc_id, start, length, len(ids), base + sequence, offset, tier, group,
-                                 ids[start:start + length].astype("<u4").tobytes()))
+                    pieces.append((doc_id, start, length, len(ids), base + sequence, offset, tier,
+                                   ids[start:start + length].astype("<u4").tobytes()))
                     offset += length
                 sequence += 1
+                numbered(steps.of(tier, pieces))
+
+        def numbered(group) -> None:
+            rows.extend((*piece[:-1], number, piece[-1]) for number, pieces in group for piece in pieces)
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
@@ -137,6 +160,8 @@ def _pack(tokenizer: str, keeps_spaces: bool, end_id: int, tiers: tuple[int, ...
                     yield out()
         put(packer.pack())
         put(packer.rest())
+        for group in steps.rest():
+            numbered(group)
         if rows:
             yield out()
     return run
