@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 KEPT_WORDS = 600_000
 #: New words put into one text for the tokenizer.
 _TOGETHER = 500
-#: Control characters that Python alone takes for white space.
-_CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+#: Control characters that Python alone takes for white space, and the one that marks keys here.
+_CONTROL = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: A full stop or comma that does not follow a letter or digit; after one of those it is a token's first character.
 _LOOSE_MARK = re.compile(r"[.,](?<=[\W_].)")
 _PIECES = re.compile(r"\s*\S+|\s+$")

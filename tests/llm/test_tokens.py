@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -12,19 +13,33 @@ from quantloom.llm.eliasfano import EliasFano
 from quantloom.llm.encode import Encoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = [None, "", " ", "\n", "a", "a  b\n\nc ", "\nx", "a\tb c\n d", "x \xa0y", "a\x1cb c", "<|endoftext|> hi", " z\r\nw",
+ODD = [None, "a \0b c", "\0", " \0\0 \n\0a", "", " ", "\n", "a", "a  b\n\nc ", "\nx", "a\tb c\n d", "x \xa0y", "a\x1cb c", "<|endoftext|> hi", " z\r\nw",
        "don't we're  '  's\n\n x", "é́ Ⅷ ½ ΣΑΣ İx", "日本語 テスト", "word " * 3000, "x" * 5000]
 
 
+@cache
+def both(path, spaces):
+    return Tokenizer.from_file(path), Encoder(path, spaces)
+
+
 def ids(tokenizer, text, end):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.text(st.sampled_from("ab Zé'\n\t\r\x1c\x85\xa0 !1.s<|>"), max_size=30), max_size=5))
+@given(texts=st.lists(st.text(st.sampled_from("ab Zé'\0\n\t\r\x1c\x85\xa0 !1.s<|>"), max_size=30), max_size=5))
 def test_words_give_the_tokenizers_ids(path, spaces, texts):
-    plain, enc = Tokenizer.from_file(path), Encoder(path, spaces)
+    plain, enc = both(path, spaces)
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_any_character_gives_the_tokenizers_ids(path, spaces):
+    rng, (plain, enc) = np.random.default_rng(11), both(path, spaces)
+    every = [chr(c) for c in rng.permutation(1 << 16) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(c + "ab ."[rng.integers(4)] * rng.integers(3) for c in every[i:i + 8]) for i in range(0, len(every), 8)]
     got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
