@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import language, licenses, linededup, neardup, packing, pieces, quality, tokens, topk, toxicity
+from quantloom.llm import (language, lengthpack, licenses, linededup, neardup, packing, pieces, quality, tokens, topk,
+                           toxicity)
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,10 @@ def op7_sentencepiece(spark: SparkSession, path: str) -> DataFrame:
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
     return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
                         F.length("decoded").cast("long").alias("decoded_chars"), same.alias("round_trip"))
+
+
+@query
+def op11_length_packing(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    packed = lengthpack.pack_by_length(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
