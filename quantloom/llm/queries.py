@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import (language, lengthpack, licenses, linededup, neardup, packing, periodic, pieces, quality, tokens,
-                           topk, toxicity)
+from quantloom.llm import (importance, language, lengthpack, licenses, linededup, neardup, packing, periodic, pieces, quality,
+                           tokens, topk, toxicity)
 from quantloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def op12_periodic_runs(spark: SparkSession, path: str) -> DataFrame:
     found = periodic.periodic_runs(docs, plant=True, with_text=False).withColumn("best", periodic.strongest())
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                         F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, path, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
