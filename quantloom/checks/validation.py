@@ -124,17 +124,6 @@ check("factor_breadth_gate", f"""{_TABLE} SELECT factor_id, abs(icir) >= 0.1 AND
             va.factor_table(pairs(s, p))))
 check("factor_quick_ic", f"{_TABLE} SELECT factor_id, {rsql('ic_mean')} AS ic_mean FROM ft WHERE abs(icir) >= 0.05 ORDER BY abs(ic_mean) DESC")(
     lambda s, p: rounded(va.quick_ic(va.factor_table(pairs(s, p)), 0.05).select("factor_id", "ic_mean")))
-check("factor_explorer", f"""{_TABLE} SELECT factor_id, {rsql('abs(ic_mean) * greatest(icir, 0.0)')} AS explore,
-  {rsql('abs(ic_mean) * icir * 100')} AS icir_score FROM ft""")(
-    lambda s, p: rounded(va.explorer_order(va.factor_table(pairs(s, p))).select("factor_id", "explore", "icir_score")))
-check("factor_funnel", f"""{_TABLE} SELECT factor_id, {rsql('CASE WHEN hit >= 0.5 AND yearly_stability >= 0.6 THEN icir ELSE 0.0 END')} AS score,
-  hit >= 0.5 AND yearly_stability >= 0.6 AS passed FROM ft""")(
-    lambda s, p: (lambda t: rounded(va.funnel(t, t.select("factor_id", F.col("icir").alias("sharpe")), stable_min=0.6)))(
-        va.factor_table(pairs(s, p))))
-check("factor_best_frequency", f"""{IC_SQL}, y AS (SELECT factor_id, year(ts)::VARCHAR AS freq, avg(ic) AS sharpe FROM ic GROUP BY 1, 2)
-SELECT factor_id, {rsql('max(sharpe)')} AS sharpe, arg_max(freq, row(sharpe, freq)) AS freq FROM y GROUP BY 1""")(
-    lambda s, p: rounded(va.best_frequency(va.daily_ic(pairs(s, p)).groupBy("factor_id", F.year("ts").cast("string").alias("freq")).agg(
-        F.avg("ic").alias("sharpe")))))
 check("factor_run_validations", f"""{IC_SQL}, a AS (SELECT factor_id, avg(ic) AS m FROM ic GROUP BY 1), md AS (SELECT factor_id, ts, quantile_cont(value, 0.5) AS mv, quantile_cont(ret, 0.5) AS mr FROM ok GROUP BY 1, 2 HAVING count(*) >= 10),
 h AS (SELECT factor_id, avg(((value > mv) = (ret > mr))::INT) AS h FROM ok JOIN md USING (factor_id, ts) GROUP BY 1)
 SELECT factor_id, {rsql('m')} AS ic_mean, {rsql('h')} AS hit_hit_rate FROM a JOIN h USING (factor_id)""")(
