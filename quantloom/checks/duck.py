@@ -87,13 +87,11 @@ TEMPLATES = {
     "ts_median": _agg("quantile_cont({0}, 0.5) {w}"), "ts_product": _agg("product({0}) {w}"),
     "ts_delay": lambda p, c: f"lag({c[0]}, {p[0]}) OVER ({P})",
     "window_values": _agg("list({0}) {w}"),
-    "ts_rank": _row("CASE WHEN {1} IS NOT NULL THEN (len(list_filter({0}, lambda v: v < {1})) + 1.0)"
-                    " / len(list_filter({0}, lambda v: v IS NOT NULL)) END"),
-    "ts_rank0": _row("CASE WHEN {1} IS NOT NULL THEN len(list_filter({0}, lambda v: v < {1})) * 1.0"
-                     " / len(list_filter({0}, lambda v: v IS NOT NULL)) END"),
-    "ts_quantile": _row("list_sort(list_filter({0}, lambda v: v IS NOT NULL))[greatest(1, least("
-                        "CAST(ceil({p1} * len(list_filter({0}, lambda v: v IS NOT NULL))) AS BIGINT),"
-                        " len(list_filter({0}, lambda v: v IS NOT NULL))))]"),
+    "ts_rank": _agg("CASE WHEN {0} IS NOT NULL THEN (len(list_filter(list({0}) {w}, lambda v: v < {0})) + 1.0) / count({0}) {w} END"),
+    "ts_rank0": _agg("CASE WHEN {0} IS NOT NULL THEN len(list_filter(list({0}) {w}, lambda v: v < {0})) * 1.0 / count({0}) {w} END"),
+    "ts_quantile": lambda p, c: (
+        f"CASE WHEN rn >= {p[0]} THEN list_sort(list({c[1]}) FILTER (WHERE {c[1]} IS NOT NULL) {last(p[0])})"
+        f"[greatest(1, CAST(ceil({p[1]} * count({c[1]}) {last(p[0])}) AS BIGINT))] END"),
     "ts_argmax": _agg("rn - arg_max(rn, CASE WHEN {0} IS NOT NULL THEN row({0}, -rn) END) {w}"),
     "ts_argmin": _agg("rn - arg_min(rn, CASE WHEN {0} IS NOT NULL THEN row({0}, rn) END) {w}"),
     "ts_skew": _agg("CASE WHEN count({0}) {w} >= 3 AND stddev_pop({0}) {w} > 1e-10 "
@@ -149,8 +147,8 @@ TEMPLATES = {
         f"CASE WHEN rn > {p[0]} THEN least(greatest(({c[1]} - avg({c[1]}) {SOFAR}) / "
         f"sqrt(greatest(var_pop({c[1]}) {SOFAR}, 1e-10)), -3.0), 3.0) ELSE 0.0 END"),
     "expanding_rank": lambda p, c: (
-        f"CASE WHEN rn > {p[0]} THEN len(list_filter(list({c[1]}) {SOFAR}, lambda v: v <= {c[1]})) * 1.0 / rn"
-        f" ELSE 0.5 END"),
+        f"CASE WHEN rn >= {p[0]} THEN len(list_filter(list({c[1]}) {SOFAR}, lambda v: v <= {c[1]})) * 1.0 / rn END"),
+    "half_before": _row("coalesce({0}, 0.5)"),
     # across symbols
     "cs_rank": lambda p, c: (f"CASE WHEN {c[0]} IS NOT NULL THEN rank() OVER (PARTITION BY ts ORDER BY "
                              f"{c[0]} NULLS LAST) * 1.0 / count({c[0]}) {DAY} END"),

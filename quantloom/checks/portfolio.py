@@ -251,6 +251,36 @@ rt AS (SELECT *, 20 * close_price - cost - 5 AS profit FROM g WHERE c = 3)"""
 check("trade_round_trips", f"""{_T} SELECT account, symbol, open_time, close_time, {rsql('open_price')} AS open_price, {rsql('close_price')} AS close_price, 20.0::DOUBLE AS volume,
   5.0::DOUBLE AS open_fee, 5.0::DOUBLE AS close_fee, {rsql('profit')} AS profit FROM rt""")(
     lambda s, p: rounded(tr.round_trips(trade_log(s, p))))
+_LOTS = {1: 10, 2: 10, 3: -5, 4: 5, 5: -20, 6: -4, 7: 8}  # bought or sold at each place of a cycle of nine
+
+
+def mixed_log(spark, path):
+    """Orders as fills of several accounts: partial sells, sells while flat, and (account O) sells beyond the position."""
+    o = table(spark, path, "orders")
+    i = F.row_number().over(W.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")) % 9
+    over = F.col("o_orderstatus") == "O"
+    lots = F.coalesce(*[F.when(i == k, v) for k, v in _LOTS.items()], F.when(i == 8, F.when(over, -11).otherwise(-8)), F.when(over, 3).otherwise(-3))
+    return o.select(F.col("o_orderstatus").alias("account"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("created_at"),
+                    F.col("o_orderkey").alias("seq"), F.when(lots > 0, 1).otherwise(2).alias("side"), F.abs(lots).cast("double").alias("volume"),
+                    (F.col("o_totalprice") / 1009).alias("price"), F.lit(5.0).alias("fee"))
+
+
+check("trade_round_trips_partial", f"""WITH RECURSIVE m0 AS (SELECT o_orderstatus AS account, o_orderpriority AS symbol, o_orderdate::TIMESTAMP AS tm, o_totalprice / 1009 AS price,
+  row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+m1 AS (SELECT *, CASE i % 9 {' '.join(f'WHEN {k} THEN {v}' for k, v in _LOTS.items())} WHEN 8 THEN CASE WHEN account = 'O' THEN -11 ELSE -8 END ELSE CASE WHEN account = 'O' THEN 3 ELSE -3 END END AS lots FROM m0),
+m AS (SELECT *, CASE WHEN lots > 0 THEN 1 ELSE 2 END AS side, abs(lots)::DOUBLE AS q FROM m1),
+f(account, symbol, i, tm, side, q, price, v0, c0, f0, t0, p0, v1, c1, f1, t1, p1) AS (
+  SELECT account, symbol, i, tm, side, q, price, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::TIMESTAMP, NULL::DOUBLE,
+    CASE WHEN side = 1 THEN q ELSE 0e0 END, CASE WHEN side = 1 THEN q * price + 5 ELSE 0e0 END, CASE WHEN side = 1 THEN 5e0 ELSE 0e0 END,
+    CASE WHEN side = 1 THEN tm END, CASE WHEN side = 1 THEN price END FROM m WHERE i = 1
+  UNION ALL SELECT n.account, n.symbol, n.i, n.tm, n.side, n.q, n.price, v1, c1, f1, t1, p1,
+    CASE WHEN n.side = 1 THEN v1 + n.q WHEN v1 <> 0 THEN v1 - n.q ELSE v1 END, CASE WHEN n.side = 1 THEN c1 + n.q * n.price + 5 WHEN v1 <> 0 THEN c1 - n.q / v1 * c1 ELSE c1 END,
+    CASE WHEN n.side = 1 THEN CASE WHEN t1 IS NULL THEN f1 + 5 ELSE f1 END WHEN v1 = n.q THEN 0e0 WHEN v1 <> 0 THEN f1 - n.q / v1 * f1 ELSE f1 END,
+    CASE WHEN n.side = 1 THEN coalesce(t1, n.tm) WHEN v1 = n.q THEN NULL ELSE t1 END, CASE WHEN n.side = 1 THEN CASE WHEN t1 IS NULL THEN n.price ELSE p1 END ELSE p1 END
+  FROM f JOIN m n ON n.account = f.account AND n.symbol = f.symbol AND n.i = f.i + 1)
+SELECT account, symbol, t0 AS open_time, tm AS close_time, {rsql('p0')} AS open_price, {rsql('price')} AS close_price, q AS volume, {rsql('q / v0 * f0')} AS open_fee,
+  5.0::DOUBLE AS close_fee, {rsql('q * price - q / v0 * c0 - 5')} AS profit FROM f WHERE side = 2 AND v0 <> 0""")(
+    lambda s, p: rounded(tr.round_trips(mixed_log(s, p))))
 check("trade_stats", f"""{_T}, a AS (SELECT account, count(*) AS trips, avg((profit > 0)::INT) AS win, avg(profit) FILTER (WHERE profit > 0) AS ap, avg(profit) FILTER (WHERE profit < 0) AS al,
   avg(profit / (20 * open_price)) FILTER (WHERE profit > 0) AS app, avg(profit / (20 * open_price)) FILTER (WHERE profit < 0) AS alp, avg(date_diff('day', open_time, close_time)) AS hd FROM rt GROUP BY 1)
 SELECT account, trips, {rsql('win')} AS win_rate, {rsql('ap')} AS avg_profit, {rsql('al')} AS avg_loss, {rsql('app')} AS avg_profit_pct, {rsql('alp')} AS avg_loss_pct, {rsql('hd')} AS holding_days,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom import col
 from quantloom.checks.base import check, rounded, rsql, table
 from quantloom.functions.cross_section import cs_rank, cs_rank0, cs_rank_average
+from quantloom.functions.indicators import ema, wilder_smooth
 from quantloom.functions.rolling import rolling_apply, ts_delay, ts_max, ts_mean, ts_zscore
 from quantloom.plans.panel import with_features
 from quantloom.plans.split import cs_rank_split, numbered, with_features_split
@@ -38,6 +39,24 @@ def _(spark, path):
         ts="l_shipdate", order=KEY, rows=5000, bucket="month", keep=["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]))
 
 
+def _smooth_sql(a: float, seed: int, share: float) -> str:
+    """An average seeded with the mean of ``seed`` rows: a weighted sum of the rows since; 900 rows back a weight is below 1e-25."""
+    return f"""(SELECT p.k, pow({a}, p.rn - {seed}) * any_value(s.m) + coalesce(sum({share} * pow({a}, o.j) * q.x), 0) AS y FROM p JOIN s{seed} s ON s.l_returnflag = p.l_returnflag
+  CROSS JOIN (SELECT unnest(range(0, 900)) AS j) o LEFT JOIN p q ON q.l_returnflag = p.l_returnflag AND q.rn = p.rn - o.j AND q.rn > {seed} WHERE p.rn >= {seed} GROUP BY p.k, p.rn)"""
+
+
+@check("split_smoothed_features", f"""WITH p0 AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_extendedprice / 997 AS x, row_number() OVER ({_O}) AS rn FROM lineitem),
+p AS (SELECT *, row_number() OVER () AS k FROM p0), s20 AS (SELECT l_returnflag, avg(x) AS m FROM p WHERE rn <= 20 GROUP BY 1), s14 AS (SELECT l_returnflag, avg(x) AS m FROM p WHERE rn <= 14 GROUP BY 1),
+e AS {_smooth_sql(19 / 21, 20, 2 / 21)}, w AS {_smooth_sql(13 / 14, 14, 1 / 14)}
+SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, {rsql('e.y')} AS ema, {rsql('w.y')} AS wilder, {rsql('x - e.y')} AS gap FROM p LEFT JOIN e USING (k) LEFT JOIN w USING (k)""")
+def _(spark, path):
+    x = lines(spark, path).withColumn("x", F.col("l_extendedprice") / 997)
+    e = ema(col("x"), 20)
+    return rounded(with_features_split(
+        x, {"ema": e, "wilder": wilder_smooth(col("x"), 14), "gap": col("x") - e}, symbol="l_returnflag",
+        ts="l_shipdate", order=KEY, rows=5000, bucket="month", keep=["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]))
+
+
 @check("split_cross_section_rank", f"""SELECT l_orderkey, l_linenumber, l_partkey, {rsql('rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) * 1.0 / count(*) OVER (PARTITION BY l_returnflag)')} AS rank FROM lineitem""")
 def _(spark, path):
     out = cs_rank_split(lines(spark, path), "l_extendedprice", ts="l_returnflag")

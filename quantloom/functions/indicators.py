@@ -1,10 +1,8 @@
 """Technical indicators.
 
-Smoothed averages follow ``S = a * S + b * x`` from a seed on. Instead of a row-by-row loop,
-each series is cut into blocks of a fixed number of rows: inside a block the recurrence is a
-weighted running sum, and only the value at the end of the previous block is carried over. A
-block is long enough for anything older to weigh less than one part in 1e17, so the result
-equals the loop to double precision while staying a plain window computation.
+Smoothed averages follow ``S = a * S + b * x`` from a seed on. Instead of a row-by-row loop, each
+row is taken as the map ``S -> a * S + b`` and the maps are composed (``plans.scans``), so nothing
+is cut off; :func:`recurrence_maps` gives the maps themselves for series that are split.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.feature import Feature, as_feature, row
 from quantloom.functions.registry import function
-from quantloom.functions.rolling import ROW_NUMBER, along, rolling, ts_delay, ts_mean, window
+from quantloom.functions.rolling import ROW_NUMBER, along, rolling, ts_delay, ts_mean, whole_series, window
 from quantloom.functions.scalar import abs_, guarded_ratio
 
 
@@ -25,32 +23,27 @@ def recurrence(x, a: float, b: float, seed_rows: int, *, start: int = 0,
 
     A missing input after ``start`` makes every later value missing.
     """
-    x = as_feature(x)
+    return whole_series("recurrence", x, params=(a, b, seed_rows, start, seed))
+
+
+def recurrence_maps(node: Feature) -> tuple[Feature, Feature]:
+    """The maps ``y -> keep*y + put`` of a recurrence, by windows of bounded length."""
+    a, b, seed_rows, start, seed = node.params
     first = start + seed_rows
-    block_rows = max(1, math.ceil(math.log(1e-18) / math.log(a))) if a > 0 else 1
-    params = (a, b, seed_rows, start, seed)
 
     def contribution(w, rn, v):
         f = w.last(seed_rows)
-        at_seed = F.avg(v).over(f) if seed == "mean" else F.sum(v).over(f)
-        return (F.when(rn == first, at_seed).when(rn > first, F.lit(b) * v).otherwise(0.0))
-    u = along("recurrence_input", contribution, ROW_NUMBER, x, lookback=seed_rows, params=params)
-    gaps = along("gaps", lambda w, rn, v: F.sum(
-        F.when((rn > start) & v.isNull(), 1).otherwise(0)).over(w.expanding),
-        ROW_NUMBER, x, lookback=None, params=(start,))
-    block = row("block", lambda rn: F.floor((rn - 1) / block_rows), ROW_NUMBER, params=(block_rows,))
-    pos = row("block_row", lambda rn: (rn - 1) % block_rows, ROW_NUMBER, params=(block_rows,))
-    local = along("recurrence_block", lambda w, v, k, i: F.pow(F.lit(a), i) * F.sum(
-        v * F.pow(F.lit(a), -i)).over(w.within(k)) if a > 0 else v, u, block, pos,
-        lookback=None, params=params)
-    carry = along("recurrence_carry", lambda w, v, i: F.last(
-        F.when(i == block_rows - 1, v), ignorenulls=True).over(w.before), local, pos,
-        lookback=None, params=params)
-
-    def combine(rn, g, v, c, i):
-        return F.when((rn >= first) & (g == 0),
-                      v + F.pow(F.lit(a), i + 1) * F.coalesce(c, F.lit(0.0)))
-    return row("recurrence", combine, ROW_NUMBER, gaps, local, carry, pos, params=params)
+        at_seed = F.when(F.count(v).over(f) == seed_rows, F.avg(v).over(f) if seed == "mean" else F.sum(v).over(f))
+        return F.when(rn == first, at_seed).when(rn > first, F.lit(b) * v).otherwise(0.0)
+    put = along("recurrence_put", contribution, ROW_NUMBER, node.inputs[1], lookback=seed_rows - 1, params=node.params)
+    keep = row("recurrence_keep", lambda rn: F.when(rn > first, F.lit(a)).otherwise(0.0), ROW_NUMBER, params=(a, first))
+    return keep, put
+
+
+def recurrence_value(node: Feature, scanned: Feature) -> Feature:
+    """The recurrence from the scan of its maps: missing before the seed."""
+    first = node.params[2] + node.params[3]
+    return row("recurrence_value", lambda rn, y: F.when(rn >= first, y), ROW_NUMBER, scanned, params=(first,))
 
 
 @function("ta")
@@ -156,13 +149,8 @@ def dema(close, period=20):
 
 @function("ta")
 def kama(close, period=30):
-    """Adaptive average (fast 2, slow 30).
-
-    The smoothing share varies by row, between (2/31)^2 and (2/3)^2, so blocks are combined on
-    two levels of 32 rows and 32 blocks, and 12 groups of blocks are carried: the weight of
-    anything older is below (1 - (2/31)^2)^(12*1024) < 1e-22.
-    """
-    p, side = window(period), 32
+    """Adaptive average (fast 2, slow 30): the smoothing share varies by row, between (2/31)^2 and (2/3)^2."""
+    p = window(period)
     close = as_feature(close)
     change = abs_(close - ts_delay(close, 1))
     path = rolling("path", p, lambda f, c: F.when(F.count(c).over(f) == p, F.sum(c).over(f)), change)
@@ -173,51 +161,11 @@ def kama(close, period=30):
         er = F.when((total <= move) | (total == 0), 1.0).otherwise(move / total)
         return F.pow(er * (fast - slow) + slow, F.lit(2.0))
     sc = row("kama_share", share, close, ts_delay(close, p), path, params=(p,), uses=2)
-    gaps = along("gaps", lambda w, v: F.sum(F.when(v.isNull(), 1).otherwise(0)).over(w.expanding),
-                 close, lookback=None, params=(0,))
-    # before the first output the state is the previous close: weight 0 on older state
-    keep = row("kama_keep", lambda rn, s: F.when(rn > p, 1.0 - s).otherwise(1.0), ROW_NUMBER, sc,
-               params=(p,))
-    put = row("kama_put", lambda rn, s, c: F.when(rn > p, s * c).when(rn == p, c).otherwise(0.0),
+    # before the first output the state is the previous close; a missing close ends the average
+    keep = row("kama_keep", lambda rn, s: F.when(rn > p, 1.0 - s).otherwise(0.0), ROW_NUMBER, sc, params=(p,))
+    put = row("kama_put", lambda rn, s, c: F.when(rn > p, s * c).when((rn == p) | c.isNull(), c).otherwise(0.0),
               ROW_NUMBER, sc, close, params=(p,))
-    block = row("kama_block", lambda rn: F.floor((rn - 1) / side), ROW_NUMBER)
-    group = row("kama_group", lambda rn: F.floor((rn - 1) / (side * side)), ROW_NUMBER)
-    tag = (p,)
-    run = along("kama_run", lambda w, k, b: F.product(k).over(w.within(b)), keep, block,
-                lookback=None, params=tag)
-    local = along("kama_local", lambda w, v, r, b: r * F.sum(v / r).over(w.within(b)), put, run,
-                  block, lookback=None, params=tag)
-    ends = row("kama_end", lambda rn, v: F.when(rn % side == 0, v), ROW_NUMBER, local)
-    end_run = row("kama_end_run", lambda rn, r: F.when(rn % side == 0, r), ROW_NUMBER, run)
-    # second level: block ends inside a group of blocks
-    run2 = along("kama_run2", lambda w, r, g: F.product(r).over(w.within(g)), end_run, group,
-                 lookback=None, params=tag)
-    local2 = along("kama_local2", lambda w, v, r, g: r * F.sum(v / r).over(w.within(g)), ends, run2,
-                   group, lookback=None, params=tag)
-    end2 = row("kama_end2", lambda rn, v: F.when(rn % (side * side) == 0, v), ROW_NUMBER, local2)
-    end2_run = row("kama_end2_run", lambda rn, r: F.when(rn % (side * side) == 0, r), ROW_NUMBER, run2)
-
-    def carried(w, v, r):
-        total, weight = v, r
-        for j in range(1, 13):
-            total = total + weight * F.coalesce(F.lag(v, j * side * side).over(w.order), F.lit(0.0))
-            weight = weight * F.coalesce(F.lag(r, j * side * side).over(w.order), F.lit(0.0))
-        return total
-    state3 = along("kama_state3", carried, end2, end2_run, lookback=None, params=tag)
-
-    def latest(w, v):
-        return F.coalesce(F.last(v, ignorenulls=True).over(w.before), F.lit(0.0))
-    carry3 = along("kama_carry3", latest, state3, lookback=None, params=tag)
-
-    def carry_build(w, v, r, g, c3, rn):
-        # the last finished block of this group, on top of the state carried into the group
-        done = F.last(F.when(rn % side == 0, F.struct(v.alias("v"), r.alias("r"), g.alias("g"))),
-                      ignorenulls=True).over(w.before)
-        return F.when(done["g"] == g, done["v"] + done["r"] * c3).otherwise(c3)
-    carry = along("kama_carry", carry_build, local2, run2, group, carry3, ROW_NUMBER,
-                  lookback=None, params=tag)
-    return row("kama", lambda rn, n, v, r, c: F.when((rn > p) & (n == 0), v + r * c),
-               ROW_NUMBER, gaps, local, run, carry, params=tag)
+    return row("kama", lambda rn, y: F.when(rn > p, y), ROW_NUMBER, whole_series("affine_scan", keep, put), params=(p,))
 
 
 # -- window indicators: a window with a missing value gives a missing result ------------------------

@@ -38,6 +38,21 @@ def rolling(op, d, value, *inputs, params=()) -> Feature:
                  ROW_NUMBER, *inputs, lookback=d - 1, params=(d, *params))
 
 
+def _no_window(*_):
+    raise NotImplementedError("added by plans.passes")
+
+
+def whole_series(op, *inputs, params=(), lookback=None) -> Feature:
+    """Function of a whole series that ``plans.passes`` computes under this name."""
+    return along(op, _no_window, ROW_NUMBER, *inputs, lookback=lookback, params=params)
+
+
+def ordered(op, x, d, params=(), lookback=0) -> Feature:
+    """Order statistic of the last ``d`` rows or (``lookback=None``) of all rows, from row ``d`` on."""
+    d = window(d)
+    return whole_series(op, x, params=(d, *params), lookback=None if lookback is None else d - 1)
+
+
 def paired(x, y) -> tuple[Feature, Feature]:
     x, y = as_feature(x), as_feature(y)
     return (row("present_with", lambda a, b: F.when(b.isNotNull(), a), x, y),
@@ -77,7 +92,7 @@ def ts_min(x, d):
 
 @function("ts")
 def ts_median(x, d):
-    return rolling("ts_median", d, lambda f, a: F.percentile(a, 0.5).over(f), x)
+    return ordered("ts_median", x, d)
 
 
 @function("ts")
@@ -113,26 +128,20 @@ def ts_logret(x):
 
 # -- order statistics -----------------------------------------------------------------------------
 def _values(x, d) -> Feature:
-    """Values present in the window, shared by the functions that need them all."""
+    """Values present in the window, for functions of their own."""
     return rolling("window_values", d, lambda f, a: F.collect_list(a).over(f), x)
 
 
 @function("ts")
 def ts_rank(x, d):
-    def build(values, a):
-        below = F.size(F.filter(values, lambda v: v < a))
-        return F.when(a.isNotNull(), (below + 1) / F.size(values))
-    return row("ts_rank", build, _values(x, d), x, uses=3, params=(d,))
+    """Values of the window below the current one, and itself, as a share of those present."""
+    return ordered("ts_rank", x, d)
 
 
 @function("ts")
 def ts_quantile(x, d, p=0.5):
     """Nearest-rank quantile of the window."""
-    def build(values):
-        n = F.size(values)
-        i = F.least(F.greatest(F.ceil(F.lit(float(p)) * n), F.lit(1)), n).cast("int")
-        return F.when(n > 0, F.get(F.array_sort(values), i - 1))
-    return row("ts_quantile", build, _values(x, d), uses=4, params=(d, p))
+    return ordered("ts_quantile", x, d, (float(p),))
 
 
 def _days_since(op, x, d, best):
@@ -311,7 +320,7 @@ def expanding_mean(x, min_p=20):
 
 @function("expanding")
 def expanding_median(x, min_p=20):
-    return expanding("expanding_median", lambda f, a: F.percentile(a, 0.5).over(f), x, min_p)
+    return ordered("expanding_median", x, min_p, lookback=None)
 
 
 @function("expanding")
@@ -322,21 +331,13 @@ def expanding_std(x, min_p=20):
 @function("expanding")
 def expanding_percentile(x, p=0.5, min_p=20):
     """Nearest-rank quantile (``p`` in 0..1) of all values so far."""
-    p = float(p)
-
-    def value(f, a):
-        values = F.array_sort(F.collect_list(a).over(f))
-        n = F.size(values)
-        i = F.least(F.greatest(F.ceil(F.lit(p) * n), F.lit(1)), n).cast("int")
-        return F.when(n > 0, F.get(values, i - 1))
-    return expanding("expanding_percentile", value, x, min_p, params=(p,))
+    return ordered("expanding_percentile", x, min_p, (float(p),), lookback=None)
 
 
 @function("expanding")
 def expanding_percentile_linear(x, p=0.5, warmup=20):
     """Linear-interpolated percentile, missing for the first ``warmup`` rows."""
-    return expanding("expanding_percentile_linear",
-                     lambda f, a: F.percentile(a, float(p)).over(f), x, warmup + 1, (p,))
+    return ordered("expanding_percentile_linear", x, warmup + 1, (float(p),), lookback=None)
 
 
 @function("expanding")
@@ -381,20 +382,13 @@ def expanding_zscore(x, warmup=20):
 @function("expanding")
 def expanding_rank(x, warmup=20):
     """Share of the history (this row included) that is <= the value; 0.5 during warm-up."""
-    def value(w, rn, a):
-        history = F.collect_list(a).over(w.expanding)
-        share = F.size(F.filter(history, lambda v: v <= a)) / rn
-        return F.when(rn > warmup, share).otherwise(0.5)
-    return along("expanding_rank", value, ROW_NUMBER, coalesce0(x), lookback=None,
-                 params=(warmup,))
+    return row("half_before", lambda a: F.coalesce(a, F.lit(0.5)), ordered("expanding_rank", coalesce0(x), warmup + 1, lookback=None))
 
 
 # -- variants with their own missing-value rules ------------------------------------------------------
 def ts_rank0(x, d):
     """Share of window values strictly below the current one, in [0, 1)."""
-    def build(values, a):
-        return F.when(a.isNotNull(), F.size(F.filter(values, lambda v: v < a)) / F.size(values))
-    return row("ts_rank0", build, _values(x, d), x, uses=3, params=(d,))
+    return ordered("ts_rank0", x, d)
 
 
 def ts_sum_strict(x, d):

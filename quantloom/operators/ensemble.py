@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.feature import flag
+from quantloom.functions.rolling import expanding_median
+from quantloom.plans.panel import with_features
 
 
 def positions(signals: DataFrame, *, look_ahead: bool = True) -> DataFrame:
@@ -19,9 +20,7 @@ def positions(signals: DataFrame, *, look_ahead: bool = True) -> DataFrame:
         med = signals.groupBy("signal_id", "symbol").agg(F.percentile("value", 0.5).alias("_m"))
         x = signals.join(med, ["signal_id", "symbol"])
     else:
-        w = W.partitionBy("signal_id", "symbol").orderBy("ts").rowsBetween(
-            W.unboundedPreceding, W.currentRow)
-        x = signals.withColumn("_m", F.percentile("value", 0.5).over(w))
+        x = with_features(signals, {"_m": expanding_median("value", 1)}, symbol=["symbol", "signal_id"])
     return x.withColumn("position", F.when(F.col("value") > F.col("_m"), 1.0).otherwise(-1.0)).drop("_m")
 
 

@@ -1,47 +1,59 @@
-"""Row-by-row folds along a series, for state that no window expresses.
-
-Rows are hash-partitioned by series and sorted within partitions; each task then streams its
-Arrow batches and keeps only the fold's small state, never a whole series.
-"""
+"""State along a series that no window expresses, as maps that are composed instead of a loop over rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from quantloom.plans.passes import Chunk, Request, add_passes
 
 
-def fold_rows(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
-              start: Callable[[], object], step: Callable, output: str) -> DataFrame:
-    """Add ``output``: ``step(state, *arrays) -> (state, values)`` over consecutive rows of a series.
+def reached(first: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Flags of the places met from ``first`` on when each place leads to ``following`` (the last place to itself).
 
-    ``step`` gets the arrays of one batch of one series and may be called several times per
-    series; the state it returns is handed to the next call.
+    The map is composed with itself, so that each round doubles the steps: log n rounds, whatever the chain.
     """
-    keys, inputs = list(keys), list(inputs)
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())])
+    seen = np.zeros(len(following), bool)
+    seen[first] = True
+    jump = following
+    while True:
+        more = jump[np.flatnonzero(seen)]
+        if seen[more].all():
+            return seen
+        seen[more] = True
+        jump = jump[jump]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf[keys].to_numpy(dtype=object)
-            cut = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            out = np.full(len(pdf), np.nan)
-            for lo, hi in zip([0, *cut], [*cut, len(pdf)]):
-                key = tuple(ids[lo])
-                if key != current:
-                    current, state = key, start()
-                arrays = [pdf[c].to_numpy(dtype=float)[lo:hi] for c in inputs]
-                state, out[lo:hi] = step(state, *arrays)
-            yield pdf.assign(**{output: out})
+def next_flag(flags: np.ndarray) -> np.ndarray:
+    """First flagged place at or after each place; one entry more than flags, their number where there is none."""
+    n = len(flags)
+    place = np.append(np.where(flags, np.arange(n), n), n)
+    return np.minimum.accumulate(place[::-1])[::-1]
 
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema)
+
+def _machine(c: Chunk, params: tuple, inputs: Sequence[int]) -> np.ndarray:
+    (limit,) = params
+    buy, sell = (c.columns[i] > 0 for i in inputs)
+    n = len(buy)
+    ends = np.append(c.start[1:] != c.start[:-1], True)
+    end = next_flag(ends)[:-1] + 1  # after the last row of the series
+    next_buy, next_sell = next_flag(buy), next_flag(sell)
+    # where a position entered at each row would end, and which entry would follow
+    leave = np.minimum(next_sell[1:], end)
+    if limit is not None:
+        leave = np.minimum(leave, c.at + max(1, limit - 1))
+    after = next_buy[np.minimum(leave + 1, n)]
+    following = np.append(np.where((leave + 1 < end) & (after < end), after, n), n)
+    start = np.flatnonzero(c.start == c.at)
+    entries = next_buy[start]
+    entries = np.flatnonzero(reached(entries[entries < end[start]], following)[:n])
+    change = np.zeros(n + 1)
+    change[entries] = 1.0
+    np.add.at(change, leave[entries], -1.0)
+    return np.cumsum(change[:-1])
 
 
 def state_machine(df: DataFrame, *, buy: str = "buy", sell: str = "sell", max_hold: int | None = None,
@@ -49,22 +61,8 @@ def state_machine(df: DataFrame, *, buy: str = "buy", sell: str = "sell", max_ho
                   output: str = "position") -> DataFrame:
     """Flat until ``buy`` > 0; then in position until ``sell`` > 0 or ``max_hold`` bars are held.
 
-    The exit bar counts as flat and does not re-enter.
+    The exit bar counts as flat and does not re-enter. Each row knows where a position entered there would end and
+    which entry would follow; composing these steps marks the entries that happen.
     """
-    limit = float("inf") if max_hold is None else max_hold
-
-    def step(held, b, s):
-        out = np.zeros(len(b))
-        for i in range(len(b)):
-            if held == 0:
-                if b[i] > 0:
-                    held, out[i] = 1, 1.0
-            else:
-                held += 1
-                if s[i] > 0 or held >= limit:
-                    held = 0
-                else:
-                    out[i] = 1.0
-        return held, out
-    return fold_rows(df, keys=keys, order=[ts], inputs=[buy, sell], start=lambda: 0, step=step,
-                     output=output)
+    return add_passes(df, list(keys), ts, F.lit(1), [
+        Request(output, _machine, (max_hold,), [(buy, F.col(buy)), (sell, F.col(sell))])])

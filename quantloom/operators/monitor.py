@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.feature import flag
+from quantloom.functions.rolling import expanding_median
 from quantloom.operators.stats import corr_agg, kurt_pandas, quotient, skew_pandas, t_pvalue
 from quantloom.operators.validation import average_rank
+from quantloom.plans.panel import with_features
 
 BY = ("expr_id", "symbol")
 HORIZONS = (1, 3, 5, 10, 20)
@@ -191,8 +193,8 @@ def regime_performance(tagged: DataFrame, min_rows: int = 20, by: Sequence[str]
     """IC, mean return and direction accuracy (against the running median) per regime."""
     part = [*by, "regime"]
     w = W.partitionBy(*part).orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-    med = F.when(F.count("signal").over(w) >= 10, F.percentile("signal", 0.5).over(w))
-    x = tagged.withColumn("_up", flag(F.col("signal") > med))
+    x = with_features(tagged.withColumn("_n", F.count("signal").over(w)), {"_m": expanding_median("signal", 1)}, symbol=part)
+    x = x.withColumn("_up", flag((F.col("_n") >= 10) & (F.col("signal") > F.col("_m")))).drop("_n", "_m")
     both = F.col("signal").isNotNull() & F.col("ret").isNotNull()
     x = x.withColumns({"_s": F.when(both, F.col("signal")), "_r": F.when(both, F.col("ret"))})
     out = x.groupBy(*part).agg(

@@ -5,55 +5,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.fold import next_flag, reached
+from quantloom.plans.passes import Chunk, Request, add_passes
+from quantloom.plans.scans import affine_scan
+
 KEYS = ("account", "symbol")
 
 
+#: Volumes are counted in units of so many to one, so that a position is flat exactly when they cancel.
+UNITS = 10**8
+
+
+def _positions(c: Chunk, inputs: Sequence[int]) -> dict[str, np.ndarray]:
+    """What each row finds: volume, cost and opening fee of the open position, and the row that opened it (or -1).
+
+    A position runs from a buy while flat to the row where the volumes cancel; the buy after that opens the next.
+    Chains of positions are composed maps, costs an affine scan: buys add, sells keep their share. Only series that
+    were sold beyond their volume are followed row by row.
+    """
+    if "trips" in c.shared:
+        return c.shared["trips"]
+    side, q, price, fee = (c.columns[i] for i in inputs)
+    n = len(side)
+    buy, sell = side == 1, side == 2
+    signed = np.where(buy, 1, np.where(sell, -1, 0)) * np.rint(np.abs(q) * UNITS).astype(np.int64)
+    total = np.cumsum(signed)
+    ends = np.append(c.start[1:] != c.start[:-1], True)
+    end = next_flag(ends)[:-1] + 1
+    # the first later row at which the total is what it was before each row
+    _, code = np.unique(np.append(total, 0), return_inverse=True)
+    code, before = code[:-1], np.append(code[-1], code[:-2])
+    width = n + 1
+    keys = np.sort(code * width + c.at)
+    at = np.searchsorted(keys, before * width + c.at, side="right")
+    found = keys[np.minimum(at, n - 1)]
+    flat = np.where((at < n) & (found // width == before), found % width, n)
+    flat = np.where(flat < end, flat, n)
+    next_buy = next_flag(buy)
+    after = next_buy[np.minimum(flat + 1, n)]
+    following = np.append(np.where((flat < n) & (after < end), after, n), n)
+    start = np.flatnonzero(c.start == c.at)
+    first = next_buy[start]
+    opens = np.flatnonzero(reached(first[first < end[start]], following)[:n])
+
+    opened = np.full(n, -1)
+    opened[opens] = opens
+    opened = np.maximum.accumulate(opened)
+    inside = (opened >= c.start) & (c.at <= flat[opened])
+    opened = np.where(inside, opened, -1)
+    base = total[opened] - signed[opened]
+    volume = np.where(inside, (total - base) / UNITS, 0.0)
+    earlier = inside & (opened != c.at)  # rows that find the position open
+
+    def found_before(x: np.ndarray) -> np.ndarray:
+        return np.where(earlier, np.append(0.0, x[:-1]), 0.0)
+    held = found_before(volume)
+    left = np.where(sell & earlier, np.divide(volume, held, out=np.zeros(n), where=held != 0), np.where(earlier, 1.0, 0.0))
+    cost, _ = affine_scan(left, np.where(buy & inside, np.abs(q) * price + fee, 0.0), c.start)
+    open_fee, _ = affine_scan(left, np.where(c.at == opened, fee, 0.0), c.start)
+    out = {"volume": held, "cost": found_before(cost), "open_fee": found_before(open_fee), "open": np.where(earlier, opened, -1)}
+    for s in np.unique(c.start[inside & (volume < 0)]).tolist():
+        _follow(out, slice(s, int(end[s])), side, np.abs(q), price, fee)
+    c.shared["trips"] = out
+    return out
+
+
+def _follow(out: dict[str, np.ndarray], rows: slice, side, q, price, fee) -> None:
+    """The same for one series, row by row: volume may pass zero and be bought back."""
+    volume, cost, open_fee, opened = 0.0, 0.0, 0.0, -1
+    for i in range(rows.start, rows.stop):
+        out["volume"][i], out["cost"][i], out["open_fee"][i], out["open"][i] = volume, cost, open_fee, opened
+        if side[i] == 1:
+            volume, cost = round((volume + q[i]) * UNITS) / UNITS, cost + q[i] * price[i] + fee[i]
+            if opened < 0:
+                opened, open_fee = i, open_fee + fee[i]
+        elif side[i] == 2 and volume != 0:
+            share = q[i] / volume
+            volume, cost, open_fee = round((volume - q[i]) * UNITS) / UNITS, cost - share * cost, open_fee - share * open_fee
+            if volume == 0:
+                opened, open_fee = -1, 0.0
+
+
+def _found(c: Chunk, params: tuple, inputs: Sequence[int]) -> np.ndarray:
+    """One column of :func:`_positions`, or with a second parameter an input as it was at the opening row."""
+    found = _positions(c, inputs[:4])
+    if params[0] != "at_open":
+        return found[params[0]]
+    return np.where(found["open"] >= 0, c.columns[inputs[params[1]]][found["open"]], np.nan)
+
+
 def round_trips(trades: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per sell with its profit against the average cost of the open position.
 
     Buys add volume and cost (fee included); a sell takes its share of cost and opening fee. Sells
-    without a position are skipped; a flat position starts anew. Tasks stream the trades of a
-    series and keep five numbers of state.
+    without a position are skipped; a flat position starts anew. Volumes count in units of 1e-8.
     """
     keys = list(keys)
     x = trades.filter((F.col("volume") != 0) & F.col("price").isNotNull() & ~F.isnan("price"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, vol, cost, opened, open_price, open_fee = None, 0.0, 0.0, None, 0.0, 0.0
-        for pdf in batches:
-            rows = []
-            for *key, at, side, q, price, fee in pdf[[*keys, "created_at", "side", "volume", "price", "fee"]].itertuples(
-                    index=False, name=None):
-                if key != current:
-                    current, vol, cost, opened, open_price, open_fee = key, 0.0, 0.0, None, 0.0, 0.0
-                q = abs(q)
-                if side == 1:
-                    vol, cost = vol + q, cost + q * price + fee
-                    if opened is None:
-                        opened, open_price, open_fee = at, price, open_fee + fee
-                elif side == 2 and vol != 0:
-                    share = q / vol
-                    part, part_fee = share * cost, share * open_fee
-                    rows.append((*key, opened, at, open_price, price, q, part_fee, fee, q * price - part - fee))
-                    vol, cost, open_fee = vol - q, cost - part, open_fee - part_fee
-                    if vol == 0:
-                        opened, open_price, open_fee = None, 0.0, 0.0
-            yield pd.DataFrame(rows, columns=names)
-    kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
-    names = [*keys, "open_time", "close_time", "open_price", "close_price", "volume", "open_fee", "close_fee", "profit"]
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "open_time timestamp", "close_time timestamp",
-                        *[f"{c} double" for c in names[len(keys) + 2:]]])
-    return (x.repartition(*keys).sortWithinPartitions(*keys, "created_at", "seq")
-            .select(*keys, "created_at", F.col("side").cast("int").alias("side"),
-                    *[F.col(c).cast("double").alias(c) for c in ("volume", "price", "fee")])
-            .mapInPandas(run, schema))
+    x = x.select(*keys, F.col("created_at").cast("timestamp").alias("created_at"), "seq", F.col("side").cast("int").alias("side"), F.abs(F.col("volume").cast("double")).alias("volume"),
+                 F.col("price").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
+    inputs = [(n, F.col(n)) for n in ("side", "volume", "price", "fee")]
+    at = ("created_at", F.unix_micros("created_at"))
+    wanted = [Request("_held", _found, ("volume",), inputs), Request("_cost", _found, ("cost",), inputs),
+              Request("open_fee", _found, ("open_fee",), inputs), Request("open_price", _found, ("at_open", 2), inputs),
+              Request("_open", _found, ("at_open", 4), [*inputs, at])]
+    x = add_passes(x.withColumn("_time", F.struct("created_at", "seq")), keys, "_time", F.lit(1), wanted)
+    share = F.col("volume") / F.col("_held")
+    part, part_fee = share * F.col("_cost"), share * F.col("open_fee")
+    return x.filter((F.col("side") == 2) & (F.col("_held") != 0)).select(
+        *keys, F.timestamp_micros(F.col("_open").cast("long")).alias("open_time"), F.col("created_at").alias("close_time"),
+        "open_price", F.col("price").alias("close_price"), "volume", part_fee.alias("open_fee"), F.col("fee").alias("close_fee"),
+        (F.col("volume") * F.col("price") - part - F.col("fee")).alias("profit"))
 
 
 def trip_stats(trips: DataFrame, by: Sequence[str] = ("account",)) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.feature import Feature, finite
+from quantloom.plans.passes import OPS, Request, add_passes
 
 # repeats of a shared part up to which it is written out again instead of named; changes the plan only
 _INLINE_LIMIT = 24
@@ -94,12 +95,20 @@ def with_features(df: DataFrame, features: Mapping[str, Feature], *,
             made[n.key] = _build(n, [column(i) for i in n.inputs], windows)
         return made[n.key]
 
-    out = df
+    def pass_of(out: DataFrame, some: Sequence[str], arranged: bool) -> DataFrame:
+        return add_passes(out, keys, ts, column(nodes[some[0]].inputs[0]), [
+            Request(names[k], nodes[k].op, nodes[k].params, [(i.key, column(i)) for i in nodes[k].inputs[1:]]) for k in some],
+            arranged=arranged)
+
+    out, arranged = df, False  # arranged: rows lie by series and time, as the last pass left them
+    late = _only_for_outputs(nodes)
     for s in sorted(by_stage):
+        passes = [k for k in by_stage[s] if nodes[k].op in OPS]
         ranks = [k for k in by_stage[s] if nodes[k].op in _RANK_OPS]
         if len(ranks) < _RANKS_TOGETHER:
             ranks = []
-        rest = [k for k in by_stage[s] if k not in set(ranks)]
+        rest = [k for k in by_stage[s] if k not in {*ranks, *passes} and k not in late]
+        arranged = arranged and not ranks and all(nodes[k].axis == "row" for k in rest)
         if rest:
             out = out.select("*", *[
                 _build(nodes[k], [column(i) for i in nodes[k].inputs], windows).alias(names[k])
@@ -107,6 +116,16 @@ def with_features(df: DataFrame, features: Mapping[str, Feature], *,
         if ranks:
             out = _rank_together(out, windows, [
                 (names[k], nodes[k].op, column(nodes[k].inputs[0])) for k in ranks])
+        if soon := [k for k in passes if k not in late]:
+            out, arranged = pass_of(out, soon, arranged), True
+    if last := [k for k in nodes if k in late and nodes[k].op in OPS]:
+        have = {c.lower(): c for c in out.columns}
+        read = [names.get(n.key) or have[n.params[0].lower()] for n in _read(features.values(), names, late)]
+        out = pass_of(out.select(*dict.fromkeys([*keep, *keys, ts, *read])), last, arranged)
+        for s in sorted(by_stage):
+            if made_of := [k for k in by_stage[s] if k in late and nodes[k].op not in OPS]:
+                out = out.select("*", *[_build(nodes[k], [column(i) for i in nodes[k].inputs], windows).alias(names[k])
+                                        for k in made_of])
     return out.select(*keep, *[finite(column(f)).alias(name) for name, f in features.items()])
 
 
@@ -146,6 +165,36 @@ def _rank_together(df: DataFrame, windows: Windows,
         F.col("_ranks")[i]["_r"].alias(name) for i, (name, _, _) in enumerate(ranks)])
 
 
+def _only_for_outputs(nodes: Mapping[str, Feature]) -> set[str]:
+    """Functions of whole series that no other one needs, and what is made of them: they can all wait for one last pass."""
+    needed: set[str] = set()
+    for n in reversed(nodes.values()):  # inputs stand before what uses them
+        if n.axis != "row" or n.key in needed:
+            needed.update(i.key for i in n.inputs)
+    late: set[str] = set()
+    for k, n in nodes.items():
+        if k not in needed and (n.op in OPS or any(i.key in late for i in n.inputs)):
+            late.add(k)
+    return late
+
+
+def _read(outputs, names: Mapping[str, str], late: set[str]) -> list[Feature]:
+    """What the outputs read when the last pass begins: columns made before it and plain ones."""
+    found: dict[str, Feature] = {}
+    seen: set[str] = set()
+    stack = list(outputs)
+    while stack:
+        n = stack.pop()
+        if n.key in seen:
+            continue
+        seen.add(n.key)
+        if n.op == "col" or (n.key in names and n.key not in late):
+            found[n.key] = n
+        else:
+            stack.extend(n.inputs)
+    return list(found.values())
+
+
 def _build(n: Feature, inputs: list[Column], windows: Windows) -> Column:
     return n.build(*inputs) if n.axis == "row" else n.build(windows, *inputs)
 

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.feature import Feature
+from quantloom.functions.feature import Feature, col
+from quantloom.functions.indicators import recurrence_maps, recurrence_value
 from quantloom.plans.panel import with_features
-from quantloom.sources.store import scratch
+from quantloom.plans.passes import Request, add_passes
+from quantloom.sources.store import materialize, scratch
 
 
 def lookback(features: Mapping[str, Feature]) -> int:
@@ -53,14 +55,37 @@ def numbered(df: DataFrame, *, symbol: str = "symbol", ts: str = "ts", order: Se
 def with_features_split(df: DataFrame, features: Mapping[str, Feature], *, symbol: str = "symbol", ts: str = "ts",
                         order: Sequence[str] = (), rows: int = 1_000_000, bucket: str = "day",
                         keep: Sequence[str] | None = None) -> DataFrame:
-    """Features of bounded lookback on series of any length.
+    """Features on series of any length: those of bounded lookback and smoothed averages of any kind.
 
-    A series is cut into parts of ``rows`` rows; each part also gets the rows before it that its
-    windows reach back to, so results equal the unsplit ones. ``order`` breaks ties of ``ts``.
+    A series is cut into parts of ``rows`` rows; each part also gets the rows before it that its windows reach back
+    to, so results equal the unsplit ones. Recurrences are prefix scans over the parts (:func:`affine_split`), one
+    after the other where they build on each other. ``order`` breaks ties of ``ts``.
     """
-    need = lookback(features)
     keep = list(df.columns if keep is None else keep)
     x = numbered(df, symbol=symbol, ts=ts, order=order, bucket=bucket, output="_rn")
+    made: dict[str, Feature] = {}
+    scans = {n.key: n for f in features.values() for n in f.walk() if n.op in ("recurrence", "affine_scan")}
+    level: dict[str, int] = {}
+    for f in features.values():  # scans that do not need each other go together
+        for n in f.walk():
+            level[n.key] = max((level[i.key] for i in n.inputs), default=0) + (n.key in scans)
+    for depth in sorted({level[k] for k in scans}):
+        maps, names = {}, []
+        for k in (k for k in scans if level[k] == depth):
+            keeps, puts = recurrence_maps(scans[k]) if scans[k].op == "recurrence" else scans[k].inputs[1:]
+            name = f"_scan_{k}"
+            maps |= {f"{name}_keep": _replace(keeps, made), f"{name}_put": _replace(puts, made)}
+            names.append(name)
+        x = _parts(x, maps, symbol, rows, [c for c in x.columns])
+        x = affine_split(x, names, series=symbol, rn="_rn", rows=rows)
+        for k in (k for k in scans if level[k] == depth):
+            y = col(f"_scan_{k}")
+            made[k] = recurrence_value(scans[k], y) if scans[k].op == "recurrence" else y
+    return _parts(x, {n: _replace(f, made) for n, f in features.items()}, symbol, rows, keep)
+
+
+def _parts(x: DataFrame, features: Mapping[str, Feature], symbol: str, rows: int, keep: Sequence[str]) -> DataFrame:
+    need = lookback(features)
     part = F.floor((F.col("_rn") - 1) / rows)
     reach = F.floor((F.col("_rn") - 1 + need) / rows)
     x = x.select("*", part.alias("_own"), F.explode(F.sequence(part, reach)).alias("_part"))
@@ -68,6 +93,39 @@ def with_features_split(df: DataFrame, features: Mapping[str, Feature], *, symbo
     return out.filter(F.col("_own") == F.col("_part")).drop("_own", "_part")
 
 
+def _replace(f: Feature, made: Mapping[str, Feature]) -> Feature:
+    """The recipe with parts of it read from columns."""
+    if f.key in made:
+        return made[f.key]
+    inputs = tuple(_replace(i, made) for i in f.inputs)
+    if all(a is b for a, b in zip(inputs, f.inputs)):
+        return f
+    return Feature(f.op, inputs, f.build, params=f.params, axis=f.axis, lookback=f.lookback, uses=f.uses)
+
+
+def affine_split(df: DataFrame, names: Sequence[str], *, series: str, rn: str, rows: int) -> DataFrame:
+    """Columns ``name`` of ``y = keep*y + put`` from ``name_keep`` and ``name_put``, on series of any length.
+
+    The maps of each part's rows are composed inside the part. The parts' last maps, one row a part, are composed along
+    the series, and every row takes what stood before its part through its own map: nothing is cut off.
+    """
+    part = F.floor((F.col(rn) - 1) / rows)
+    x = df.withColumn("_part", part)
+    inner = [Request(f"_{op}_{n}", f"affine_{op}", (), pairs) for n in names
+             for op, pairs in (("scan", [(f"{n}_keep", F.col(f"{n}_keep")), (f"{n}_put", F.col(f"{n}_put"))]),
+                               ("run", [(f"{n}_keep", F.col(f"{n}_keep"))]))]
+    x = materialize(add_passes(x, [series, "_part"], rn, F.col(rn), inner).drop(*[f"{n}_{c}" for n in names for c in ("keep", "put")]), "parts")
+    last = F.max_by(F.struct(*[f"_{op}_{n}" for n in names for op in ("scan", "run")]), rn)
+    ends = x.groupBy(series, "_part").agg(last.alias("_l")).select(series, "_part", "_l.*")
+    whole = [Request(f"_end_{n}", "affine_scan", (), [(f"_run_{n}", F.col(f"_run_{n}")), (f"_scan_{n}", F.col(f"_scan_{n}"))]) for n in names]
+    ends = add_passes(ends, [series], "_part", F.col("_part") + 1, whole)
+    carry = ends.select(series, (F.col("_part") + 1).alias("_part"), *[f"_end_{n}" for n in names])
+    x = x.join(carry, [series, "_part"], "left")
+    before = {n: F.when(F.col("_part") == 0, 0.0).otherwise(F.col(f"_end_{n}")) for n in names}
+    out = x.withColumns({n: F.col(f"_scan_{n}") + F.col(f"_run_{n}") * before[n] for n in names})
+    return out.drop("_part", *[f"_{op}_{n}" for n in names for op in ("scan", "run", "end")])
+
+
 def cs_rank_split(df: DataFrame, value: str, *, ts: str = "ts", parts: int = 64, output: str = "rank") -> DataFrame:
     """Competition rank / count per date like ``cs_rank``, for dates of any size.
 
