@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import store, text_slices
+from quantloom.llm.common import drop_stored, store, text_slices
 
 BUCKETS = 10_000
 #: Frequent words with a ready state; those of them whose pairs are counted; frequent pairs with a ready checksum.
@@ -202,15 +202,31 @@ def _weigh(head: Broadcast, gains: Broadcast):
     return run
 
 
+def _frequent(counted: DataFrame, key: str, most: int) -> list:
+    """The keys of the highest counts, at most ``most`` of them, by falling count: whole steps of 1/16 of a doubling.
+
+    The totals are written once; the driver gets a histogram of 1,024 steps at most, then the keys themselves.
+    """
+    totals = store(counted.groupBy(key).agg(F.sum("n").alias("n")), "totals")
+    step = F.floor(16 * F.log2("n"))
+    room, least = most, None
+    for r in sorted(totals.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    found = [] if least is None else totals.filter(step >= least).collect()
+    drop_stored(totals)
+    return [r[key] for r in sorted(found, key=lambda r: (-r.n, r[key]))]
+
+
 def head_of(texts: DataFrame) -> Head:
-    """The most frequent words and pairs of all of ``texts(text)``; ties by bytes, so that it is the same each time."""
+    """The most frequent words and pairs of all of ``texts(text)``, the same each time."""
     sc = texts.sparkSession.sparkContext
     counted = texts.mapInArrow(_count_words, "word binary, n long").filter(F.length("word") < LONGEST)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    words = [bytes(r.word) for r in top]
-    pairs = texts.mapInArrow(_count_pairs(sc.broadcast(words)), "pair long, n long")
-    top = pairs.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(HEAD_PAIRS).collect()
-    return Head(words, np.array(sorted(r.pair for r in top), np.int64))
+    words = [bytes(w) for w in _frequent(counted, "word", HEAD_WORDS)]
+    counted = texts.mapInArrow(_count_pairs(sc.broadcast(words)), "pair long, n long")
+    return Head(words, np.array(sorted(_frequent(counted, "pair", HEAD_PAIRS)), np.int64))
 
 
 def bucket_totals(texts: DataFrame, head: Broadcast, buckets: int = BUCKETS) -> np.ndarray:
