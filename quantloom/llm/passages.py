@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,15 +198,19 @@ def _remove(least: int):
         for batch in batches:
             for lo, hi in text_slices(batch.column(0)):
                 part = batch.slice(lo, hi - lo)
+                marked = pc.or_(pc.or_(part.column(1).is_valid(), part.column(2).is_valid()), part.column(3).is_valid())
+                some = part.filter(marked)  # the other texts stay as they are
                 rows = []
-                for text, starts, segs, whole in zip(*(part.column(i).to_pylist() for i in range(4))):
+                for text, starts, segs, whole in zip(*(some.column(i).to_pylist() for i in range(4))):
                     runs = [(0, whole)] if whole else [(s, s + least) for s in starts or ()] + [(x["a"], x["b"]) for x in segs or ()]
                     rows.append(remove(text, runs) if runs else (text, 0, 0, []))
-                text, gone, n_words, spans = zip(*rows)
-                found = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)
+                text, gone, n_words, spans = zip(*rows) if rows else [()] * 4
+                at = np.where(np.asarray(marked), np.cumsum(np.asarray(marked)) - 1, len(rows))
+                texts = pc.replace_with_mask(part.column(0), marked, pa.array(text, part.schema.field(0).type))
+                found = pa.array([[{"start": a, "end": b} for a, b in s] for s in (*spans, ())], _SPAN).take(pa.array(at))
+                counts = [pa.array(np.append(np.array(x, np.int64), 0)[at]) for x in (gone, n_words)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[4:], pa.array(text, pa.string()), pa.array(gone, pa.int64()), pa.array(n_words, pa.int64()), found],
-                    names=[*part.schema.names[4:], "text", "removed_lines", "removed_words", "removed"])
+                    [*part.columns[4:], texts, *counts, found], names=[*part.schema.names[4:], "text", "removed_lines", "removed_words", "removed"])
     return run
 
 
@@ -215,6 +220,11 @@ def _beside(rows: DataFrame, other: DataFrame, column: str) -> DataFrame:
     return rows.join(other, rows["doc_id"].eqNullSafe(other["_od"]) & (rows["h"] == other["_oh"]), "left").drop("_od", "_oh")
 
 
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands in two rows or more. Keys alone are counted, so that only repeated rows are ordered later."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), key, "left_semi")
+
+
 def _free(*tables: DataFrame) -> None:
     """Remove stored tables that are done with; what is collected lets Spark drop the shuffle files that made the later ones."""
     for df in tables:
@@ -238,36 +248,36 @@ def dedup(df: DataFrame, *, doc_id: str, text: str, least: int) -> DataFrame:
     copies = store(copies.select(*row, "n_words"), "copies")
     # most fingerprints stand in one place: their keys alone are counted, and only repeated ones move with their places
     found = table.select("doc_id", "h", F.inline("prints"))
-    again = found.join(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-    again = store(again.join(firsts, "h").filter(F.col("doc_id").eqNullSafe(F.col("one"))).drop("one").dropDuplicates(["doc_id", "h", "start"]), "repeats")
+    again = store(_repeated(found, "key").join(firsts, "h").filter(F.col("doc_id").eqNullSafe(F.col("one"))).drop("one").dropDuplicates(["doc_id", "h", "start"]), "repeats")
     _free(table)
     # whatever lies in a segment with an earlier place goes; so the first place of any window lies in no such segment
-    segs = again.select("seg", F.struct("doc_id", "h", "a").alias("at"), "b")
-    first = segs.groupBy("seg").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = segs.join(first.select("seg", "first"), "seg").filter(F.col("at") != F.col("first"))
+    segs = _repeated(again.select("seg", "doc_id", "h", "a", "b"), "seg").select("seg", F.struct("doc_id", "h", "a").alias("at"), "b")
+    first = segs.groupBy("seg").agg(F.min("at").alias("first"))
+    later = segs.join(first, "seg").filter(F.col("at") != F.col("first"))
     later = store(later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h")).agg(
         F.collect_set(F.struct(F.col("at.a").alias("a"), "b")).alias("segs")), "segments")  # at most a text's words
     prints = again.groupBy(*row).agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("key", "start")).alias("prints"))
     left = store(_beside(prints, later, "segs").mapInArrow(_open(least), "doc_id long, h long, key long, start int"), "open")
     _free(again)
     # around the fingerprints that are open in two places the other windows are compared one by one
-    twice = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    at = left.join(twice, "key", "left_semi").groupBy(*row).agg(F.collect_set("start").alias("at"))
+    at = _repeated(left, "key").groupBy(*row).agg(F.collect_set("start").alias("at"))
     at = store(_beside(at, later, "segs"), "places")
     _free(left)
     near = rows.join(at, rows["_doc"].eqNullSafe(at["doc_id"]) & (rows["_h"] == at["h"]))
     windows = store(near.select("_doc", "_h", "_text", "at", "segs").mapInArrow(_windows(least), "key long, doc_id long, h long, start int"), "windows")
     _free(at)
-    places = windows.select("key", F.struct("doc_id", "h", "start").alias("at"))
-    first = places.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    singles = places.join(first.select("key", "first"), "key").filter(F.col("at") != F.col("first"))
+    twice = store(_repeated(windows, "key"), "twice")
+    _free(windows)
+    places = twice.select("key", F.struct("doc_id", "h", "start").alias("at"))
+    first = places.groupBy("key").agg(F.min("at").alias("first"))
+    singles = places.join(first, "key").filter(F.col("at") != F.col("first"))
     singles = singles.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h")).agg(F.collect_set("at.start").alias("starts"))
     span = "array<struct<a: int, b: int>>"
     runs = singles.select(*row, "starts", F.lit(None).cast(span).alias("segs"), F.lit(None).cast("int").alias("whole"))
     runs = runs.union(later.select(*row, F.lit(None).cast("array<int>"), "segs", F.lit(None).cast("int")))
     runs = runs.union(copies.select(*row, F.lit(None).cast("array<int>"), F.lit(None).cast(span), "n_words"))
     runs = store(runs.groupBy(*row).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("starts", "segs", "whole"))), "runs")
-    _free(windows, later, copies)
+    _free(twice, later, copies)
     joined = rows.join(runs, rows["_doc"].eqNullSafe(runs["doc_id"]) & (rows["_h"] == runs["h"]), "left")
     # the joined columns beside the row's own
     own = [rows[c] for c in rows.columns if c not in ("_doc", "_h", "_text")]
