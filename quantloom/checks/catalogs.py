@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom import with_features
 from quantloom.checks.base import PANEL_SQL, QUERIES, SQL, panel, rounded
 from quantloom.checks.duck import feature_sql
+from quantloom.functions.feature import Feature, row
 from quantloom.operators.breadth import benchmark_of, relative_to
 from quantloom.plans.catalog import CATALOGS
 
@@ -18,16 +19,34 @@ t0 AS (SELECT base.*, bench_close, close / bench_close AS rel_close, amount / be
   FROM base JOIN b ON base.ts = b.ts)"""
 
 # Formulas that rank, compare or take the position of values which are equal up to rounding noise
-# (repeated patterns of few ranks): two engines break such ties differently, so these columns are
-# computed in their own row-counted query.
+# (repeated patterns of few ranks): two engines break such ties differently, so in a query of their
+# own everything that is ordered there is rounded first.
 NOISY = {"alpha101": frozenset(f"alpha{n:03d}" for n in (2, 13, 15, 16, 29, 79, 84, 94, 97))}
 
+# a power with values up to 1e99, compared by its size
+HUGE = frozenset({"alpha084"})
+
 GROUPS = {"alpha101": 4, "alpha191": 4, "alpha158": 2, "basic": 1, "industry": 1}
 DIGITS = 5
 # added before rounding, so that exact halves (products of ranks) round alike in both engines
 OFFSET = 3e-9
 
 
+_ORDERED = ("cs_rank", "cs_rank0", "cs_rank_average", "ts_rank", "ts_rank0", "ts_argmax", "ts_argmin", "gt", "ge", "lt", "le", "ts_max", "ts_min", "max", "min", "sign")
+
+
+def _steady(f: Feature) -> Feature:
+    """The same recipe with rounded inputs wherever values are ordered."""
+    inputs = [_steady(i) for i in f.inputs]
+    if f.op in _ORDERED:
+        inputs = [row("steady", lambda a: F.round(a, 9) + 0.0, i) if i.inputs and i.op != "row_number" else i for i in inputs]
+    return Feature(f.op, tuple(inputs), f.build, params=f.params, axis=f.axis, lookback=f.lookback, uses=f.uses) if f.inputs else f
+
+
+def _small(f: Feature) -> Feature:
+    return row("log_size", lambda a: F.signum(a) * F.log1p(F.abs(a)), f, uses=2)
+
+
 def _register(catalog: str, parts: int) -> None:
     features = CATALOGS[catalog]()
     noisy = NOISY.get(catalog, frozenset())
@@ -51,7 +70,8 @@ def _register(catalog: str, parts: int) -> None:
         put(f"catalog_{catalog}_{i + 1}" if parts > 1 else f"catalog_{catalog}",
             {n: features[n] for n in names}, True)
     if noisy:
-        put(f"catalog_{catalog}_rank_ties", {n: features[n] for n in features if n in noisy}, False)
+        put(f"catalog_{catalog}_rank_ties", {n: _small(_steady(features[n])) if n in HUGE else _steady(features[n])
+                                                for n in features if n in noisy}, True)
 
 
 for _name, _parts in GROUPS.items():

@@ -132,6 +132,37 @@ TEMPLATES = {
                     "regr_syy({0}, {1}) {w} > 1e-10 THEN regr_r2({0}, {1}) {w} ELSE 0.0 END END"),
     "regbeta": _agg("CASE WHEN count({1}) {w} >= 3 AND var_samp({1}) {w} >= 1e-10 "
                     "THEN regr_slope({0}, {1}) {w} END"),
+    # smoothed averages and the older feature space
+    "recurrence": lambda p, c: (
+        f"CASE WHEN rn >= {p[2] + p[3]} AND len(list_filter(list_slice(list({c[1]}) {SOFAR}, {p[3] + 1}, rn), lambda v: v IS NULL)) = 0 THEN list_reduce(list_prepend("
+        f"list_{'avg' if p[4] == 'mean' else 'sum'}(list_slice(list({c[1]}) {SOFAR}, {p[3] + 1}, {p[2] + p[3]})), list_slice(list({c[1]}) {SOFAR}, {p[2] + p[3] + 1}, rn)),"
+        f" lambda s, v: {p[0]!r} * s + {p[1]!r} * v) END"),
+    "plus_dm": _row("CASE WHEN {0} > 0 AND {0} > {1} THEN {0} WHEN {0} + {1} IS NOT NULL THEN 0.0 END"),
+    "minus_dm": _row("CASE WHEN {0} > 0 AND {0} > {1} THEN {0} WHEN {0} + {1} IS NOT NULL THEN 0.0 END"),
+    "true_range": _row("CASE WHEN {2} IS NOT NULL THEN greatest({0} - {1}, abs({0} - {2}), abs({1} - {2})) END"),
+    "dx": _row("CASE WHEN {0} > {p0} THEN CASE WHEN {3} > 0 AND {1} + {2} > 0 THEN 100.0 * abs({1} - {2}) / ({1} + {2}) "
+               "WHEN {1} + {2} + {3} IS NOT NULL THEN 0.0 END END"),
+    "by_close": _row("CASE WHEN {1} > 0 THEN {0} / {1} ELSE {0} END"),
+    "least": _row("CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN least({0}, {1}) END"),
+    "ratio_else_zero": _row("CASE WHEN {1} > {p0} THEN {0} / {1} ELSE 0.0 END"),
+    "change": _row("CASE WHEN {1} > 0 THEN {0} / {1} - 1 END"), "raw_change": _row("CASE WHEN {1} <> 0 THEN ({0} - {1}) / {1} END"),
+    "full_mean": _agg("CASE WHEN count({0}) {w} = {d} THEN avg({0}) {w} END"),
+    "stddev": _agg("CASE WHEN count({0}) {w} = {d} THEN stddev_pop({0}) {w} END"), "var": _agg("CASE WHEN count({0}) {w} = {d} THEN var_pop({0}) {w} END"),
+    "bb_width": _agg("CASE WHEN count({0}) {w} = {d} AND avg({0}) {w} > 0 THEN 4 * stddev_pop({0}) {w} / avg({0}) {w} END"),
+    "tsf": lambda p, c: f"CASE WHEN rn >= {p[0]} AND count({c[1]}) {last(p[0])} = {p[0]} THEN regr_intercept({c[1]}, rn) {last(p[0])} + regr_slope({c[1]}, rn) {last(p[0])} * (rn + {p[1]}) END",
+    "linearreg": lambda p, c: f"CASE WHEN rn >= {p[0]} AND count({c[1]}) {last(p[0])} = {p[0]} THEN regr_intercept({c[1]}, rn) {last(p[0])} + regr_slope({c[1]}, rn) {last(p[0])} * (rn + {p[1]}) END",
+    "cci": _row("CASE WHEN {1} IS NULL THEN NULL WHEN list_sum(list_transform({0}, lambda e: abs(e - {1}))) > 0 AND {2} <> {1} "
+                "THEN ({2} - {1}) / (0.015 * list_sum(list_transform({0}, lambda e: abs(e - {1}))) / {p0}) ELSE 0.0 END"),
+    "correl": _agg("CASE WHEN count({0}) {w} = {d} THEN CASE WHEN stddev_samp({0}) {w} > 1e-10 THEN corr({0}, rn) {w} ELSE 0.0 END END"),
+    "mom_chg": _row("CASE WHEN abs({1}) > 1e-10 THEN {0} - {1} ELSE 0.0 END"),
+    "mom_ratio": _row("CASE WHEN abs({1}) > 1e-10 THEN {0} / abs({1}) ELSE 0.0 END"),
+    "natr": _row("CASE WHEN {1} <> 0 THEN {0} / {1} * 100.0 WHEN {0} IS NOT NULL THEN 0.0 END"),
+    "move": _row("CASE WHEN {1} IS NULL THEN 0.0 ELSE CAST(sign({0} - {1}) AS DOUBLE) END"),
+    "obv": _row("CASE WHEN {1} <> 0 THEN ({0} / {1} - 1) * 100.0 WHEN {1} = 0 THEN 0.0 END"),
+    "gain": _row("CASE WHEN {0} IS NOT NULL THEN greatest({0}, 0.0) END"), "loss": _row("CASE WHEN {0} IS NOT NULL THEN greatest(-{0}, 0.0) END"),
+    "rsi": _row("(CASE WHEN {0} + {1} > 0 THEN 100.0 * {0} / ({0} + {1}) WHEN {0} + {1} IS NOT NULL THEN 0.0 END - 50.0) / 50.0"),
+    "vol_chg": _row("CASE WHEN {1} > 1e-10 THEN {0} / {1} - 1.0 ELSE 0.0 END"), "from_long": _row("CASE WHEN {0} >= {p0} THEN {1} END"),
+    "steady": _row("round({0}, 9) + 0.0"), "log_size": _row("CAST(sign({0}) AS DOUBLE) * ln(1 + abs({0}))"),
     # expanding
     "expanding_mean": lambda p, c: f"CASE WHEN rn >= {p[0]} THEN avg({c[1]}) {SOFAR} END",
     "expanding_median": lambda p, c: f"CASE WHEN rn >= {p[0]} THEN quantile_cont({c[1]}, 0.5) {SOFAR} END",

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
-
 from quantloom import col
 from quantloom.checks.base import PANEL_SQL, RETS_SQL, SQL, check, panel, rets, rounded, rsql
-from quantloom.checks.duck import P, last
+from quantloom.checks.duck import P, feature_sql, last
 from quantloom.checks.functions import _DIF, _wilder, add, hand, smoothed
 from quantloom.checks.portfolio import NAV_TAIL, symbol_nav
 from quantloom.functions import features as ft
@@ -95,7 +92,8 @@ add("preset_ma_cross", preset("ma_cross", 10), stage(f"{avg('close', 10)} / clos
 add("preset_roc", preset("roc", 5), stage(_CH.format(n=5) + " AS v", f"CASE WHEN rn > 20 AND v > avg(v) OVER ({P}) THEN 1.0 ELSE 0.0 END"))
 _ONE = {"macd": (12, 26, 9), "atr_trima": (7, 20), "atr_adx": (7, 14), "bbw_tsf": (30, 7), "bbw_tsf_vol": (30, 5, 20, 7), "atr_roc": (7, 10),
         "mom_ratio": (5, 20), "vol_ratio": (5, 20)}
-add("preset_all", {n: preset(n, *_ONE.get(n, (10,) * PRESETS[n][1])) for n in sorted(PRESETS)}, None)
+_PRESETS = {n: preset(n, *_ONE.get(n, (10,) * PRESETS[n][1])) for n in sorted(PRESETS)}
+add("preset_all", _PRESETS, feature_sql(_PRESETS, PANEL_SQL))
 
 # -- sweeps ------------------------------------------------------------------------------------------------
 O = "PARTITION BY symbol ORDER BY ts"
@@ -156,21 +154,22 @@ def _(spark, path):
     return rounded(sw.compare_signals(symbol_nav(spark, path)))
 
 
-_WINS = sw.windows(datetime(1995, 1, 2), datetime(2001, 10, 1), "2Y", "1Y", "6M")
-_WV = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}', TIMESTAMP '{c}')" for i, (a, b, c) in enumerate(_WINS))
+_SPLIT = ("2Y", "1Y", "6M")  # training, test and step, from the first date to the last
 
 
-_ANCHORED = sw.windows(datetime(1995, 1, 2), datetime(2001, 10, 1), "2Y", "1Y", "6M", anchored=True)
-_AV = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}', TIMESTAMP '{c}')" for i, (a, b, c) in enumerate(_ANCHORED))
+def _wins_sql(anchored: bool = False) -> str:
+    moved = "lo + to_months(CAST(6 * k AS INTEGER))"
+    return f"""SELECT k AS window_id, {'lo' if anchored else moved} AS a, {moved} + INTERVAL 24 MONTH AS b, {moved} + INTERVAL 36 MONTH AS c
+  FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM rets), (SELECT unnest(range(0, 200)) AS k) WHERE {moved} + INTERVAL 36 MONTH <= hi"""
 
 
-def _wf_sql(recompute: bool, tail: str, wins: str = _WV, end: str = "<=") -> str:
+def _wf_sql(recompute: bool, tail: str, anchored: bool = False, end: str = "<=") -> str:
     key = "symbol, window_id" if recompute else "symbol"
     sig = f"close / lag(close, 4) OVER (PARTITION BY {key} ORDER BY ts) - 1"
     first = f"s AS (SELECT r.*, window_id, b, c FROM rets r JOIN wins ON r.ts >= a AND r.ts {end} c), x AS (SELECT *, {sig} AS sig FROM s)"
     if not recompute:
         first = f"s AS (SELECT *, {sig} AS sig FROM rets), x AS (SELECT s.*, window_id, b, c FROM s JOIN wins ON s.ts >= a AND s.ts {end} c)"
-    return f"""WITH {RETS_SQL}, wins(window_id, a, b, c) AS (VALUES {wins}), {first},
+    return f"""WITH {RETS_SQL}, wins AS ({_wins_sql(anchored)}), {first},
 q AS (SELECT *, CASE WHEN ts >= b THEN 'test' ELSE 'train' END AS part FROM x),
 h AS (SELECT *, CASE WHEN lag(sig) OVER w > 0 THEN coalesce(ret, 0) ELSE 0 END AS hr FROM q WINDOW w AS (PARTITION BY symbol, window_id, part ORDER BY ts)),
 nv AS (SELECT symbol, window_id, part, ts, product(1 + hr) OVER (PARTITION BY symbol, window_id, part ORDER BY ts) AS nav FROM h), {_MET.format(by='symbol, window_id, part')},
@@ -182,15 +181,15 @@ _WF = f"SELECT symbol, CAST(window_id AS INTEGER) AS window_id, part, n, {rsql('
 
 def _wf(spark, path, recompute):
     b = rets(spark, path)
-    return sw.walk_forward(b, b, ts_roc(col("close"), 4), _WINS, recompute=recompute)
+    return sw.walk_forward(b, b, ts_roc(col("close"), 4), sw.windows_of(b, *_SPLIT), recompute=recompute)
 
 
 check("walk_forward_recomputed", _wf_sql(True, _WF))(lambda s, p: rounded(_wf(s, p, True), sharpe=4))
 check("walk_forward_precomputed", _wf_sql(False, _WF))(lambda s, p: rounded(_wf(s, p, False), sharpe=4))
 check("walk_forward_half_open", _wf_sql(True, _WF, end="<"))(lambda s, p: rounded((lambda b: sw.walk_forward(
-    b, b, ts_roc(col("close"), 4), _WINS, inclusive=False))(rets(s, p)), sharpe=4))
-check("walk_forward_anchored", _wf_sql(True, _WF, _AV, "<"))(lambda s, p: rounded((lambda b: sw.walk_forward(
-    b, b, ts_roc(col("close"), 4), _ANCHORED, inclusive=False))(rets(s, p)), sharpe=4))
+    b, b, ts_roc(col("close"), 4), sw.windows_of(b, *_SPLIT), inclusive=False))(rets(s, p)), sharpe=4))
+check("walk_forward_anchored", _wf_sql(True, _WF, True, "<"))(lambda s, p: rounded((lambda b: sw.walk_forward(
+    b, b, ts_roc(col("close"), 4), sw.windows_of(b, *_SPLIT, anchored=True), inclusive=False))(rets(s, p)), sharpe=4))
 check("walk_forward_summary", _wf_sql(True, f"""SELECT symbol, count(*) AS windows, {rsql('avg(sharpe)', 4)} AS mean_sharpe, {rsql('stddev_pop(sharpe)', 4)} AS sharpe_std,
   {rsql('greatest(0.0, 1 - stddev_pop(sharpe))', 4)} AS stability, count(*) FILTER (WHERE sharpe < 0) AS negative_count, {rsql('avg((sharpe > 0)::INT)', 4)} AS win_rate,
   {rsql('min(sharpe)', 4)} AS min_sharpe, {rsql('max(sharpe)', 4)} AS max_sharpe FROM wf WHERE part = 'test' GROUP BY symbol"""))(

@@ -146,7 +146,29 @@ add("ts_intercept", rg.ts_intercept(X, 12), hand(f"CASE WHEN {_T} THEN {_IC} + {
 add("ts_resid", rg.ts_resid(X, 12), hand(f"CASE WHEN {_T} THEN x - {_IC} - {_SL} * rn END"))
 add("ts_predict", rg.ts_predict(X, 12), hand(f"CASE WHEN {_T} THEN {_IC} + {_SL} * rn END"))
 add("ts_rsq", rg.ts_rsq(X, 12), hand(f"CASE WHEN {_T} THEN regr_r2(x, rn) {last(12)} END"))
-add("ts_ar_resid", rg.ts_ar_resid(C, 3), None)
+
+
+def _ar_sql(p: int) -> str:
+    """The residual from normal equations over the window, solved by elimination, one step a common table expression."""
+    d, m = 3 * p + 5, p + 1
+    lags = [f"lag(close, {k}) OVER ({P}) AS l{k}" for k in range(1, p + 1)]
+    terms = ["1.0", *[f"l{k}" for k in range(1, p + 1)]]
+    sums = [f"sum({terms[i]} * {terms[j] if j < m else 'close'}) {last(d)} AS a0_{i}_{j}" for i in range(m) for j in range(i, m + 1)]
+    sql = f"""WITH {PANEL_SQL}, p0 AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, close, {', '.join(lags)} FROM t0),
+e0 AS (SELECT *, count(close + {' + '.join(terms[1:])}) {last(d)} = {d} AS whole, {', '.join(sums)} FROM p0)"""
+    for k in range(m - 1):  # only the upper triangle is kept: the matrix is symmetric
+        step = [f"a{k}_{i}_{j} - a{k}_{k}_{i} / a{k}_{k}_{k} * a{k}_{k}_{j} AS a{k + 1}_{i}_{j}" for i in range(k + 1, m) for j in range(i, m + 1)]
+        sql += f",\ne{k + 1} AS (SELECT *, {', '.join(step)} FROM e{k})"
+    below = f"e{m - 1}"
+    for i in reversed(range(m)):
+        rest = "".join(f" - a{i}_{i}_{j} * b{j}" for j in range(i + 1, m))
+        sql += f",\ns{i} AS (SELECT *, (a{i}_{i}_{m}{rest}) / a{i}_{i}_{i} AS b{i} FROM {below})"
+        below = f"s{i}"
+    fitted = " + ".join(f"b{i} * {terms[i]}" for i in range(m))
+    return sql + f"\nSELECT symbol, ts, {rsql(f'CASE WHEN rn >= {d + p} AND whole THEN close - ({fitted}) END')} AS value FROM {below}"
+
+
+add("ts_ar_resid", rg.ts_ar_resid(C, 3), _ar_sql(3))
 
 
 # -- indicators ----------------------------------------------------------------------------------------

@@ -119,14 +119,13 @@ def _(spark, path):
     return joins.reindex(b.select("symbol", "ts"), s)
 
 
-@check("join_benchmark", f"""{W_}, b AS (SELECT ts, avg(close) AS bench FROM bars
-  WHERE ts >= TIMESTAMP '1996-01-01' GROUP BY ts),
+@check("join_benchmark", f"""{W_}, b AS (SELECT ts + INTERVAL 364 DAY AS ts, avg(close) AS bench FROM bars GROUP BY 1),
 s AS (SELECT DISTINCT ts FROM bars) SELECT ts, {rsql('v')} AS bench FROM (
   SELECT s.ts, coalesce(b.bench, CASE WHEN s.ts < (SELECT min(ts) FROM b) THEN (SELECT arg_min(bench, ts) FROM b) END) AS v
   FROM s LEFT JOIN b ON b.ts = s.ts) WHERE v IS NOT NULL""")
 def _(spark, path):
     b = week_bars(spark, path)
-    bench = b.filter("ts >= TIMESTAMP '1996-01-01'").groupBy("ts").agg(F.avg("close").alias("bench"))
+    bench = b.groupBy((F.col("ts") + F.expr("INTERVAL 364 DAYS")).alias("ts")).agg(F.avg("close").alias("bench"))  # none for the first year
     return rounded(joins.join_benchmark(b.select("ts").distinct(), bench))
 
 
@@ -155,15 +154,15 @@ check("asof_strictly_before", _ASOF.format(op=">"))(_asof(True))
 @check("asof_price_by_frequency", f"""WITH h AS ({HOUR_SQL}), d AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts,
   arg_max(close, ts) AS close FROM h GROUP BY 1, 2),
 o AS (SELECT DISTINCT symbol, ts + INTERVAL 30 MINUTE AS ts FROM h),
-a AS (SELECT o.symbol, o.ts, f.close AS fine FROM o ASOF LEFT JOIN (SELECT * FROM h WHERE close > 0
-  AND ts >= TIMESTAMP '2024-01-10') f ON o.symbol = f.symbol AND o.ts >= f.ts)
+a AS (SELECT o.symbol, o.ts, f.close AS fine FROM o ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 9 DAY AS ts, close FROM h WHERE close > 0) f
+  ON o.symbol = f.symbol AND o.ts >= f.ts)
 SELECT a.symbol, a.ts, {rsql('coalesce(fine, d.close)')} AS price FROM a ASOF LEFT JOIN (SELECT * FROM d WHERE close > 0) d
   ON a.symbol = d.symbol AND a.ts >= d.ts""")
 def _(spark, path):
     h = hour_bars(spark, path)
     d = h.groupBy("symbol", F.date_trunc("day", "ts").alias("ts")).agg(
         F.max_by("close", "ts").alias("close")).withColumn("freq", F.lit("1d"))
-    fine = h.filter("ts >= TIMESTAMP '2024-01-10'").select("symbol", "ts", "close", F.lit("1h").alias("freq"))
+    fine = h.select("symbol", (F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), "close", F.lit("1h").alias("freq"))  # none for nine days
     at = h.select("symbol", (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("ts"))
     return rounded(joins.latest_price(fine.unionByName(d), at, ["1h", "1d"]))
 
@@ -222,20 +221,21 @@ def _(spark, path):
     return out.select("ts", F.coalesce("a", F.lit(0)).alias("orders"), F.coalesce("b", F.lit(0)).alias("lines"))
 
 
-@check("set_keep_first", """SELECT k AS key, arg_min(v, s) AS value FROM (SELECT n_nationkey AS k, n_name AS v, 0 AS s FROM nation
-  WHERE n_nationkey < 10 UNION ALL SELECT r_regionkey, r_name, 1 FROM region UNION ALL
+@check("set_keep_first", """SELECT k AS key, arg_min(v, s) AS value FROM (SELECT n_nationkey * 2 AS k, n_name AS v, 0 AS s FROM nation
+  UNION ALL SELECT r_regionkey, r_name, 1 FROM region UNION ALL
   SELECT n_nationkey, 'late', 2 FROM nation) GROUP BY k""")
 def _(spark, path):
     n = table(spark, path, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
     r = table(spark, path, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value"))
-    return joins.keep_first([n.filter("key < 10"), r, n.select("key", F.lit("late").alias("value"))], "key")
+    return joins.keep_first([n.select((F.col("key") * 2).alias("key"), "value"), r, n.select("key", F.lit("late").alias("value"))], "key")
 
 
-@check("join_fundamentals", f"""{W_}, f AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, max(p_retailprice) AS pe_ttm FROM lineitem
-  JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size > 25 GROUP BY 1, 2) SELECT b.symbol, b.ts, b.volume, f.pe_ttm FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.ts = b.ts""")
+@check("join_fundamentals", f"""{W_}, f AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, max(CASE WHEN l_returnflag = 'R' AND p_size > 25 THEN p_retailprice END) AS pe_ttm FROM lineitem
+  JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT b.symbol, b.ts, b.volume, f.pe_ttm FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.ts = b.ts""")
 def _(spark, path):
-    f = (table(spark, path, "lineitem").filter("l_returnflag = 'R'").join(table(spark, path, "part").filter("p_size > 25"), F.col("l_partkey") == F.col("p_partkey"))
-         .groupBy(F.col("p_brand").alias("symbol"), F.date_trunc("week", "l_shipdate").alias("ts")).agg(F.max("p_retailprice").alias("pe_ttm")))
+    price = F.when((F.col("l_returnflag") == "R") & (F.col("p_size") > 25), F.col("p_retailprice"))
+    f = (table(spark, path, "lineitem").join(table(spark, path, "part"), F.col("l_partkey") == F.col("p_partkey"))
+         .groupBy(F.col("p_brand").alias("symbol"), F.date_trunc("week", "l_shipdate").alias("ts")).agg(F.max(price).alias("pe_ttm")))
     return joins.with_fundamentals(week_bars(spark, path).select("symbol", "ts", "volume"), f, ["pe_ttm"])
 
 

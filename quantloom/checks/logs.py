@@ -68,7 +68,7 @@ sg AS (SELECT category, NULL AS template, 1 AS rule, 0 AS pr FROM cats WHERE (SE
   UNION ALL SELECT category, template, 2, 1 FROM nd WHERE status = 'PARTIAL'
   UNION ALL SELECT category, template, 3, 1 FROM (SELECT * FROM nd ORDER BY sharpe DESC, category, template LIMIT 3) WHERE bear < 0.1 UNION ALL SELECT category, NULL, 4, 1 FROM fc)
 SELECT category, template, rule FROM sg ORDER BY pr, rule, category, template NULLS FIRST LIMIT 10""")(
-    lambda s, p: (lambda r: ex.suggest(r, ex.nodes(r), r.select("category").union(r.limit(1).select(F.lit("NEW"))).distinct(), 10)
+    lambda s, p: (lambda r: ex.suggest(r, ex.nodes(r), r.select("category").union(r.agg(F.lit("NEW"))).distinct(), 10)
                   .select("category", "template", "rule"))(records(s, p)))
 check("log_category_statistics", f"""{_N} SELECT category, count(*) AS total_templates, count(*) FILTER (WHERE status = 'EXHAUSTED') AS exhausted, count(*) FILTER (WHERE status = 'PARTIAL') AS partial,
   count(*) FILTER (WHERE status = 'REDUNDANT') AS redundant, {rsql('max(sharpe)')} AS best_sharpe, arg_max(template, row(sharpe, template)) AS best_template FROM nd GROUP BY 1""")(

@@ -78,11 +78,34 @@ check("weights_score", f"""{_S}, t AS (SELECT * FROM rk WHERE rank <= 5) SELECT
     lambda s, p: rounded(pf.score_weights(pf.top_n(scores(s, p), 5))))
 
 
-@check("weights_risk_parity")
-def _(spark, path):
-    s = scores(spark, path)
-    dates = pf.rebalance_dates(rets(spark, path), "ME")
-    return rounded(pf.risk_parity_weights(pf.top_n(s.join(dates, "ts", "left_semi"), 4), rets(spark, path), 26))
+def _risk_sql(n: int) -> str:
+    """Weights from the fixed point x = sqrt(x / (n C x)): two hundred rounds over the covariance lists of each date."""
+    return f"""{_S.replace('WITH', 'WITH RECURSIVE', 1)}, reb AS (SELECT max(ts) AS ts FROM d GROUP BY date_trunc('month', ts)),
+hs AS (SELECT symbol, ts, row_number() OVER ({O}) AS i, ret FROM rets), pk AS (SELECT rk.symbol, rk.ts, hs.i FROM rk JOIN hs USING (symbol, ts) WHERE rank <= {n} AND rk.ts IN (SELECT ts FROM reb)),
+rr AS (SELECT pk.ts, pk.symbol, pk.i - hs.i AS back, hs.ret FROM pk JOIN hs ON hs.symbol = pk.symbol AND hs.i BETWEEN pk.i - 25 AND pk.i WHERE hs.ret IS NOT NULL),
+ok AS (SELECT ts FROM (SELECT pk.ts, pk.symbol, count(rr.ret) AS c FROM pk LEFT JOIN rr ON rr.ts = pk.ts AND rr.symbol = pk.symbol GROUP BY 1, 2) GROUP BY 1 HAVING min(c) = 26 AND count(*) > 1),
+cv AS (SELECT a.ts, a.symbol, b.symbol AS other, covar_samp(a.ret, b.ret) + CASE WHEN a.symbol = b.symbol THEN 1e-6 ELSE 0 END AS c FROM rr a JOIN rr b ON a.ts = b.ts AND a.back = b.back JOIN ok ON ok.ts = a.ts GROUP BY 1, 2, 3),
+cl AS (SELECT ts, symbol, list(c ORDER BY other) AS c FROM cv GROUP BY 1, 2), cm AS (SELECT ts, list(symbol ORDER BY symbol) AS s, list(c ORDER BY symbol) AS c FROM cl GROUP BY 1),
+it(k, ts, x) AS (SELECT 0, ts, list_transform(range(1, len(s) + 1), lambda i: 1 / sqrt(c[i][i])) FROM cm
+  UNION ALL SELECT k + 1, it.ts, list_transform(range(1, len(x) + 1), lambda i: sqrt(x[i] / (len(x) * list_dot_product(cm.c[i], x)))) FROM it JOIN cm ON cm.ts = it.ts WHERE k < 200),
+w AS (SELECT it.ts, unnest(s) AS symbol, unnest(list_transform(x, lambda v: v / list_sum(x))) AS weight FROM it JOIN cm ON cm.ts = it.ts WHERE k = 200)
+SELECT 'mom' AS strategy_id, pk.ts, pk.symbol, {rsql('coalesce(w.weight, 1.0 / count(*) OVER (PARTITION BY pk.ts))')} AS weight, 0e0 AS residual FROM pk LEFT JOIN w ON w.ts = pk.ts AND w.symbol = pk.symbol"""
+
+
+def _risk_parity(n):
+    def run(spark, path):
+        s = scores(spark, path)
+        dates = pf.rebalance_dates(rets(spark, path), "ME")
+        return rounded(pf.risk_parity_weights(pf.top_n(s.join(dates, "ts", "left_semi"), n), rets(spark, path), 26, residual=True), residual=9)
+    return run
+
+
+check("weights_risk_parity", _risk_sql(4))(_risk_parity(4))
+# two assets: weights in proportion to 1 / deviation, whatever the correlation
+check("weights_risk_parity_pair", f"""{_S}, reb AS (SELECT max(ts) AS ts FROM d GROUP BY date_trunc('month', ts)),
+hs AS (SELECT symbol, ts, CASE WHEN count(ret) OVER w = 26 THEN 1 / sqrt(var_samp(ret) OVER w + 1e-6) END AS x FROM rets WINDOW w AS ({O} ROWS 25 PRECEDING)),
+pk AS (SELECT rk.symbol, rk.ts, x, count(x) OVER (PARTITION BY rk.ts) AS c, count(*) OVER (PARTITION BY rk.ts) AS n FROM rk JOIN hs USING (symbol, ts) WHERE rank <= 2 AND rk.ts IN (SELECT ts FROM reb))
+SELECT 'mom' AS strategy_id, ts, symbol, {rsql('CASE WHEN c = n THEN x / sum(x) OVER (PARTITION BY ts) ELSE 1.0 / n END')} AS weight, 0e0 AS residual FROM pk""")(_risk_parity(2))
 
 
 @check("weights_rank_buffer", _S.replace("WITH", "WITH RECURSIVE", 1) + """, reb AS (SELECT max(ts) AS ts FROM d GROUP BY date_trunc('month', ts)),

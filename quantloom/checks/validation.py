@@ -145,7 +145,14 @@ SELECT factor_id, {rsql('mean')} AS mean, {rsql('std')} AS std, {rsql('hit')} AS
 FROM b JOIN s USING (factor_id) JOIN a USING (factor_id) JOIN z USING (factor_id) JOIN k USING (factor_id)""")(lambda s, p: rounded(va.factor_profile(pairs(s, p))))
 
 
-@check("bootstrap_sharpe")
+@check("bootstrap_sharpe", f"""WITH bars AS ({MONTH_SQL}), r AS (SELECT symbol, ts, 0.02 * (close / lag(close) OVER ({O}) - 1) AS ret FROM bars),
+k AS (SELECT symbol FROM r WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+m AS (SELECT symbol, date_trunc('month', ts) AS t, product(1 + ret) - 1 AS ret FROM r JOIN k USING (symbol) WHERE ret IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM m QUALIFY n >= 12),
+p AS (SELECT symbol, draw, CAST(('0x' || substr(md5('7-' || draw || '-' || i), 1, 8)) AS BIGINT) % n AS i FROM x, (SELECT unnest(range(1, 201)) AS draw)),
+v AS (SELECT p.symbol, draw, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(12.0) END AS v FROM p JOIN x ON x.symbol = p.symbol AND x.i = p.i GROUP BY 1, 2)
+SELECT symbol, count(v) AS draws, {rsql('avg(v)')} AS mean, {rsql('stddev_pop(v)')} AS std, {rsql('quantile_cont(v, 0.025)')} AS low, {rsql('quantile_cont(v, 0.975)')} AS high
+FROM v GROUP BY 1 HAVING count(v) >= 100""")
 def _(spark, path):
     r = with_returns(month_bars(spark, path)).select("symbol", "ts", (F.col("returns") * 0.02).alias("ret"))
     return rounded(va.bootstrap_sharpe(r, ["symbol"], draws=200))

@@ -111,30 +111,37 @@ def _equal_risk(cov: np.ndarray) -> np.ndarray:
     raise ArithmeticError("risk parity weights did not settle in 500 rounds")
 
 
-def risk_parity_weights(selected: DataFrame, returns: DataFrame, lookback: int,
-                        by: Sequence[str] = (SID,)) -> DataFrame:
+def risk_parity_weights(selected: DataFrame, returns: DataFrame, lookback: int, by: Sequence[str] = (SID,), *,
+                        residual: bool = False) -> DataFrame:
     """Equal risk contributions over the last ``lookback`` returns of the selected symbols.
 
-    A group is one rebalance date: at most (selected symbols) arrays of ``lookback`` values.
-    Falls back to equal weights where returns are missing.
+    The selected rows look their returns up by row number, so only they carry any. A group is one rebalance date: at
+    most (selected symbols) arrays of ``lookback`` values. Falls back to equal weights where returns are missing.
+    With ``residual`` also how far the contribution of a symbol is from an equal share of the risk (0: equal weights
+    for want of returns).
     """
-    w = W.partitionBy("symbol").orderBy("ts").rowsBetween(-(lookback - 1), 0)
-    hist = returns.select("symbol", "ts", F.collect_list("ret").over(w).alias("_h"))
-    x = selected.select(*by, "ts", "symbol").join(hist, ["symbol", "ts"], "left")
+    numbered = returns.select("symbol", "ts", "ret", F.row_number().over(W.partitionBy("symbol").orderBy("ts")).alias("_rn"))
+    picks = selected.select(*by, "ts", "symbol").join(numbered.drop("ret"), ["symbol", "ts"], "left")
+    wanted = picks.select(*by, "ts", "symbol", F.explode(F.sequence(F.col("_rn") - (lookback - 1), F.col("_rn"))).alias("_rn"))
+    found = wanted.join(numbered.select("symbol", "_rn", "ret"), ["symbol", "_rn"]).filter(F.col("ret").isNotNull())
+    hist = found.groupBy(*by, "ts", "symbol").agg(F.array_sort(F.collect_list(F.struct("_rn", "ret")))["ret"].alias("_h"))
+    x = picks.drop("_rn").join(hist, [*by, "ts", "symbol"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("symbol")
         h = [a for a in pdf["_h"]]
         n = len(pdf)
-        weights = np.full(n, 1.0 / n)
+        weights, off = np.full(n, 1.0 / n), np.zeros(n)
         if n > 1 and all(a is not None and len(a) == lookback for a in h):
             cov = np.cov(np.stack([np.asarray(a, float) for a in h])) + 1e-6 * np.eye(n)
             if np.isfinite(cov).all():
                 weights = _equal_risk(cov)
-        return pdf.drop(columns="_h").assign(weight=weights)
+                risk = weights * (cov @ weights)
+                off = risk / risk.sum() - 1.0 / n
+        return pdf.drop(columns="_h").assign(weight=weights, residual=off)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "_h")
-    return x.groupBy(*by, "ts").applyInPandas(solve, f"{fields}, weight double").select(
-        *by, "ts", "symbol", "weight")
+    return x.groupBy(*by, "ts").applyInPandas(solve, f"{fields}, weight double, residual double").select(
+        *by, "ts", "symbol", "weight", *(["residual"] if residual else []))
 
 
 def buffered_targets(scores: DataFrame, dates: DataFrame, n: int, buffer: int,

@@ -200,7 +200,7 @@ def bootstrap_sharpe(returns: DataFrame, by: Sequence[str], *, ret: str = "ret",
                        "_n": F.count(F.lit(1)).over(part)}).filter(F.col("_n") >= minimum)
     slots = x.select(*by, F.col("_i").alias("_slot"), "_n").withColumn(
         "_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = slots.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_draw", "_slot"), F.col("_n")).cast("int"))
+    picks = slots.withColumn("_i", (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "_draw", "_slot")), 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int"))
     sampled = picks.select(*by, "_draw", "_i").join(x.select(*by, "_i", "ret"), [*by, "_i"])
     s = F.stddev_samp("ret")
     sharpe = sampled.groupBy(*by, "_draw").agg(F.when(s > 0, F.avg("ret") / s * F.sqrt(F.lit(year))).alias("v"))

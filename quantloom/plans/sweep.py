@@ -124,6 +124,12 @@ def windows(start: datetime, end: datetime, train: str, test: str, step: str, *,
     return out
 
 
+def windows_of(rows: DataFrame, train: str, test: str, step: str, *, ts: str = "ts", **kw) -> list[tuple[datetime, datetime, datetime]]:
+    """The :func:`windows` from the first to the last time of ``rows``."""
+    ends = rows.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+    return windows(ends.a, ends.b, train, test, step, **kw) if ends.a is not None else []
+
+
 def in_windows(rows: DataFrame, wins: Sequence[tuple], inclusive: bool = False) -> DataFrame:
     """Each row once per window that contains it, with ``window_id`` and ``part`` (train / test).
 
