@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators.stats import corr_agg
 from quantloom.operators.validation import daily_ic
+from quantloom.sources.store import materialize
 
 SID = "strategy_id"
 
@@ -213,37 +214,50 @@ def _marks(weights: DataFrame, by) -> DataFrame:
                                                        F.lead("ts").over(o).alias("_next"))
 
 
+def _changes(held: DataFrame, by) -> DataFrame:
+    """Sold and bought weight per ordinal ``_k`` of ``held`` (weights with their marks)."""
+    new = held.select(*by, "_k", "symbol", F.col("weight").alias("_w"))
+    # what was held at the mark before, but for marks after the last one
+    old = held.filter(F.col("_next").isNotNull()).select(*by, (F.col("_k") + 1).alias("_k"), "symbol", (-F.col("weight")).alias("_w"))
+    d = new.unionByName(old).groupBy(*by, "_k", "symbol").agg(F.sum("_w").alias("_d"))
+    return d.groupBy(*by, "_k").agg(F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("sold"),
+                                    F.sum(F.greatest(F.col("_d"), F.lit(0.0))).alias("bought"))
+
+
 def weight_changes(weights: DataFrame, by: Sequence[str] = (SID,)) -> DataFrame:
     """Sold and bought weight at each rebalance against the previous one (first: all bought)."""
     marks = _marks(weights, by)
-    k = weights.join(marks, [*by, "ts"])
-    new = k.select(*by, "_k", "symbol", F.col("weight").alias("_w"))
-    old = k.select(*by, (F.col("_k") + 1).alias("_k"), "symbol", (-F.col("weight")).alias("_w"))
-    d = new.unionByName(old).groupBy(*by, "_k", "symbol").agg(F.sum("_w").alias("_d"))
-    sums = d.groupBy(*by, "_k").agg(F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("sold"),
-                                    F.sum(F.greatest(F.col("_d"), F.lit(0.0))).alias("bought"))
-    return marks.select(*by, "_k", "ts").join(sums, [*by, "_k"])
+    return marks.select(*by, "_k", "ts").join(_changes(weights.join(marks, [*by, "ts"]), by), [*by, "_k"])
 
 
-def portfolio_returns(weights: DataFrame, returns: DataFrame, by: Sequence[str] = (SID,)) -> DataFrame:
-    """Return of each date under the weights of the last rebalance before it; missing returns are 0.
+def _earned(held: DataFrame, returns: DataFrame, by) -> DataFrame:
+    """``by, ts, ret``: what each held symbol adds to a date's return, one row per position and date.
 
     A weight holds from its date (not included) to the next one of its strategy. It meets the returns of its symbol
-    month by month, so the join has equal keys and reads each return once per strategy that holds the symbol. Every
-    date of the returns is in the result, for every strategy: that is as many rows as the result has.
+    month by month, so the join has equal keys and reads each return once per strategy that holds the symbol.
     """
-    by = list(by)
     end = returns.agg(F.max("ts").alias("_end"))  # one row
-    held = weights.join(_marks(weights, by), [*by, "ts"]).join(F.broadcast(end))
-    held = held.select(*by, "symbol", "weight", F.col("ts").alias("_from"), F.coalesce("_next", "_end").alias("_to"))
-    month = F.trunc("_from", "month")
-    held = held.filter(F.col("_from") < F.col("_to")).withColumn("_month", F.explode(F.sequence(
-        month, F.trunc("_to", "month"), F.expr("interval 1 month"))))
+    x = held.join(F.broadcast(end)).select(*by, "symbol", "weight", F.col("ts").alias("_from"), F.coalesce("_next", "_end").alias("_to"))
+    x = x.filter(F.col("_from") < F.col("_to")).withColumn("_month", F.explode(F.sequence(
+        F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))))
     r = returns.select("symbol", "ts", "ret", F.trunc("ts", "month").alias("_month"))
-    got = (held.join(r, ["symbol", "_month"]).filter((F.col("ts") > F.col("_from")) & (F.col("ts") <= F.col("_to")))
-           .groupBy(*by, "ts").agg(F.sum(F.col("weight") * F.coalesce(F.col("ret"), F.lit(0.0))).alias("ret")))
-    dates = returns.select("ts").distinct().crossJoin(weights.select(*by).distinct()).select(*by, "ts", F.lit(0.0).alias("ret"))
-    return dates.unionByName(got).groupBy(*by, "ts").agg(F.sum("ret").alias("ret"))
+    return (x.join(r, ["symbol", "_month"]).filter((F.col("ts") > F.col("_from")) & (F.col("ts") <= F.col("_to")))
+            .select(*by, "ts", (F.col("weight") * F.coalesce(F.col("ret"), F.lit(0.0))).alias("ret")))
+
+
+def _grid(held: DataFrame, returns: DataFrame, by) -> DataFrame:
+    """Every date of the returns for every strategy: as many rows as the result has."""
+    return returns.select("ts").distinct().crossJoin(held.select(*by).distinct()).select(*by, "ts", F.lit(0.0).alias("ret"))
+
+
+def portfolio_returns(weights: DataFrame, returns: DataFrame, by: Sequence[str] = (SID,)) -> DataFrame:
+    """Return of each date under the weights of the last rebalance before it; missing returns are 0.
+
+    Every date of the returns is in the result, for every strategy.
+    """
+    by = list(by)
+    held = weights.join(_marks(weights, by), [*by, "ts"])
+    return _grid(held, returns, by).unionByName(_earned(held, returns, by)).groupBy(*by, "ts").agg(F.sum("ret").alias("ret"))
 
 
 def rotation_nav(weights: DataFrame, returns: DataFrame, *, commission: float = 0.0, stamp: float = 0.0,
@@ -253,21 +267,28 @@ def rotation_nav(weights: DataFrame, returns: DataFrame, *, commission: float =
     Cost factor 1 - sold*(commission + stamp) - bought*commission, none for the first entry. With
     ``style_costs`` it is (1 - t*commission)*... on half the total change, the entry included:
     one commission and one stamp charge in sequence.
+
+    The weights with their marks are written once; dates, earnings and costs meet in one aggregate.
     """
     by = list(by)
-    daily = portfolio_returns(weights, returns, by)
-    moves = weight_changes(weights, by)
+    held = materialize(weights.join(_marks(weights, by), [*by, "ts"]), "held")
+    moves = _changes(held, by).join(held.select(*by, "_k", "ts").distinct(), [*by, "_k"])
     if style_costs:
         t = (F.col("sold") + F.col("bought")) / 2
         cost = (1 - t * commission) * (1 - t * stamp)
     else:
         cost = F.when(F.col("_k") == 1, 1.0).otherwise(
             1 - F.col("sold") * (commission + stamp) - F.col("bought") * commission)
-    x = daily.join(moves.select(*by, "ts", cost.alias("_c")), [*by, "ts"], "left")
-    w = W.partitionBy(*by).orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.row_number().over(W.partitionBy(*by).orderBy("ts")) == 1
-    x = x.withColumn("ret", F.when(first, 0.0).otherwise(F.col("ret")))
-    return x.select(*by, "ts", "ret", F.product((1 + F.col("ret")) * F.coalesce("_c", F.lit(1.0))).over(w).alias("nav"))
+    # a cost counts on dates of the returns only, which the grid marks
+    parts = [_grid(held, returns, by).select("*", F.lit(None).cast("double").alias("_c"), F.lit(True).alias("_day")),
+             _earned(held, returns, by).select("*", F.lit(None).cast("double").alias("_c"), F.lit(None).cast("boolean").alias("_day")),
+             moves.select(*by, "ts", F.lit(0.0).alias("ret"), cost.alias("_c"), F.lit(None).cast("boolean").alias("_day"))]
+    x = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by, "ts").agg(
+        F.sum("ret").alias("ret"), F.max("_c").alias("_c"), F.max("_day").alias("_day")).filter("_day")
+    o = W.partitionBy(*by).orderBy("ts")
+    x = x.withColumn("ret", F.when(F.row_number().over(o) == 1, 0.0).otherwise(F.col("ret")))
+    run = o.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return x.select(*by, "ts", "ret", F.product((1 + F.col("ret")) * F.coalesce("_c", F.lit(1.0))).over(run).alias("nav"))
 
 
 def signal_nav(signal: DataFrame, returns: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:

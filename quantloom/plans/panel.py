@@ -131,38 +131,9 @@ def with_features(df: DataFrame, features: Mapping[str, Feature], *,
 
 def _rank_together(df: DataFrame, windows: Windows,
                    ranks: list[tuple[str, str, Column]]) -> DataFrame:
-    """Many cross-section ranks in one shuffle and one sort.
-
-    Each row becomes one narrow row per ranked value; the other columns travel with the first
-    of them only. A date with very many symbols is spread over as many tasks as there are ranks.
-    Rows with one (symbol, ts) are told apart by a number; equal rows get equal ranks whichever is which.
-    """
-    rest = [f.name for f in df.schema.fields if f.name not in (*windows.symbol, windows.ts)]
-    apart = [F.hash(f.name) for f in df.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
-    df = df.withColumn("_twin", F.row_number().over(
-        W.partitionBy(*windows.symbol, windows.ts).orderBy(*(apart or [F.lit(0)]))))
-    keys = [*windows.symbol, windows.ts, "_twin"]
-    long = df.select(*keys, F.struct(*rest).alias("_row"),
-                     F.posexplode(F.array(*[x for _, _, x in ranks])).alias("_k", "_v"))
-    long = long.withColumn("_row", F.when(F.col("_k") == 0, F.col("_row")))
-    groups = W.partitionBy(*windows.symbol[1:], windows.ts, "_k")
-    order = groups.orderBy(F.col("_v").asc_nulls_last())
-    rank, count = F.rank().over(order), F.count("_v").over(groups)
-    value = rank / count
-    zero = [i for i, r in enumerate(ranks) if r[1] == "cs_rank0"]
-    average = [i for i, r in enumerate(ranks) if r[1] == "cs_rank_average"]
-    if zero:
-        value = F.when(F.col("_k").isin(zero), (rank - 1) / count).otherwise(value)
-    if average:
-        upto = F.count("_v").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-        value = F.when(F.col("_k").isin(average), (rank + upto) / 2.0 / count).otherwise(value)
-    ranked = long.select(*keys, "_row", "_k", F.when(F.col("_v").isNotNull(), value).alias("_r"))
-    # back to one row, already partitioned and sorted for the windows along time
-    back = ranked.repartition(*windows.symbol).groupBy(*keys).agg(
-        F.first("_row", ignorenulls=True).alias("_row"),
-        F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
-    return back.select(*keys[:-1], "_row.*", *[
-        F.col("_ranks")[i]["_r"].alias(name) for i, (name, _, _) in enumerate(ranks)])
+    """Many cross-section ranks in one shuffle by date and one pass."""
+    return add_passes(df, [*windows.symbol[1:], windows.ts], windows.symbol[0], F.lit(1),
+                      [Request(name, op, (), [(f"{i}", x)]) for i, (name, op, x) in enumerate(ranks)])
 
 
 def _only_for_outputs(nodes: Mapping[str, Feature]) -> set[str]:

@@ -1,4 +1,4 @@
-"""Functions of whole series that no window expresses: order statistics and recurrences, by vectors inside tasks.
+"""Functions of whole series (or dates) by vectors inside tasks: order statistics, recurrences, many ranks at once.
 
 Rows are dealt by series and sorted by time (Spark leaves that out where they already are), and tasks stream whole
 series through vectorised functions: many small series at once, a long one alone.
@@ -56,6 +56,30 @@ def _rolling_rank(c: Chunk, i: int, d: int, own: int) -> np.ndarray:
     return c.from_row(d, _share(s.below() + own, s.n))
 
 
+def _cross_rank(c: Chunk, i: int, kind: str) -> np.ndarray:
+    """Place of a value among those of its group, over their number: the lowest place of equal ones, or their mean."""
+    v = c.columns[i]
+    there = ~np.isnan(v)
+    at = np.flatnonzero(there)
+    group = c.start[at]
+    order = np.lexsort((v[at], group))
+    g, s = group[order], v[at][order]
+    n = len(s)
+    new_group = np.append(True, g[1:] != g[:-1])[:n]
+    new_value = new_group | np.append(True, s[1:] != s[:-1])[:n]
+    here = np.arange(n)
+    lowest = np.maximum.accumulate(np.where(new_value, here, 0))
+    first = np.maximum.accumulate(np.where(new_group, here, 0))
+    ends = np.flatnonzero(np.append(new_value[1:], True)[:n])
+    upto = ends[np.searchsorted(ends, here)] + 1 - first
+    count = np.bincount(np.cumsum(new_group) - 1)[np.cumsum(new_group) - 1] if n else np.zeros(0)
+    rank = lowest - first + 1
+    place = {"cs_rank": rank, "cs_rank0": rank - 1, "cs_rank_average": (rank + upto) / 2.0}[kind]
+    out = np.full(len(v), np.nan)
+    out[at[order]] = place / count
+    return out
+
+
 #: What a feature of that name computes: ``(chunk, parameters, numbers of its input columns)``.
 OPS: Mapping[str, Callable[[Chunk, tuple, Sequence[int]], np.ndarray]] = {
     "ts_median": lambda c, p, i: c.from_row(p[0], c.stretches(i[0], p[0]).linear(0.5)),
@@ -72,6 +96,9 @@ OPS: Mapping[str, Callable[[Chunk, tuple, Sequence[int]], np.ndarray]] = {
 }
 
 
+RANKS = ("cs_rank", "cs_rank0", "cs_rank_average")
+
+
 class Request(NamedTuple):
     name: str
     op: str | Callable[[Chunk, tuple, Sequence[int]], np.ndarray]  # a name in OPS, or a function of that kind
@@ -105,12 +132,17 @@ def _pass(series: list[str], n_inputs: int, wanted: list[tuple]):
             chunk = Chunk(table.column(own + n_inputs).to_numpy(), first, [table.column(own + i).to_numpy() for i in range(n_inputs)])
             out = table.select(list(range(own)))
             for i, (op, params, inputs) in enumerate(wanted):
-                out = out.append_column(f"_r{i}", pa.array((OPS[op] if isinstance(op, str) else op)(chunk, params, inputs),
-                                                             pa.float64(), from_pandas=True))
+                out = out.append_column(f"_r{i}", pa.array(_function(op)(chunk, params, inputs), pa.float64(), from_pandas=True))
             yield from out.combine_chunks().to_batches()
     return run
 
 
+def _function(op: str | Callable) -> Callable:
+    if op in RANKS:
+        return lambda c, p, i: _cross_rank(c, i[0], op)
+    return OPS[op] if isinstance(op, str) else op
+
+
 def whole_series(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole series, and the first row of each; rows come sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
