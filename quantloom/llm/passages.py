@@ -62,6 +62,27 @@ def fingerprints(sums: np.ndarray, first: np.ndarray, least: int) -> tuple[np.nd
     return np.searchsorted(first, chosen, side="right") - 1, chosen, value[chosen]
 
 
+def halves(sums: np.ndarray, first: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of the hash of each fingerprint with the words before it, and with those after it.
+
+    A window of ``least`` words around a fingerprint holds all the words of one of the two, so it stands twice only if
+    that one does. Where a text is too short for one it holds no such window; the value is then 0.
+    """
+    n, m = max(1, least // 3), _before(least)
+    out = []
+    for start, size in ((place - m, m + n), (place, least - m)):
+        fits = (start >= first[doc]) & (start + size <= first[doc + 1])
+        value = np.zeros(len(place), np.int32)
+        value[fits] = np.maximum(shingles(sums, start[fits], size).astype(np.uint32), 1).view(np.int32)
+        out.append(value)
+    return out[0], out[1]
+
+
+def _before(least: int) -> int:
+    """Words before a fingerprint that one half of the windows around it holds."""
+    return (least - max(1, least // 3)) // 2
+
+
 def segments(sums: np.ndarray, first: np.ndarray, doc: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each fingerprint a stretch of ``least`` words or more to the end of a later one: start, end and hash.
 
@@ -88,10 +109,11 @@ def _fingerprints(least: int):
                 sums, first = word_hashes(*utf8(part.column(2)))
                 doc, place, key = fingerprints(sums, first, least)
                 start, end, seg = segments(sums, first, doc, place, least)
+                left, right = halves(sums, first, doc, place, least)
                 own = np.searchsorted(doc, np.arange(len(part) + 1))
                 found = pa.StructArray.from_arrays(
-                    [pa.array(key.view(np.int64)), *(pa.array(x - first[doc], pa.int32()) for x in (place, start, end)), pa.array(seg.view(np.int64))],
-                    ["key", "start", "a", "b", "seg"])
+                    [pa.array(key.view(np.int64)), *(pa.array(x - first[doc], pa.int32()) for x in (place, start, end)), pa.array(seg.view(np.int64)),
+                     pa.array(left), pa.array(right)], ["key", "start", "a", "b", "seg", "l", "r"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(first), pa.int32()), pa.ListArray.from_arrays(pa.array(own, pa.int32()), found)],
                     names=["doc_id", "h", "n_words", "prints"])
@@ -102,16 +124,16 @@ def _open(least: int):
     """Fingerprints with a window around them that lies in no earlier segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2), dtype=np.int64))])
-            prints = batch.column(3)
+            first = np.concatenate([[0], np.cumsum(np.asarray(batch.column(1), dtype=np.int64))])
+            prints = batch.column(2)
             doc = np.repeat(np.arange(len(batch)), np.asarray(prints.value_lengths()))
             flat = prints.flatten()
             a, b = _around(np.asarray(flat.field("start"), dtype=np.int64) + first[doc], doc, first, least)
-            held = np.concatenate([[0], np.cumsum(_covered(batch.column(4), first, least, int(first[-1]) + 1))])
+            held = np.concatenate([[0], np.cumsum(_covered(batch.column(3), first, least, int(first[-1]) + 1))])
             keep = pa.array(np.flatnonzero(held[b + 1] - held[a] < b + 1 - a))
             row = pa.array(doc).take(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), flat.field("key").take(keep), flat.field("start").take(keep)],
-                                             names=["doc_id", "h", "key", "start"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *[flat.field(c).take(keep) for c in ("key", "start", "l", "r")]],
+                                             names=["ord", "key", "start", "l", "r"])
     return run
 
 
@@ -133,24 +155,34 @@ def _around(places: np.ndarray, doc: np.ndarray, first: np.ndarray, least: int)
 
 
 def _windows(least: int):
-    """All windows of ``least`` words that hold one of the row's open fingerprints, but those in earlier segments."""
+    """All windows of ``least`` words that hold a repeated half around an open fingerprint, but those in earlier segments;
+    ``again`` where the row itself has the window further up."""
+    n, m = max(1, least // 3), _before(least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_slices(batch.column(2)):
+            for lo, hi in text_slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                sums, first = word_hashes(*utf8(part.column(2)))
-                at = part.column(3)
+                sums, first = word_hashes(*utf8(part.column(1)))
+                at = part.column(2)
                 doc = np.repeat(np.arange(len(part)), np.asarray(at.value_lengths()))
-                a, b = _around(np.asarray(at.flatten(), dtype=np.int64) + first[doc], doc, first, least)
+                flat = at.flatten()
+                place, right = np.asarray(flat.field("start"), dtype=np.int64) + first[doc], np.asarray(flat.field("side")) == 1
+                a = np.maximum(np.where(right, place - m, place + n - least), first[doc])
+                b = np.minimum(np.where(right, place, place - m), first[doc + 1] - least)
+                a, b = a[a <= b], b[a <= b]
                 edge = np.zeros(len(sums) + 1, np.int64)
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b + 1, -1)
-                start = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & ~_covered(part.column(4), first, least, len(sums)))
+                start = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & ~_covered(part.column(3), first, least, len(sums)))
                 row = np.searchsorted(first, start, side="right") - 1
                 key = shingles(sums, start, least)
+                order = np.lexsort((start, key, row))
+                again = np.zeros(len(start), bool)
+                again[order[1:]] = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start - first[row], pa.int32())],
-                    names=["key", "doc_id", "h", "start"])
+                    [pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(start - first[row], pa.int32()), pa.array(again)],
+                    names=["key", "ord", "start", "again"])
     return run
 
 
@@ -214,15 +246,9 @@ def _remove(least: int):
     return run
 
 
-def _beside(rows: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` of the row of ``other`` with the same id and hash, if there is one."""
-    other = other.select(F.col("doc_id").alias("_od"), F.col("h").alias("_oh"), column)
-    return rows.join(other, rows["doc_id"].eqNullSafe(other["_od"]) & (rows["h"] == other["_oh"]), "left").drop("_od", "_oh")
-
-
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
+def _repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Rows whose key stands in two rows or more. Keys alone are counted, so that only repeated rows are ordered later."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), key, "left_semi")
+    return rows.join(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key).hint("shuffle_hash"), list(key), "left_semi")
 
 
 def _free(*tables: DataFrame) -> None:
@@ -238,47 +264,50 @@ def dedup(df: DataFrame, *, doc_id: str, text: str, least: int) -> DataFrame:
     keep = [c for c in df.columns if c not in made and c != text]
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("_doc"), text_id(F.col(f"`{text}`")).alias("_h"),
                      F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    row = ["doc_id", "h"]
     table = store(rows.select("_doc", "_h", "_text").mapInArrow(_fingerprints(least),
-                  "doc_id long, h long, n_words int, prints array<struct<key: long, start: int, a: int, b: int, seg: long>>"), "prints")
-    # an exact copy of an earlier text goes as a whole, and nothing else of it is compared
+                  "doc_id long, h long, n_words int, prints array<struct<key: long, start: int, a: int, b: int, seg: long, l: int, r: int>>"), "prints")
+    # an exact copy of an earlier text goes as a whole, and nothing else of it is compared; ``ord`` grows with (id, hash)
     firsts = table.filter(F.col("n_words") >= least).groupBy("h").agg(F.min(F.struct("doc_id")).alias("one"), F.max("n_words").alias("n_words"))
-    firsts = firsts.select("h", F.col("one.doc_id").alias("one"), "n_words")
-    copies = table.select(*row).distinct().join(firsts, "h").filter(~F.col("doc_id").eqNullSafe(F.col("one")))
-    copies = store(copies.select(*row, "n_words"), "copies")
+    order = [F.asc_nulls_first("one"), F.asc("h")]
+    docs = store(firsts.select("h", F.col("one.doc_id").alias("one"), "n_words").repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("ord", F.monotonically_increasing_id()), "docs")
+    copies = table.select("doc_id", "h").distinct().join(docs.hint("shuffle_hash"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("one")))
+    copies = store(copies.select("doc_id", "h", "n_words"), "copies")
     # most fingerprints stand in one place: their keys alone are counted, and only repeated ones move with their places
-    found = table.select("doc_id", "h", F.inline("prints"))
-    again = store(_repeated(found, "key").join(firsts, "h").filter(F.col("doc_id").eqNullSafe(F.col("one"))).drop("one").dropDuplicates(["doc_id", "h", "start"]), "repeats")
+    again = _repeated(table.select("doc_id", "h", F.inline("prints")), "key").join(docs.hint("shuffle_hash"), "h")
+    again = again.filter(F.col("doc_id").eqNullSafe(F.col("one"))).drop("one", "doc_id", "h")
+    again = store(again.dropDuplicates(["ord", "start"]), "repeats")
     _free(table)
     # whatever lies in a segment with an earlier place goes; so the first place of any window lies in no such segment
-    segs = _repeated(again.select("seg", "doc_id", "h", "a", "b"), "seg").select("seg", F.struct("doc_id", "h", "a").alias("at"), "b")
+    segs = _repeated(again.select("seg", "ord", "a", "b"), "seg").select("seg", F.struct("ord", "a").alias("at"), "b")
     first = segs.groupBy("seg").agg(F.min("at").alias("first"))
-    later = segs.join(first, "seg").filter(F.col("at") != F.col("first"))
-    later = store(later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h")).agg(
-        F.collect_set(F.struct(F.col("at.a").alias("a"), "b")).alias("segs")), "segments")  # at most a text's words
-    prints = again.groupBy(*row).agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("key", "start")).alias("prints"))
-    left = store(_beside(prints, later, "segs").mapInArrow(_open(least), "doc_id long, h long, key long, start int"), "open")
+    later = segs.join(first.hint("shuffle_hash"), "seg").filter(F.col("at") != F.col("first"))
+    later = store(later.groupBy(F.col("at.ord").alias("ord")).agg(F.collect_set(F.struct(F.col("at.a").alias("a"), "b")).alias("segs")),
+                  "segments")  # at most a text's words
+    prints = again.groupBy("ord").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("key", "start", "l", "r")).alias("prints"))
+    prints = prints.join(later.hint("shuffle_hash"), "ord", "left").select("ord", "n_words", "prints", "segs")
+    left = store(prints.mapInArrow(_open(least), "ord long, key long, start int, l int, r int"), "open")
     _free(again)
-    # around the fingerprints that are open in two places the other windows are compared one by one
-    at = _repeated(left, "key").groupBy(*row).agg(F.collect_set("start").alias("at"))
-    at = store(_beside(at, later, "segs"), "places")
+    # around open fingerprints that stand twice with the words before or after them the other windows are compared one by one
+    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("v")), F.struct(F.lit(1).alias("side"), F.col("r").alias("v"))))
+    sides = left.select("ord", "start", "key", half.alias("half")).select("ord", "start", "key", "half.*").filter("v <> 0")
+    at = _repeated(sides, "key", "side", "v").groupBy("ord").agg(F.collect_set(F.struct("start", "side")).alias("at"))
+    at = store(at.join(docs.hint("shuffle_hash"), "ord").join(later.hint("shuffle_hash"), "ord", "left").select(
+        "ord", F.col("one").alias("doc_id"), "h", "at", "segs"), "places")
     _free(left)
-    near = rows.join(at, rows["_doc"].eqNullSafe(at["doc_id"]) & (rows["_h"] == at["h"]))
-    windows = store(near.select("_doc", "_h", "_text", "at", "segs").mapInArrow(_windows(least), "key long, doc_id long, h long, start int"), "windows")
+    near = rows.join(at.hint("shuffle_hash"), rows["_doc"].eqNullSafe(at["doc_id"]) & (rows["_h"] == at["h"]))
+    windows = store(near.select("ord", "_text", "at", "segs").mapInArrow(_windows(least), "key long, ord long, start int, again boolean"), "windows")
     _free(at)
-    twice = store(_repeated(windows, "key"), "twice")
-    _free(windows)
-    places = twice.select("key", F.struct("doc_id", "h", "start").alias("at"))
-    first = places.groupBy("key").agg(F.min("at").alias("first"))
-    singles = places.join(first, "key").filter(F.col("at") != F.col("first"))
-    singles = singles.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h")).agg(F.collect_set("at.start").alias("starts"))
+    ends = windows.filter("not again").groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
+    singles = windows.join(ends.hint("shuffle_hash"), "key").filter("not again and ord > first").select("ord", "start")
+    singles = singles.union(windows.filter("again").select("ord", "start")).groupBy("ord").agg(F.collect_set("start").alias("starts"))
     span = "array<struct<a: int, b: int>>"
-    runs = singles.select(*row, "starts", F.lit(None).cast(span).alias("segs"), F.lit(None).cast("int").alias("whole"))
-    runs = runs.union(later.select(*row, F.lit(None).cast("array<int>"), "segs", F.lit(None).cast("int")))
-    runs = runs.union(copies.select(*row, F.lit(None).cast("array<int>"), F.lit(None).cast(span), "n_words"))
-    runs = store(runs.groupBy(*row).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("starts", "segs", "whole"))), "runs")
-    _free(twice, later, copies)
-    joined = rows.join(runs, rows["_doc"].eqNullSafe(runs["doc_id"]) & (rows["_h"] == runs["h"]), "left")
+    runs = singles.select("ord", "starts", F.lit(None).cast(span).alias("segs")).union(later.select("ord", F.lit(None).cast("array<int>"), "segs"))
+    runs = runs.groupBy("ord").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("starts", "segs"))).join(docs.hint("shuffle_hash"), "ord")
+    runs = runs.select(F.col("one").alias("doc_id"), "h", "starts", "segs", F.lit(None).cast("int").alias("whole"))
+    runs = store(runs.union(copies.select("doc_id", "h", F.lit(None).cast("array<int>"), F.lit(None).cast(span), "n_words")), "runs")
+    _free(windows, later, copies, docs)
+    joined = rows.join(runs.hint("shuffle_hash"), rows["_doc"].eqNullSafe(runs["doc_id"]) & (rows["_h"] == runs["h"]), "left")
     # the joined columns beside the row's own
     own = [rows[c] for c in rows.columns if c not in ("_doc", "_h", "_text")]
     ready = joined.select(rows["_text"], runs["starts"].alias("_starts"), runs["segs"].alias("_segs"), runs["whole"].alias("_whole"), *own)
