@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +49,39 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# -- columns beside the ones an operator reads ------------------------------------------------------------------
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that no operator uses, and the new name of each column."""
+    names = {c: f"c{i}__" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def renamed_back(out: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``out`` with its old names; an old column that has a new one's name is left out."""
+    old = {new: c for c, new in names.items()}
+    made = {c for c in out.columns if c not in old}
+    return out.select(*[F.col(c).alias(old.get(c, c)) for c in out.columns if old.get(c) not in made])
+
+
+def any_columns(*reads: str):
+    """Decorator: the operator may use any name inside and for its results, whatever ``df`` has beside the columns
+    that its parameters ``reads`` name."""
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kw) -> DataFrame:
+            bound = signature.bind(df, *args, **kw)
+            bound.apply_defaults()
+            safe, names = neutral(df)
+            for p in reads:
+                bound.arguments[p] = names[bound.arguments[p]]
+            bound.arguments[next(iter(signature.parameters))] = safe
+            return renamed_back(operator(*bound.args, **bound.kwargs), names)
+        return run
+    return wrap
+
+
 def text_id(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SLICE, _table, text_slices, utf8
+from quantloom.llm.common import SLICE, _table, any_columns, text_slices, utf8
 
 BUCKETS = 1 << 15
 #: Letters of the models: lower-case ASCII and every byte beyond ASCII.
@@ -158,6 +158,7 @@ def _parts(first: np.ndarray, letters: int, size: int) -> Iterator[tuple[int, in
         i = j
 
 
+@any_columns("text")
 def identify(df: DataFrame, model: Model, *, text: str = "text", penalty: float = 2.0, least: float = 0.0) -> DataFrame:
     """All columns of ``df`` with ``lang_pred``, ``score`` and ``languages``.
 
@@ -165,7 +166,8 @@ def identify(df: DataFrame, model: Model, *, text: str = "text", penalty: float
     words' n-gram likelihoods and the penalised likelihood selects the set ``languages`` (in name order, shares over
     ``least``). ``lang_pred`` is the one with the largest share, ties to the first name, and ``score`` is that share.
     A null text, a text without letters, or a model without languages gives ``und``, 0 and null. Columns of ``df``
-    with an output's name are replaced; repeated rows get equal results; nothing is shuffled.
+    with an output's name are replaced, others may have any name; repeated rows get equal results; an empty table
+    gives an empty result; a very long text goes in parts that end with a word; nothing is shuffled.
     """
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "languages")]
     whole = F.col(f"`{text}`").cast("string")

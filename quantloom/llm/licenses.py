@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, text_slices, utf8, words
+from quantloom.llm.common import WORD, any_columns, text_slices, utf8, words
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -94,11 +95,14 @@ class Scanner:
                 for m in pattern.finditer(low, lo, hi):
                     found.append((label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
         # where notices overlap, those nearest to the text stay
-        found.sort(key=lambda s: (s[4] / len(s[1]), s[2], s[3], s[0]))
+        found.sort(key=lambda s: s[4] / len(s[1]))
         kept: list[tuple[str, str, int, int, int]] = []
-        for s in found:
-            if all(s[3] <= t[2] or t[3] <= s[2] or s[4] * len(t[1]) == t[4] * len(s[1]) for t in kept):
-                kept.append(s)
+        taken: list[tuple[int, int]] = []  # what nearer ones cover: disjoint, ascending
+        for _, equal in groupby(found, key=lambda s: s[4] / len(s[1])):
+            ends = [b for _, b in taken]
+            free = [s for s in equal if (i := bisect_right(ends, s[2])) == len(taken) or taken[i][0] >= s[3]]
+            kept += free
+            taken = _union(taken + [(s[2], s[3]) for s in free])
         return sorted(kept, key=lambda s: (s[2], s[3], s[0]))
 
     def base(self, low: str) -> list[tuple[int, str]]:
@@ -116,6 +120,16 @@ class Scanner:
                 [dict(zip(("label", "notice", "start", "end", "edits"), s)) for s in spans])
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan(phrases: dict, notices: dict, edit_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices, edit_length)
@@ -134,6 +148,7 @@ def _scan(phrases: dict, notices: dict, edit_length: int):
     return run
 
 
+@any_columns("text")
 def scan_licenses(df: DataFrame, *, text: str = "text", phrases: Mapping[str, str] = PHRASES,
                   notices: Mapping[str, str] = NOTICES, edit_length: int = EDIT_LENGTH) -> DataFrame:
     """The columns of ``df`` without its text, with the counts, labels, ``score`` and ``spans`` of each row.
@@ -144,7 +159,9 @@ def scan_licenses(df: DataFrame, *, text: str = "text", phrases: Mapping[str, st
     pieces, and bounded-error matching verifies the text around them; of overlapping notices the nearest stay. ``spans`` are character positions, ``edits``
     the insertions, deletions and substitutions. ``score`` is 1 with a phrase, else that of the best notice,
     1 - edits / length, else 0. A null text is an empty one: no words, empty labels, null positions. Columns of
-    ``df`` with an output's name are replaced; nothing is shuffled.
+    ``df`` with an output's name are replaced, others may have any name; repeated rows get equal results; an empty table
+    gives an empty result; a very long text is scanned alone, in time in proportion to its length and notices.
+    Nothing is shuffled.
     """
     made = {c.split()[0] for c in _DDL.split(", ")}
     keep = [c for c in df.columns if c not in made and c != text]

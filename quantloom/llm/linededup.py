@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import passages
-from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
+from quantloom.llm.common import any_columns, mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
 
 #: Words of a window of lines: every repeated run of lines with so many words holds a common fingerprint.
 WINDOW_WORDS = 30
@@ -184,6 +184,7 @@ def _remove(sentences: bool):
     return run
 
 
+@any_columns("doc_id", "text")
 def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window_words: int = WINDOW_WORDS,
                sentences: bool | None = None) -> DataFrame:
     """All rows and columns of ``df``; ``text`` without later repeats, and ``removed_lines, removed_words, removed``.
@@ -205,7 +206,8 @@ def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", win
     ``?``. ``removed`` holds character ranges of the old text.
 
     Null texts stay null. Rows of equal id and text are one document: they keep and lose the same lines. An empty
-    table gives an empty result; columns of ``df`` with an output's name (but the text) are replaced.
+    table gives an empty result; columns of ``df`` with an output's name (but the text) are replaced, others may have any
+    name; a very long text is handled alone, in memory in proportion to its words.
     """
     if sentences is None:
         return passages.dedup(df, doc_id=doc_id, text=text, least=window_words)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
+from quantloom.llm.common import any_columns, mix, prefix_sums, span_hashes, store, text_id, text_slices, utf8, words
 from quantloom.llm.groups import components, labels, whole_groups
 
 SHINGLE = 5
@@ -271,6 +271,7 @@ def jaccard_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))).alias("stays"), alone.alias("no_words"))
 
 
+@any_columns("doc_id", "text")
 def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stand for their class in :func:`jaccard_groups`: one of each, and all without words."""
     groups = jaccard_groups(df, doc_id=doc_id, text=text)

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import text_slices
+from quantloom.llm.common import any_columns, text_slices
 
 #: The character that stands for a space.
 MARK = "▁"
@@ -152,16 +152,19 @@ def _with(df: DataFrame, source: str, new: str, kind: str, fn) -> DataFrame:
     return rows.mapInArrow(fn, f"{fields}{new} {kind}")
 
 
+@any_columns("text")
 def encode(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """All columns of ``df`` and ``ids``: the text's piece ids as little-endian unsigned 32-bit numbers.
 
     A space counts as the mark and a text begins with one, as in the model's own normalisation; nothing else is
     changed. Each distinct word with its mark is searched once and its ids are kept for later texts. Null and
-    empty texts have no ids. A column named ``ids`` is replaced; repeated rows get equal ids; nothing is shuffled.
+    empty texts have no ids. A column named ``ids`` is replaced, others may have any name; repeated rows get equal
+    ids; an empty table gives an empty result; a very long text is searched alone; nothing is shuffled.
     """
     return _with(df, text, "ids", "binary", _encode(path))
 
 
+@any_columns("ids")
 def decode(df: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     """All columns of ``df`` and ``decoded``: the text of each row's ids, null for null.
 

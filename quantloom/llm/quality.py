@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import any_columns
+
 #: Frequent short words of the languages of the corpus, as they stand in text.
 STOP_WORDS = (
     "the of and to in is that for on with as by at an be this are was or it from not but have a "
@@ -101,11 +103,13 @@ def repeat_words(words: str) -> tuple[Column, Column]:
     return F.when(F.size(w) >= 4, F.sort_array(keys)), bits
 
 
+@any_columns("text")
 def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """All columns of ``df`` with the counts, ``base_failed``, one ``rule_<name>`` per rule, and ``kept``.
 
     A null text counts as empty: no words, ``base_failed`` true. Columns of ``df`` with the name of an output
-    column are replaced; repeated rows are judged each by itself; an empty table gives an empty result.
+    column are replaced, others may have any name; repeated rows are judged each by itself; an empty table gives an
+    empty result; a very long text is a row like others, its words and lines in one array each.
     ``kept`` is false where ``base_failed`` or a rule fails. Everything is one projection without a shuffle.
     """
     unknown = {m for r in rules for m in (r.measure, r.per) if m} - set(COUNTS)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, prefix_sums, span_hashes, text_slices, utf8, words
+from quantloom.llm.common import WORD, any_columns, prefix_sums, span_hashes, text_id, text_slices, utf8, words
 
 #: Labelled rows that a chain learns from at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -150,12 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, doc_
     """A chain from labelled documents: at most ``sample`` labels (smallest hashes of their ids), fitted in one task.
 
     ``categories`` are 0/1 columns of ``labels`` in the order of the chain; the last one decides. Labels with a null
-    and labels without a document are left out; of several labels or texts of one id each pair is a row.
+    and labels without a document are left out; equal labels of an id count once, and of several texts of an id the one
+    with the largest hash, so the rows are at most the labels of the sample. Each link keeps 2,000 words at most.
     """
     y = labels.select(F.col(f"`{doc_id}`").alias("_id"), *[F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(categories)])
-    y = y.dropna().withColumn("_h", F.xxhash64("_id")).orderBy("_h", *y.columns).limit(sample)
+    y = y.dropna().distinct().withColumn("_h", F.xxhash64("_id")).orderBy("_h", *y.columns).limit(sample)
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    rows = rows.join(F.broadcast(y), "_id").select("_h", F.array(*[f"_y{i}" for i in range(len(categories))]).alias("y"), "_text")
+    rows = rows.join(F.broadcast(y), "_id").groupBy("_id", "_h", *[f"_y{i}" for i in range(len(categories))]).agg(
+        F.max_by("_text", text_id("_text")).alias("_text"))
+    rows = rows.select("_h", F.array(*[f"_y{i}" for i in range(len(categories))]).alias("y"), "_text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +199,13 @@ def _score(chain: Chain):
     return run
 
 
+@any_columns("text")
 def score(df: DataFrame, chain: Chain, *, text: str = "text") -> DataFrame:
     """All columns of ``df`` with ``p_<category>`` of each link, ``score`` (the last one) and ``toxic``.
 
     A null or empty text has no words: its probabilities are the classifiers' constants. Columns of ``df`` with an
-    output's name are replaced; repeated rows get equal results; nothing is shuffled.
+    output's name are replaced, others may have any name; repeated rows get equal results; an empty table gives an
+    empty result; a very long text is scored alone; nothing is shuffled.
     """
     outputs = [*(f"p_{c}" for c in chain.categories), "score"]
     keep = [c for c in df.columns if c not in (*outputs, "toxic")]
