@@ -62,27 +62,6 @@ def fingerprints(sums: np.ndarray, first: np.ndarray, least: int) -> tuple[np.nd
     return np.searchsorted(first, chosen, side="right") - 1, chosen, value[chosen]
 
 
-def halves(sums: np.ndarray, first: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """32 bits of the hash of each fingerprint with the words before it, and with those after it.
-
-    A window of ``least`` words around a fingerprint holds all the words of one of the two, so it stands twice only if
-    that one does. Where a text is too short for one it holds no such window; the value is then 0.
-    """
-    n, m = max(1, least // 3), _before(least)
-    out = []
-    for start, size in ((place - m, m + n), (place, least - m)):
-        fits = (start >= first[doc]) & (start + size <= first[doc + 1])
-        value = np.zeros(len(place), np.int32)
-        value[fits] = np.maximum(shingles(sums, start[fits], size).astype(np.uint32), 1).view(np.int32)
-        out.append(value)
-    return out[0], out[1]
-
-
-def _before(least: int) -> int:
-    """Words before a fingerprint that one half of the windows around it holds."""
-    return (least - max(1, least // 3)) // 2
-
-
 def segments(sums: np.ndarray, first: np.ndarray, doc: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each fingerprint a stretch of ``least`` words or more to the end of a later one: start, end and hash.
 
@@ -109,11 +88,10 @@ def _fingerprints(least: int):
                 sums, first = word_hashes(*utf8(part.column(2)))
                 doc, place, key = fingerprints(sums, first, least)
                 start, end, seg = segments(sums, first, doc, place, least)
-                left, right = halves(sums, first, doc, place, least)
                 own = np.searchsorted(doc, np.arange(len(part) + 1))
                 found = pa.StructArray.from_arrays(
-                    [pa.array(key.view(np.int64)), *(pa.array(x - first[doc], pa.int32()) for x in (place, start, end)), pa.array(seg.view(np.int64)),
-                     pa.array(left), pa.array(right)], ["key", "start", "a", "b", "seg", "l", "r"])
+                    [pa.array(key.view(np.int64)), *(pa.array(x - first[doc], pa.int32()) for x in (place, start, end)), pa.array(seg.view(np.int64))],
+                    ["key", "start", "a", "b", "seg"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(first), pa.int32()), pa.ListArray.from_arrays(pa.array(own, pa.int32()), found)],
                     names=["doc_id", "h", "n_words", "prints"])
@@ -132,8 +110,8 @@ def _open(least: int):
             held = np.concatenate([[0], np.cumsum(_covered(batch.column(3), first, least, int(first[-1]) + 1))])
             keep = pa.array(np.flatnonzero(held[b + 1] - held[a] < b + 1 - a))
             row = pa.array(doc).take(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *[flat.field(c).take(keep) for c in ("key", "start", "l", "r")]],
-                                             names=["ord", "key", "start", "l", "r"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *[flat.field(c).take(keep) for c in ("key", "start")]],
+                                             names=["ord", "key", "start"])
     return run
 
 
@@ -155,10 +133,8 @@ def _around(places: np.ndarray, doc: np.ndarray, first: np.ndarray, least: int)
 
 
 def _windows(least: int):
-    """All windows of ``least`` words that hold a repeated half around an open fingerprint, but those in earlier segments;
+    """All windows of ``least`` words that hold one of the row's open fingerprints, but those in earlier segments;
     ``again`` where the row itself has the window further up."""
-    n, m = max(1, least // 3), _before(least)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_slices(batch.column(1)):
@@ -166,11 +142,7 @@ def _windows(least: int):
                 sums, first = word_hashes(*utf8(part.column(1)))
                 at = part.column(2)
                 doc = np.repeat(np.arange(len(part)), np.asarray(at.value_lengths()))
-                flat = at.flatten()
-                place, right = np.asarray(flat.field("start"), dtype=np.int64) + first[doc], np.asarray(flat.field("side")) == 1
-                a = np.maximum(np.where(right, place - m, place + n - least), first[doc])
-                b = np.minimum(np.where(right, place, place - m), first[doc + 1] - least)
-                a, b = a[a <= b], b[a <= b]
+                a, b = _around(np.asarray(at.flatten(), dtype=np.int64) + first[doc], doc, first, least)
                 edge = np.zeros(len(sums) + 1, np.int64)
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b + 1, -1)
@@ -265,7 +237,7 @@ def dedup(df: DataFrame, *, doc_id: str, text: str, least: int) -> DataFrame:
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("_doc"), text_id(F.col(f"`{text}`")).alias("_h"),
                      F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     table = store(rows.select("_doc", "_h", "_text").mapInArrow(_fingerprints(least),
-                  "doc_id long, h long, n_words int, prints array<struct<key: long, start: int, a: int, b: int, seg: long, l: int, r: int>>"), "prints")
+                  "doc_id long, h long, n_words int, prints array<struct<key: long, start: int, a: int, b: int, seg: long>>"), "prints")
     # an exact copy of an earlier text goes as a whole, and nothing else of it is compared; ``ord`` grows with (id, hash)
     firsts = table.filter(F.col("n_words") >= least).groupBy("h").agg(F.min(F.struct("doc_id")).alias("one"), F.max("n_words").alias("n_words"))
     order = [F.asc_nulls_first("one"), F.asc("h")]
@@ -284,14 +256,12 @@ def dedup(df: DataFrame, *, doc_id: str, text: str, least: int) -> DataFrame:
     later = segs.join(first.hint("shuffle_hash"), "seg").filter(F.col("at") != F.col("first"))
     later = store(later.groupBy(F.col("at.ord").alias("ord")).agg(F.collect_set(F.struct(F.col("at.a").alias("a"), "b")).alias("segs")),
                   "segments")  # at most a text's words
-    prints = again.groupBy("ord").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("key", "start", "l", "r")).alias("prints"))
+    prints = again.groupBy("ord").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("key", "start")).alias("prints"))
     prints = prints.join(later.hint("shuffle_hash"), "ord", "left").select("ord", "n_words", "prints", "segs")
-    left = store(prints.mapInArrow(_open(least), "ord long, key long, start int, l int, r int"), "open")
+    left = store(prints.mapInArrow(_open(least), "ord long, key long, start int"), "open")
     _free(again)
-    # around open fingerprints that stand twice with the words before or after them the other windows are compared one by one
-    half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("v")), F.struct(F.lit(1).alias("side"), F.col("r").alias("v"))))
-    sides = left.select("ord", "start", "key", half.alias("half")).select("ord", "start", "key", "half.*").filter("v <> 0")
-    at = _repeated(sides, "key", "side", "v").groupBy("ord").agg(F.collect_set(F.struct("start", "side")).alias("at"))
+    # around the fingerprints that are open in two places the other windows are compared one by one
+    at = _repeated(left, "key").groupBy("ord").agg(F.collect_set("start").alias("at"))
     at = store(at.join(docs.hint("shuffle_hash"), "ord").join(later.hint("shuffle_hash"), "ord", "left").select(
         "ord", F.col("one").alias("doc_id"), "h", "at", "segs"), "places")
     _free(left)
