@@ -194,6 +194,12 @@ check("walk_forward_summary", _wf_sql(True, f"""SELECT symbol, count(*) AS windo
   {rsql('greatest(0.0, 1 - stddev_pop(sharpe))', 4)} AS stability, count(*) FILTER (WHERE sharpe < 0) AS negative_count, {rsql('avg((sharpe > 0)::INT)', 4)} AS win_rate,
   {rsql('min(sharpe)', 4)} AS min_sharpe, {rsql('max(sharpe)', 4)} AS max_sharpe FROM wf WHERE part = 'test' GROUP BY symbol"""))(
     lambda s, p: rounded(sw.walk_forward_summary(_wf(s, p, True)), 4))
+_REPORT = " UNION ALL ".join(f"SELECT symbol, part, '{n}' AS metric, {e} AS value FROM wf" for n, e in (
+    ("sharpe", "sharpe"), ("annual_return", "ann"), ("max_drawdown", "least(md, 0.0)"), ("volatility", "vol")))
+check("walk_forward_stability_report", _wf_sql(False, f"""SELECT symbol, part, metric, count(value) AS windows, {rsql('avg(value)', 4)} AS mean, {rsql('stddev_samp(value)', 4)} AS std
+  FROM ({_REPORT}) GROUP BY 1, 2, 3 HAVING count(value) >= 2""").replace("nullif(vol, 0), 0) AS sharpe, ann, md FROM m", "nullif(vol, 0), 0) AS sharpe, ann, md, vol FROM m"))(
+    lambda s, p: rounded((lambda b: sw.stability_report(sw.walk_forward(b, b, ts_roc(col("close"), 4), sw.windows_of(b, *_SPLIT), recompute=False, more=["volatility"]),
+                                                        ["sharpe", "annual_return", "max_drawdown", "volatility"]))(rets(s, p)), 4))
 check("walk_forward_overfit", _wf_sql(False, f"""SELECT symbol, {rsql("avg(sharpe) FILTER (WHERE part = 'test')", 4)} AS mean_test, {rsql("avg(sharpe) FILTER (WHERE part = 'train')", 4)} AS mean_train,
   {rsql("coalesce(avg(sharpe) FILTER (WHERE part = 'test') / nullif(stddev_samp(sharpe) FILTER (WHERE part = 'test'), 0), 0)", 4)} AS stability,
   {rsql("avg(sharpe) FILTER (WHERE part = 'train') - avg(sharpe) FILTER (WHERE part = 'test')", 4)} AS overfit,

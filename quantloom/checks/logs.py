@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.checks.base import WEEK_SQL, check, rounded, rsql, table, week_bars
+from quantloom import col, with_features
+from quantloom.checks.base import PANEL_SQL, WEEK_SQL, check, panel, rounded, rsql, table, week_bars
 from quantloom.functions import text as tx
+from quantloom.functions.rolling import ts_roc
 from quantloom.operators import explog as ex
-from quantloom.sources import store
+from quantloom.sources import cache, store
+from quantloom.sources.store import materialize, scratch
 
 # every order is one experiment record
 REC = """rec AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS category0, o_orderpriority AS category,
@@ -130,6 +133,29 @@ check("registry_select_best", f"WITH {REG} SELECT name FROM reg WHERE list_conta
     lambda s, p: ex.select_best(registry(s, p), 5, regime="bear").select("name"))
 check("registry_regime_summary", f"WITH {REG}, u AS (SELECT name, sharpe, unnest(regimes) AS regime FROM reg) SELECT regime, count(*) AS signals, max(sharpe) AS best, arg_max(name, row(sharpe, name)) AS best_name FROM u GROUP BY 1")(
     lambda s, p: ex.regime_summary(registry(s, p)))
+check("registry_regime_names", f"""WITH {REG}, u AS (SELECT name, unnest(regimes) AS regime FROM reg
+  UNION ALL SELECT name, CASE k % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'storm' WHEN 2 THEN '' END FROM reg)
+SELECT regime, array_to_string(list(name ORDER BY name), ',') AS names FROM u WHERE regime <> '' GROUP BY 1""")(
+    lambda s, p: ex.regime_names(registry(s, p).join(table(s, p, "supplier").select(F.col("s_name").alias("name"), F.expr(
+        "CASE s_suppkey % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'storm' WHEN 2 THEN '' END").alias("suitable_for")), "name")).withColumn("names", F.array_join("names", ",")))
+@check("store_interval_cache", f"""WITH {PANEL_SQL}, e AS (SELECT min(ts) AS lo, max(ts) AS hi FROM t0),
+v AS (SELECT symbol, ts, CASE WHEN abs(lag(close, 4) OVER (PARTITION BY symbol ORDER BY ts)) > 1e-10 THEN close / lag(close, 4) OVER (PARTITION BY symbol ORDER BY ts) - 1 END AS value FROM t0)
+SELECT symbol, ts, {rsql('value')} AS value, 4 AS computed FROM v, e WHERE ts >= lo AND ts < hi""")
+def _(spark, path):
+    # a first request, an overlapping one, one around both, and one that is all there
+    x = materialize(panel(spark, path), "panel")
+    ends = x.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    at = [ends.lo + (ends.hi - ends.lo) * k / 8 for k in range(9)]
+    folder, asked = scratch(spark, "cache"), []
+
+    def compute(a, b):
+        asked.append((a, b))
+        return with_features(x, {"value": ts_roc(col("close"), 4)}, keep=["symbol", "ts"])
+    for a, b in ((2, 4), (3, 6), (0, 8), (0, 8)):
+        out = cache.cached(spark, folder, "momentum", 4, at[a], at[b], compute)
+    return rounded(out).withColumn("computed", F.lit(len(asked)))
+
+
 check("registry_duplicates", """WITH f AS (SELECT s_name AS name, md5('thr_mean(ATR{' || (s_suppkey % 10) || '})|' || array_to_string(list_sort(['ATR', (s_suppkey % 2)::VARCHAR]), ',')) AS fingerprint FROM supplier)
 SELECT fingerprint, count(*) AS n, min(name) AS first_name FROM f GROUP BY 1 HAVING count(*) > 1""")(lambda s, p: ex.duplicates(registry(s, p)))
 

@@ -27,7 +27,14 @@ def to_updates(spark, stream, keys, mode="update"):
     return flows.latest_updates(spark, f"{folder}/out", keys)
 
 
-@check("stream_bars_from_ticks", f"""WITH b AS ({HOUR_SQL}) SELECT symbol, ts, open, high, low, close, volume::DOUBLE AS volume FROM b
+@check("stream_bars_from_ticks", f"WITH b AS ({HOUR_SQL}) SELECT symbol, ts, open, high, low, close, volume::DOUBLE AS volume FROM b")
+def _(spark, path):
+    # in update mode a bar comes with each change, the running one too; its last state counts
+    bars = flows.bars_from_ticks(ticks(spark, path), symbol="event_type", price="value", order="event_id")
+    return to_updates(spark, bars, ["symbol", "ts"])
+
+
+@check("stream_bars_closed", f"""WITH b AS ({HOUR_SQL}) SELECT symbol, ts, open, high, low, close, volume::DOUBLE AS volume FROM b
   WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def _(spark, path):
     return to_files(spark, flows.bars_from_ticks(ticks(spark, path), symbol="event_type", price="value", order="event_id"))
@@ -53,11 +60,10 @@ def _(spark, path):
     return to_updates(spark, flows.latest_price(t, price="value"), ["symbol"])
 
 
-@check("stream_daily_mark", """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS day, arg_max(value, ts) AS nav FROM events GROUP BY 1, 2
-  HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+@check("stream_daily_mark", """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS day, arg_max(value, ts) AS nav FROM events GROUP BY 1, 2""")
 def _(spark, path):
     t = ticks(spark, path).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("nav"))
-    return to_files(spark, flows.daily_mark(t, by=["symbol"]))
+    return to_updates(spark, flows.daily_mark(t, by=["symbol"]), ["symbol", "day"])
 
 
 @check("stream_last_n", f"""SELECT event_type AS symbol, max(ts) AS ts, {rsql('list_sum(list(value ORDER BY ts DESC)[1:5])')} AS total FROM events GROUP BY 1""")

@@ -267,6 +267,18 @@ tx AS (SELECT *, concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{t}' END" for
 SELECT expr_id, symbol, best, worst, coalesce(works_in, '') AS works_in, coalesce(fails_in, '') AS fails_in, CASE WHEN t = '' THEN 'balanced across regimes: keep as it is' ELSE t END AS suggestions FROM tx""")(
     lambda s, p: (lambda e: e.select("expr_id", "symbol", "best", "worst", *[F.array_join(c, "; ").alias(c) for c in ("works_in", "fails_in", "suggestions")]))(
         mo.explain(mo.regime_performance(mo.regimes(mo.fill_signal(series(s, p)))))))
+check("monitor_explain_overall", f"""{_M}, r1 AS (SELECT expr_id, symbol, ts, pow(close, 0.01) AS close, signal FROM rows_),
+md AS (SELECT symbol, coalesce(quantile_cont(signal, 0.5), 0.0) AS md FROM r1 GROUP BY 1), f0 AS (SELECT r1.* REPLACE (coalesce(signal, md) AS signal) FROM r1 JOIN md USING (symbol)),
+f1 AS (SELECT *, close / lag(close) OVER ({O}) - 1 AS ret, lead(close, 5) OVER ({O}) / close - 1 AS ahead,
+  CASE WHEN row_number() OVER ({O}) >= 20 AND signal > quantile_cont(signal, 0.5) OVER ({O} ROWS UNBOUNDED PRECEDING) THEN 1 ELSE 0 END AS pos FROM f0),
+f2 AS (SELECT *, coalesce(lag(pos) OVER ({O}), 0) AS held FROM f1),
+f3 AS (SELECT *, sum(CASE WHEN held = 1 AND before = 0 THEN 1 ELSE 0 END) OVER ({O}) AS trip FROM (SELECT *, coalesce(lag(held) OVER ({O}), 0) AS before FROM f2)),
+f4 AS (SELECT *, product(1 + CASE WHEN held = 1 THEN coalesce(ret, 0) ELSE 0 END) OVER ({O}) AS nav FROM f3),
+f5 AS (SELECT *, nav / lag(nav) OVER ({O}) - 1 AS r, nav / max(nav) OVER ({O}) - 1 AS dd FROM f4),
+f6 AS (SELECT expr_id, symbol, corr(signal, ahead) AS ic, pow(arg_max(nav, ts) / arg_min(nav, ts), 252.0 / (count(*) - 1)) - 1 AS ann, stddev_samp(r) * sqrt(252.0) AS sd, least(min(dd), 0.0) AS dd FROM f5 GROUP BY 1, 2),
+w AS (SELECT symbol, avg((p > 1)::INT) AS win FROM (SELECT symbol, trip, product(1 + coalesce(ret, 0)) AS p, arg_max(pos, ts) AS still FROM f3 WHERE held = 1 GROUP BY 1, 2) WHERE still = 0 GROUP BY 1)
+SELECT expr_id, symbol, {rsql('ic')} AS ic, {rsql('ann')} AS annual_return, {rsql('(ann - 0.02) / sd', 5)} AS sharpe, {rsql('dd')} AS max_drawdown, {rsql('coalesce(win, 0)')} AS win_rate FROM f6 LEFT JOIN w USING (symbol)""")(
+    lambda s, p: rounded(mo.explain_overall(series(s, p).withColumn("close", F.pow("close", F.lit(0.01)))), sharpe=5))
 check("monitor_rolling_icir", f"""{_M}, z AS (SELECT a.expr_id, a.symbol, a.ts, a.signal AS v, b.close / a.close - 1 AS r FROM l a LEFT JOIN l b ON b.symbol = a.symbol AND b.rn = a.rn + 5),
 c0 AS (SELECT expr_id, symbol, ts, CASE WHEN count(v + r) OVER w = 60 THEN corr(v, r) OVER w END AS ic FROM z WINDOW w AS ({O} ROWS 59 PRECEDING)), c AS (SELECT * FROM c0 WHERE ic IS NOT NULL)
 SELECT expr_id, symbol, ts, {rsql('ic')} AS ic, {rsql('CASE WHEN count(*) OVER w = 200 THEN avg(ic) OVER w / stddev_samp(ic) OVER w END')} AS icir FROM c WINDOW w AS ({O} ROWS 199 PRECEDING)""")(

@@ -200,6 +200,14 @@ def regime_summary(registry: DataFrame, by: str = "test_sharpe") -> DataFrame:
                                    F.max_by("name", F.struct(m, "name")).alias("best_name"))
 
 
+def regime_names(registry: DataFrame) -> DataFrame:
+    """``regime, names``: the signals tagged with a regime, and once more those whose ``suitable_for`` it is."""
+    named = F.concat(F.coalesce("suitable_regimes", F.array().cast("array<string>")),
+                     F.when(F.col("suitable_for") != "", F.array("suitable_for")).otherwise(F.array().cast("array<string>")))
+    x = registry.select("name", F.explode(named).alias("regime"))
+    return x.groupBy("regime").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
 def fingerprints(registry: DataFrame, text: str = "expression", features: str = "features") -> DataFrame:
     return registry.withColumn("fingerprint", F.md5(F.concat_ws("|", F.col(text), F.concat_ws(",", F.array_sort(features)))))
 

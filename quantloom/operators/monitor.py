@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.feature import flag
 from quantloom.functions.rolling import expanding_median
+from quantloom.operators import nav as nv
+from quantloom.operators.portfolio import signal_nav
 from quantloom.operators.stats import corr_agg, kurt_pandas, quotient, skew_pandas, t_pvalue
 from quantloom.operators.validation import average_rank
 from quantloom.plans.panel import with_features
@@ -210,6 +212,33 @@ def fill_signal(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return rows.join(median, list(by)).withColumn("signal", F.coalesce("signal", "_m")).drop("_m")
 
 
+def explain_overall(rows: DataFrame, horizon: int = 5, warmup: int = 20, by: Sequence[str] = BY) -> DataFrame:
+    """``ic, annual_return, sharpe, max_drawdown, win_rate`` of a signal on its whole series.
+
+    The coefficient is that of the filled signal and the return over ``horizon`` rows. The values come from holding
+    while the previous row's signal was above the median of its history; the win rate is the share of closed holdings
+    with a profit (0 without any).
+    """
+    by = list(by)
+    o = W.partitionBy(*by).orderBy("ts")
+    x = with_features(fill_signal(rows, by), {"_med": expanding_median("signal", warmup)}, symbol=by)
+    before = F.lag("close").over(o)
+    x = x.withColumns({"_pos": flag(F.col("signal") > F.col("_med")), "ret": F.when(before != 0, F.col("close") / before - 1),
+                       "_ahead": F.when(F.col("close") != 0, F.lead("close", horizon).over(o) / F.col("close") - 1)})
+    there = F.col("signal").isNotNull() & F.col("_ahead").isNotNull()
+    ic = x.withColumns({"_s": F.when(there, F.col("signal")), "_r": F.when(there, F.col("_ahead"))}).groupBy(*by).agg(
+        F.when(F.count(F.lit(1)) > 10, F.coalesce(corr_agg("_s", "_r"), F.lit(0.0))).otherwise(0.0).alias("ic"))
+    signal = x.select(*by, "ts", F.col("_pos").alias("signal"))
+    m = nv.metrics(signal_nav(signal, x.select(*by, "ts", "ret"), by), by=by)
+    held = x.withColumn("_held", F.lag("_pos").over(o) > 0)
+    begins = F.col("_held") & ~F.coalesce(F.lag("_held").over(o), F.lit(False))
+    held = held.withColumn("_n", F.sum(F.when(begins, 1).otherwise(0)).over(o.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    trips = held.filter("_held").groupBy(*by, "_n").agg(F.product(1 + F.coalesce("ret", F.lit(0.0))).alias("_p"), F.max_by("_pos", "ts").alias("_open"))
+    wins = trips.filter("_open = 0").groupBy(*by).agg(F.avg(flag(F.col("_p") > 1)).alias("win_rate"))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("annual_return", "sharpe", "max_drawdown", "win_rate")}
+    return ic.join(m.select(*by, "annual_return", "sharpe", "max_drawdown"), by).join(wins, by, "left").withColumns(zero)
+
+
 def explain(perf: DataFrame, effective: float = 0.05, by: Sequence[str] = BY) -> DataFrame:
     """Best and worst regime, lists of conditions, and suggestions from a fixed rule table."""
     good = F.abs("ic") > effective

@@ -145,8 +145,8 @@ def in_windows(rows: DataFrame, wins: Sequence[tuple], inclusive: bool = False)
 
 
 def walk_forward(bars: DataFrame, returns: DataFrame, signal: Feature, wins: Sequence[tuple], *,
-                 recompute: bool = True, inclusive: bool = True, min_rows: int = 30, **kw) -> DataFrame:
-    """Metrics per symbol, window and part.
+                 recompute: bool = True, inclusive: bool = True, min_rows: int = 30, more: Sequence[str] = (), **kw) -> DataFrame:
+    """Metrics per symbol, window and part; ``more`` names metrics beside the three usual ones.
 
     With ``recompute`` the feature starts afresh at each window's first row; otherwise it is
     computed once on the whole history (it must not look ahead).
@@ -165,7 +165,7 @@ def walk_forward(bars: DataFrame, returns: DataFrame, signal: Feature, wins: Seq
     m = nv.metrics(series, by=by, **kw).filter(F.col("n") >= min_rows)
     return m.select(*by, "n", F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"),
                     F.coalesce("annual_return", F.lit(0.0)).alias("annual_return"),
-                    F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"))
+                    F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), *more)
 
 
 def walk_forward_summary(result: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -178,6 +178,14 @@ def walk_forward_summary(result: DataFrame, by: Sequence[str] = ("symbol",)) ->
         F.min(s).alias("min_sharpe"), F.max(s).alias("max_sharpe"))
 
 
+def stability_report(result: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("symbol",), least: int = 2) -> DataFrame:
+    """Mean and deviation (sample) over the windows of each metric and part, where ``least`` windows have it."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    x = result.select(*by, "part", F.explode(rows).alias("m")).select(*by, "part", "m.*").filter(F.col("value").isNotNull())
+    return x.groupBy(*by, "part", "metric").agg(F.count("value").alias("windows"), F.avg("value").alias("mean"),
+                                                F.stddev_samp("value").alias("std")).filter(F.col("windows") >= least)
+
+
 def overfit_summary(result: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """Train against test: stability mean / deviation (sample), overfit as difference and as ratio."""
     def mean(part):
