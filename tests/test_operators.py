@@ -1,6 +1,7 @@
 """Operators on small fixtures: behaviour that the table queries do not reach."""
 
 from datetime import datetime, timedelta
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -223,6 +224,25 @@ def test_bootstrap_is_repeatable_and_centred(spark):
     assert a == b and a.draws == 300 and a.low < a.mean < a.high
 
 
+@pytest.mark.parametrize("monthly", [True, False])
+def test_bootstrap_draws_are_no_rows_of_a_join(spark, monthly):
+    rng = np.random.default_rng(5)
+    rows = [(s, d, float(r)) for s, n in (("a", 500), ("b", 600), ("short", 19)) for d, r in zip(days(n), rng.normal(.001, .01, n))]
+    rows += [("same", d, 0.0) for d in days(500)] + [(None, d, .01 * (i % 2)) for i, d in enumerate(days(500))] + [("a", days(1)[0], None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double")
+    out = va.bootstrap_sharpe(df, ["symbol"], draws=120, monthly=monthly)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.symbol: r for r in out.collect()}
+    assert sorted(got) == ["a", "b"]
+    for s, r in got.items():
+        x = pd.Series({d: v for k, d, v in rows if k == s and v is not None})
+        x = (((1 + x).groupby(x.index.to_period("M")).prod() - 1) if monthly else x.sort_index()).to_numpy()
+        picks = [[int(md5(f"7-{d}-{i}".encode()).hexdigest()[:8], 16) % len(x) for i in range(len(x))] for d in range(1, 121)]
+        v = [x[p].mean() / x[p].std(ddof=1) * (12 if monthly else 252) ** .5 for p in picks]
+        want = [120, np.mean(v), np.std(v), *np.quantile(v, [.025, .975])]
+        assert [r.draws, r["mean"], r["std"], r.low, r.high] == pytest.approx(want, abs=1e-9)
+
+
 # -- walk-forward and sources -----------------------------------------------------------------------------
 def test_windows():
     w = sw.windows(datetime(2000, 1, 31), datetime(2004, 1, 31), "1Y", "1Y", "6M")
