@@ -29,6 +29,14 @@ def test_long_and_cyclic_lineage(spark):
     assert rows["t130", "t0"] == 130 and rows["x", "y"] == 1 and rows["x", "x"] == 0 and len(rows) == 131 * 132 // 2 + 4
 
 
+def test_lineage_joins_no_more_pairs_than_there_are(spark, monkeypatch):
+    sizes, nearest = [], explog._nearest
+    monkeypatch.setattr(explog, "_nearest", lambda pairs: sizes.append(pairs.count()) or nearest(pairs))
+    chain = [(f"t{i}", i, [f"t{i - 1}"] if i else None) for i in range(40)]
+    got = explog.lineage(spark.createDataFrame(chain, "template string, seq int, parent_templates array<string>"))
+    assert got.count() == 40 * 41 // 2 and max(sizes) == got.count()
+
+
 @pytest.mark.parametrize("n", [1, 5, 6, 12])
 def test_ranks_keep_repeated_keys(spark, n):
     rows = [("a", 1, 1.0, 5.0), ("a", 1, 3.0, 5.0), ("b", 1, 2.0, 4.0), ("a", 1, 3.0, 5.0)]
