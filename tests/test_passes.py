@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,3 +170,37 @@ def test_round_trips(spark, seed):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert [str(v) for v in g[:4]] == [str(v) for v in w[:4]] and np.allclose(np.array(g[4:], float), np.array(w[4:], float), rtol=1e-7, atol=1e-7), (g, w)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 16, 500])
+def test_round_trips_hold_no_whole_series(monkeypatch, rows):
+    rng = np.random.default_rng(rows)
+    n = 400
+    series = np.sort(rng.integers(0, 3, n))
+    side = rng.integers(0, 3, n).astype(float)  # 0: neither bought nor sold
+    price, fee = 10 + rng.random(n), np.where(np.arange(n) == np.flatnonzero((series == 1) & (side == 1))[9], np.nan, 1.0)
+    q = rng.choice([1.0, 2.0, 2.5, 0.1], n)
+    for s in (0, 1):  # only the last series sells more than it has
+        held = 0.0
+        for i in np.flatnonzero(series == s):
+            if side[i] == 2 and held > 0:
+                q[i] = round(held, 8) if rng.random() < 0.4 else min(q[i], held)
+            if side[i] == 1 or held > 0:
+                held = round(held + (0, q[i], -q[i])[int(side[i])], 8)
+    columns = [side, q, price, fee, np.arange(n) * 1e6]
+    batch = pa.RecordBatch.from_arrays([pa.array(series), *map(pa.array, columns)], names=["s", *"abcde"])
+    sizes, names = [], ["_held", "_cost", "open_fee", "open_price", "_open"]
+
+    def run(at_once, step):
+        def fold_(c, carry):
+            sizes.append(len(c.at))
+            return trades._trips(c, carry)
+        monkeypatch.setattr(passes, "ROWS", at_once)
+        batches = (batch.slice(i, step) for i in range(0, n, step))
+        return pa.Table.from_batches(passes._carried(["s"], 5, names, fold_)(batches)).to_pandas()
+    whole = run(n, n)
+    sizes.clear()
+    parts = run(rows, 2)
+    assert max(sizes) <= min(rows + 1, n) and len(parts) == n and whole["open_price"].notna().sum() > 100 and whole["_cost"].isna().any()
+    for k in names:
+        assert np.allclose(whole[k].astype(float), parts[k].astype(float), equal_nan=True, rtol=1e-9, atol=1e-9), k
