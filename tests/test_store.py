@@ -49,3 +49,11 @@ def test_one_name_two_functions(spark):
     assert rolling_apply("f", col("x"), 2, F.array_max).key != rolling_apply("f", col("x"), 2, F.array_min).key
     assert row("g", lambda a: a + 1, col("x")).key != row("g", lambda a: a + 2, col("x")).key
     assert (col("x") + 1.0).key == (col("x") + 1.0).key and cs_rank(col("x")).key == cs_rank(col("x")).key
+
+
+def test_ranks_of_a_date_share_one_sort(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, "unread"), ("b", 1, 2.0, "unread")], "symbol string, ts int, x double, note string")
+    out = with_features(df, {f"r{i}": cs_rank(col("x") + float(i)) for i in range(5)}, keep=["symbol"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Window" not in plan and "note" not in plan.split("MapInArrow")[1].split("Sort [")[0]
+    assert sorted((r.symbol, r.r4) for r in out.collect()) == [("a", 0.5), ("b", 1.0)]
