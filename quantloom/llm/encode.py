@@ -29,7 +29,8 @@ _PIECES = re.compile(r"\s*\S+|\s+$")
 class Encoder:
     """Encodes texts to little-endian ids of ``dtype`` (2 bytes where the vocabulary allows, else 4)."""
 
-    def __init__(self, path: str, keeps_spaces: bool) -> None:
+    def __init__(self, path: str, keeps_spaces: bool, kept: int = KEPT_WORDS) -> None:
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.keeps_spaces = keeps_spaces
@@ -97,7 +98,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.kept:
             self.known, self.older = {}, self.known
         split = [self._split(t) for t in texts]
         words = set()
@@ -115,14 +116,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, keeps_spaces: bool) -> Encoder:
+def encoder(path: str, keeps_spaces: bool, kept: int = KEPT_WORDS) -> Encoder:
     """One encoder per worker process; it lives on between tasks."""
-    if (path, keeps_spaces) not in _ENCODERS:
-        _ENCODERS[path, keeps_spaces] = Encoder(path, keeps_spaces)
-    return _ENCODERS[path, keeps_spaces]
+    if (path, keeps_spaces, kept) not in _ENCODERS:
+        _ENCODERS[path, keeps_spaces, kept] = Encoder(path, keeps_spaces, kept)
+    return _ENCODERS[path, keeps_spaces, kept]
 
 
 def encoded(path: str, keeps_spaces: bool) -> Callable[[list[str]], list[bytes]]:

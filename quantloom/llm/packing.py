@@ -20,6 +20,8 @@ TIERS = (256, 512, 1024, 2048)
 ROUND_TOKENS = 1 << 21
 #: Tokens of a step group: sequences of one tier, and of all tiers in a task's last ones; one group a task may be short.
 STEP_TOKENS = 1 << 16
+#: Words whose ids a packing worker keeps in each of two generations: it also holds a round of tokens.
+KEPT_WORDS = 300_000
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()),
@@ -118,7 +120,7 @@ class Steps:
 
 def _pack(tokenizer: str, keeps_spaces: bool, end_id: int, tiers: tuple[int, ...], round_tokens: int, step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, keeps_spaces)
+        enc = encoder(tokenizer, keeps_spaces, KEPT_WORDS)
         end = np.array([end_id], enc.dtype).tobytes()
         base = TaskContext.get().partitionId() << 32
         packer, steps, held, sequence, number, waiting = Packer(tiers), Steps(base, step_tokens), {}, 0, 0, 0

@@ -1,7 +1,7 @@
 import public_tokenizers
 import pytest
 
-from quantloom.llm import packing
+from quantloom.llm import encode, packing
 
 
 @pytest.mark.parametrize("rounds", [3000, 1 << 21])
@@ -20,3 +20,11 @@ def test_last_groups_mix_tiers():
     full = [steps.of(t, t) for t in (2048, 1024, 512, 256, 128, 64, 32, 1024)]
     assert not any(full)
     assert [[s for _, s in g] for g in steps.rest()] == [[2048, 1024, 1024], [512, 256, 128, 64, 32]]
+
+
+def test_packing_keeps_fewer_words():
+    enc = encode.encoder(public_tokenizers.path("word_bpe_49k.json"), False, 5)
+    texts = [f"word{i} other{i % 3}" for i in range(40)]
+    want = [w for t in texts for w in encode.encoder(public_tokenizers.path("word_bpe_49k.json"), False).encode([t])]
+    assert [w for t in texts for w in enc.encode([t])] == want and len(enc.known) + len(enc.older) <= 2 * (5 + 2)
+    assert packing.KEPT_WORDS < encode.KEPT_WORDS
