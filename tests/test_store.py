@@ -57,3 +57,9 @@ def test_ranks_of_a_date_share_one_sort(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Sort [") == 1 and "Window" not in plan and "note" not in plan.split("MapInArrow")[1].split("Sort [")[0]
     assert sorted((r.symbol, r.r4) for r in out.collect()) == [("a", 0.5), ("b", 1.0)]
+
+
+def test_several_ranks_of_texts(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "symbol string, ts int, note string")
+    got = with_features(df, {"r": cs_rank(col("note")), "q": cs_rank(col("symbol"))}, keep=["symbol"]).collect()
+    assert sorted((r.symbol, r.r, r.q) for r in got) == [("a", 0.5, 0.5), ("b", 1.0, 1.0)]
