@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import text_id, text_slices
 from quantloom.llm.eliasfano import EliasFano
-from quantloom.llm.encode import encoder
+from quantloom.llm.encode import SLICE, encoder
 
 #: A block ends with the document that takes it past so many ids.
 BLOCK_TOKENS = 1 << 20
@@ -37,7 +37,7 @@ def _write_blocks(tokenizer: str, keeps_spaces: bool, end_id: int):
 
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for lo, hi in text_slices(text):
+            for lo, hi in text_slices(text, SLICE):
                 raw = enc.encode([t or "" for t in text.slice(lo, hi - lo).to_pylist()])
                 for doc, r in zip(ids.slice(lo, hi - lo).to_pylist(), raw):
                     docs.append(doc)

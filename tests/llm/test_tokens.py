@@ -1,3 +1,4 @@
+import os
 import zlib
 from functools import cache
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quantloom.llm import packing, queries, tokens
+from quantloom.llm import encode, packing, queries, tokens
 from quantloom.llm.eliasfano import EliasFano
 from quantloom.llm.encode import Encoder
 
@@ -118,3 +119,40 @@ def test_empty_tables(spark, docs_of, sf):
     path = sf(documents=docs_of([]))
     assert queries.QUERIES["op2_token_files"](spark, path).count() == 0
     assert queries.QUERIES["op10_packing"](spark, path).count() == 0
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_words_of_letters_go_to_the_model_alone(path, spaces, monkeypatch):
+    enc, plain = Encoder(path, spaces), Tokenizer.from_file(path)
+    marks = enc.encode(["a. b,"])  # full stops and commas are known from now on
+    asked = []
+    monkeypatch.setattr(enc, "_raw_words", lambda words, f=enc._raw_words: asked.extend(words) or f(words))
+    text = "Straße ªb µ º ÀÉÎÕÜ àéîõü ÿ the Words\nagain, ill re ve. we ll d s"
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in [*marks, *enc.encode([text, f"x\n{text}"])]]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in ("a. b,", text, f"x\n{text}")]
+    assert not asked
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"  # no threads beside a task's own
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_a_slice_asks_once_for_each_word(path, spaces):
+    asked = []
+
+    class Counted(encode._Memory):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    enc, plain = Encoder(path, spaces), Tokenizer.from_file(path)
+    enc.known = Counted({})
+    texts = ["one two three " * 50 + "end", "one two\nthree", "three two one"]
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) <= 8
+
+
+@pytest.mark.parametrize("path,spaces", [(BYTE, True), (WORD, False)])
+def test_forgotten_words_are_learned_again(path, spaces):
+    enc, plain = Encoder(path, spaces, 3), Tokenizer.from_file(path)
+    for text in ["one two three four", "one five six seven", "", "eight  nine\n\nten", "one \tétè two", "two eight #x five"] * 3:
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
