@@ -75,6 +75,10 @@ class Encoder:
         self.line = len(self._raw(["\n"])[0]) if keeps_spaces else 0
         self.of_letters = self._model_alone()
 
+    @property
+    def older(self) -> dict[str, bytes]:
+        return self.known.older
+
     def _model_alone(self) -> Callable[[str], object] | None:
         """What tells keys of letters, which may go to the model alone; None if its ids are not the tokenizer's."""
         bytes_ = ByteLevel(add_prefix_space=False, use_regex=False)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import store, text_slices
-from quantloom.llm.encode import encoder
+from quantloom.llm.encode import SLICE, encoder
 
 #: Tokens of a sequence.
 WINDOW = 2048
@@ -83,7 +83,7 @@ def _pieces(tokenizer: str, keeps_spaces: bool, end_id: int, window: int, with_i
         end = np.array([end_id], enc.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
+            for lo, hi in text_slices(batch.column(1), SLICE):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 rows = []
                 for doc_id, raw in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), enc.encode([t or "" for t in texts])):

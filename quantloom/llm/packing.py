@@ -160,6 +160,7 @@ def _pack(tokenizer: str, keeps_spaces: bool, end_id: int, tiers: tuple[int, ...
                     held, waiting = {p[1]: held[p[1]] for p in packer.open}, 0
                 if rows:
                     yield out()
+        enc.forget()  # the worker goes on to other stages' tasks, which need the memory
         put(packer.pack())
         put(packer.rest())
         for group in steps.rest():

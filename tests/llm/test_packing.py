@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import encode, packing
@@ -28,3 +31,13 @@ def test_packing_keeps_fewer_words():
     want = [w for t in texts for w in encode.encoder(public_tokenizers.path("word_bpe_49k.json"), False).encode([t])]
     assert [w for t in texts for w in enc.encode([t])] == want and len(enc.known) + len(enc.older) <= 2 * (5 + 2)
     assert packing.KEPT_WORDS < encode.KEPT_WORDS
+
+
+def test_a_packing_task_gives_its_words_memory_back(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "and there"])], names=["doc_id", "text"])
+    run = packing._pack(path, False, 1, packing.TIERS, packing.ROUND_TOKENS, packing.STEP_TOKENS)
+    assert sum(len(b) for b in run(iter([batch]))) > 1
+    enc = encode.encoder(path, False, packing.KEPT_WORDS)
+    assert not enc.known and not enc.older
