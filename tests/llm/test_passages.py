@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import linededup, passages
@@ -99,3 +100,70 @@ def test_winnowing_keeps_few_places_and_one_for_each_window():
     ("a b c d\ne f", [(1, 5)], "a\ne f"), (" a b ", [(0, 2)], ""), ("a b c d\ne f g h", [(1, 7)], "a\nh")])
 def test_remove(text, runs, want):
     assert passages.remove(text, runs)[0] == want
+
+
+def plain_remove(text, runs):
+    """One text, word by word: what is kept, lines and words lost, and their ranges."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    gaps = ["", *(text[a[1]:b[0]] for a, b in zip(spans, spans[1:])), ""]
+    inside = [any(a <= i < b for a, b in runs) for i in range(len(spans))] + [False]
+    line = np.cumsum([i > 0 and ("\n" in g or g[0] == " " and text[spans[i - 1][1] - 1] in ".!?") for i, g in enumerate(gaps[:-1])]).tolist()
+    cuts, out, at = [], "", 0
+    for a in (i for i in range(len(spans)) if inside[i] and (not i or not inside[i - 1])):
+        b = inside.index(False, a)
+        if a and "\n" not in gaps[a]:
+            a = next((j for j in range(a + 1, min(a + passages.PART_WORDS, b)) if "\n" in gaps[j]), a)
+        if b < len(spans) and "\n" not in gaps[b]:
+            b = next((j for j in range(b - 1, max(b - passages.PART_WORDS, a), -1) if "\n" in gaps[j]), b)
+        cuts.append((a, b))
+        if a:
+            out += text[at:spans[a - 1][1]]
+            if b < len(spans):
+                longer = gaps[b] if gaps[b].count("\n") > gaps[a].count("\n") else gaps[a]
+                out += "\n" if "\n" in text[spans[a - 1][1]:spans[b][0]] and "\n" not in longer else longer
+        at = spans[b][0] if b < len(spans) else len(text)
+    lost = {line[i] for a, b in cuts for i in range(a, b)}
+    return out + text[at:], len(lost), sum(b - a for a, b in cuts), [(spans[a][0], spans[b - 1][1]) for a, b in cuts]
+
+
+def test_texts_removed_together_are_as_one_by_one():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choice(["a", "b.", "é", "x!", "日", " ", "\n", "  ", " \n\n", "\t"]) for _ in range(rng.randrange(60))) for _ in range(4)]
+        runs = [[sorted(rng.sample(range(n + 1), 2)) for _ in range(rng.randrange(4))] if (n := len(WORD.findall(t))) else [] for t in texts]
+        flat = [(d, a, b) for d, r in enumerate(runs) for a, b in r]
+        got = passages.remove_all(pa.array(texts), *np.array(flat, np.int64).reshape(-1, 3).T)
+        got = zip(got[0].to_pylist(), got[1].tolist(), got[2].tolist(), ([(x["start"], x["end"]) for x in s] for s in got[3].to_pylist()))
+        assert list(got) == [plain_remove(t, r) for t, r in zip(texts, runs)]
+
+
+def test_a_batch_asks_for_a_window_or_fingerprint_once():
+    text = prose(random.Random(2), 60)
+    at = pa.array([[0, 15, 30]] * 50, pa.list_(pa.int32()))
+    none = pa.array([None] * 50, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([text] * 50), at, none], names=["ord", "_text", "at", "segs"])
+    rows = pa.Table.from_batches(passages._windows(30)([batch])).to_pylist()
+    asked = [r for r in rows if not r["sure"]]
+    assert len(rows) == 50 * 31 and {r["ord"] for r in asked} == {0} and len({r["key"] for r in asked}) == len(asked) == 31
+    assert passages._met(np.array([7, 5, 7, 7, 9], np.uint64)).tolist() == [2, 1, 0, 0, 1]
+
+
+def test_verdicts_do_not_depend_on_batches():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(4), rng.random() < 0.3) for _ in range(rng.randrange(25)))
+        key, place, sure = zip(*rows) if rows else ((), (), ())
+        met = [rng.choice([0, 2]) if s else 1 for s in sure]
+        batch = pa.record_batch([pa.array(key, pa.int64()), pa.array(place, pa.int64()), pa.array(sure, pa.bool_()), pa.array(met, pa.int8()),
+                                 pa.array(range(len(rows)), pa.int64())], names=["key", "ord", "sure", "met", "i"])
+        cuts = [0, *sorted(rng.randrange(len(rows) + 1) for _ in range(3)), len(rows)]
+        parts = [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        first = {}
+        for k, p, s in rows:
+            if not s:
+                first.setdefault(k, p)
+        later = [i for o in passages._after_first("key", "ord")(iter(parts)) for i in o.column("i").to_pylist()]
+        assert later == [i for i, (k, p, s) in enumerate(rows) if s or p != first[k]]
+        asked = [k for k, m in zip(key, met) if m]
+        again = [i for o in passages._repeats(iter(parts)) for i in o.column("i").to_pylist()]
+        assert sorted(again) == [i for i, (k, m) in enumerate(zip(key, met)) if m != 1 or asked.count(k) > 1]
